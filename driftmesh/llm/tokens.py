@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame
 from driftmesh.llm.arrow import id_and_text, map_batches
 from driftmesh.llm.bpe import PrefixCounter, PrefixIndex
 
-_counter = lru_cache(maxsize=2)(PrefixCounter)
+
+@lru_cache(maxsize=2)
+def _counter(path: str) -> PrefixCounter:
+    return PrefixCounter(path)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
