@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -18,7 +19,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = CH
     """Cut batches so that each has about ``size`` characters of text, or one row."""
     for batch in batches:
         start, held = 0, 0
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         for row, n in enumerate(lengths):
             if held and held + n > size:
                 yield batch.slice(start, row - start)
