@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-#: Texts handed to a per-batch function at once hold about this many characters.
-CHUNK_CHARS = 4_000_000
+#: Texts handed to a per-batch function at once hold about this many bytes.
+CHUNK_BYTES = 4_000_000
 
 
-def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each has about ``size`` characters of text, or one row."""
+def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each has about ``size`` bytes of text, or one row."""
     for batch in batches:
+        if text not in batch.schema.names:
+            yield batch
+            continue
         start, held = 0, 0
         lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         for row, n in enumerate(lengths):
