@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmesh.llm import contamination, lines, mixing, neardup, quality, tokens
+from driftmesh.llm import contamination, extraction, lines, mixing, neardup, quality, tokens, urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.find_contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
@@ -52,6 +56,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.filter_urls(_pages(spark, sf_dir))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_text(_pages(spark, sf_dir))
+
+
 OP4_SQL = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
@@ -108,7 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op5_line_dedup": op5_line_dedup,
     "op6_token_counts": op6_token_counts,
+    "op8_url_filters": op8_url_filters,
     "op9_quality_rules": op9_quality_rules,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLES: dict[str, str] = {

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmesh.llm.columns import BLANKS, ascii_lower, key128, with_columns
+from driftmesh.storage import materialize
 
 
 def line_keys(text: Column) -> Column:
@@ -40,7 +41,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     name is replaced; an empty table gives an empty table.
     """
     h1, h2 = key128(F.col("key"))
-    repeated = repeated_lines(docs, min_docs, min_chars, id_col, text_col)
+    # written, so that the join below deals both sides itself and can split a hot hash
+    repeated = materialize(repeated_lines(docs, min_docs, min_chars, id_col, text_col), "repeated-lines")
     version = F.xxhash64(F.col(text_col))
     placed = (
         docs.filter(F.col(id_col).isNotNull())
