@@ -1,7 +1,61 @@
-"""Corpus pipeline (stages follow)."""
-STAGES = []
+"""From raw documents to a training mix in five stages.
+
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and gives a
+DataFrame that is written as Parquet and read again as the next one's documents.
+All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftmesh.llm import contamination, lines, mixing, neardup, quality
+from driftmesh.storage import materialize
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or lie outside their language's band go."""
+    judged = quality.quality_rules(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_columns=True)
+    return judged.filter("kept").select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that three documents share stay in one of them; n_chars follows the text."""
+    kept = lines.dedup_lines(docs)
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return neardup.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
+    return contamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, with the columns of the mix and copy."""
+    return mixing.emit_copies(mixing.mix(docs))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+]
+
+#: The tokeniser bands and the fingerprints have no SQL form; tests hold a brute-force version against run().
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmesh.llm.arrow import chunks, map_batches
+from driftmesh.storage import materialize
 
 #: Benchmark text that one broadcast index covers; it keeps word numbers under 2**20.
 BLOCK_BYTES = 4 << 20
@@ -240,3 +241,13 @@ def find_contamination(
         found = base.join(hits, same, "left").select("a.id", "n_words", F.coalesce("spans", F.array().cast("array<struct<start: long, end: long>>")).alias("spans"), F.coalesce("items", none).alias("items"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), "spans", "items")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+    """The rows of ``docs`` without a word in a benchmark window.
+
+    Rows that share an id go together; rows with a null id stay, as nothing names them.
+    """
+    found = find_contamination(docs, benchmark, id_col=id_col, **settings)
+    hit = materialize(found.filter(F.col("n_hit") > 0).select(id_col).distinct(), "contaminated")
+    return docs.join(hit, id_col, "left_anti").select(docs.columns)

@@ -36,10 +36,10 @@ def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "
     Rows with a null id stay, as they cannot be told apart. Rows that repeat an id
     are one document, of which one row stays.
     """
-    groups = near_groups(docs, radius, shingle, id_col, text_col)
-    chosen = groups.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__rows"))
-    chosen = materialize(chosen, "kept-ids")
-    kept = docs.join(chosen, F.col(id_col) == F.col("__id"), "left_semi")
-    if not chosen.filter("__rows > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionAll(docs.filter(F.col(id_col).isNull()))
+    groups = materialize(near_groups(docs, radius, shingle, id_col, text_col), "near-groups")
+    gone = groups.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    kept = docs.join(materialize(gone, "near-copies"), id_col, "left_anti").select(docs.columns)
+    if groups.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").isEmpty():
+        return kept
+    once = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    return once.unionAll(kept.filter(F.col(id_col).isNull()))
