@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmesh.llm import contamination, extraction, lines, mixing, neardup, quality, substrings, tokens, urls
+from driftmesh.llm import contamination, extraction, lines, mixing, neardup, quality, secrets, substrings, tokens, urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dictionary = secrets.read_dictionary(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    found = secrets.scan_secrets(_documents(spark, sf_dir), dictionary)
+    named = F.sha2("candidate", 256).alias("candidate_sha256")
+    return found.select("doc_id", "pos", "nth", named, F.char_length("candidate").alias("length"), "probability", "is_secret")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = neardup.near_groups(_documents(spark, sf_dir))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
@@ -122,6 +129,7 @@ FROM f GROUP BY doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_secret_scan": op2_secret_scan,
     "op3_simhash": op3_simhash,
     "op4_mix_sources": op4_mix_sources,
     "op5_line_dedup": op5_line_dedup,
