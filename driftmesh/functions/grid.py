@@ -44,4 +44,5 @@ def interleave(columns: list[Column], bits: int = 16) -> Column:
 
 def in_mask(mask: Column, group: Column) -> Column:
     """Whether bit ``group`` of a 32-bit mask is set; groups from 32 on never are."""
-    return (group < 32) & (F.shiftright(mask.cast("long"), group.cast("int")).bitwiseAND(1) == 1)
+    bit = F.call_function("shiftright", mask.cast("long"), F.least(group, F.lit(32)).cast("int"))
+    return (group < 32) & (bit.bitwiseAND(1) == 1)

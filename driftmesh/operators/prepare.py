@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from driftmesh.functions.geometry import distance, heading
 from driftmesh.model import DIMS, Box
 
-PATH = Window.partitionBy("trajectory_idx").orderBy("t", "seq")
+def path_window() -> WindowSpec:
+    """A trajectory's samples in order; made late, as a window needs a session."""
+    return Window.partitionBy("trajectory_idx").orderBy("t", "seq")
 
 
 def in_box(box: Box) -> Column:
@@ -51,7 +54,7 @@ def grid_extent(samples: DataFrame) -> DataFrame:
 
 
 def _renumbered(samples: DataFrame) -> DataFrame:
-    return samples.withColumn("seq", (F.row_number().over(PATH) - 1).cast("long"))
+    return samples.withColumn("seq", (F.row_number().over(path_window()) - 1).cast("long"))
 
 
 def interpolate_gaps(samples: DataFrame) -> DataFrame:
@@ -60,7 +63,7 @@ def interpolate_gaps(samples: DataFrame) -> DataFrame:
     The first filled tick repeats the sample before the gap. Samples of one tick
     are all kept.
     """
-    before = {d: F.lag(d).over(PATH) for d in DIMS}
+    before = {d: F.lag(d).over(path_window()) for d in DIMS}
     with_gap = samples.select("*", *[before[d].alias(f"__{d}") for d in DIMS]).withColumn("__gap", F.col("t") - F.col("__t"))
     at = F.sequence(F.lit(0).cast("long"), F.greatest(F.coalesce("__gap", F.lit(1)), F.lit(1)) - 1)
     rows = with_gap.withColumn("__i", F.explode(at))
@@ -85,7 +88,7 @@ def pad_paths(samples: DataFrame) -> DataFrame:
     path = interpolate_gaps(samples)
     whole = Window.partitionBy("trajectory_idx").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = path.join(F.broadcast(span)).select(  # one row
-        "*", F.row_number().over(PATH).alias("__row"), F.count("*").over(whole).alias("__n"), F.first("t").over(whole).alias("__first")
+        "*", F.row_number().over(path_window()).alias("__row"), F.count("*").over(whole).alias("__n"), F.first("t").over(whole).alias("__first")
     )
     none = F.array().cast("array<bigint>")
     front = F.when((F.col("__row") == 1) & (F.col("t") > F.col("__min")), F.sequence(F.col("__min"), F.col("t") - 1)).otherwise(none)
@@ -99,7 +102,7 @@ def pad_paths(samples: DataFrame) -> DataFrame:
 def compress_path(samples: DataFrame, dims: tuple[str, ...] = DIMS) -> DataFrame:
     """The first row of every run of equal positions."""
     here = F.struct(*dims)
-    return samples.withColumn("__same", F.lag(here).over(PATH).eqNullSafe(here)).filter(~F.col("__same")).drop("__same")
+    return samples.withColumn("__same", F.lag(here).over(path_window()).eqNullSafe(here)).filter(~F.col("__same")).drop("__same")
 
 
 def singular_paths(samples: DataFrame, dims: tuple[str, ...] = ("x", "y")) -> DataFrame:
@@ -113,7 +116,7 @@ def singular_paths(samples: DataFrame, dims: tuple[str, ...] = ("x", "y")) -> Da
 
 def verify_path(samples: DataFrame) -> DataFrame:
     """Rows whose tick does not follow the one before: trajectory_idx, seq, t, step."""
-    stepped = samples.withColumn("step", F.col("t") - F.lag("t").over(PATH))
+    stepped = samples.withColumn("step", F.col("t") - F.lag("t").over(path_window()))
     return stepped.filter(F.col("step") != 1).select("trajectory_idx", "seq", "t", "step")
 
 
@@ -130,7 +133,7 @@ def trajectory_bbox(samples: DataFrame) -> DataFrame:
 
 def moves(samples: DataFrame) -> DataFrame:
     """Every sample but a path's last with the distance and heading to the next."""
-    nx, ny = F.lead("x").over(PATH), F.lead("y").over(PATH)
+    nx, ny = F.lead("x").over(path_window()), F.lead("y").over(path_window())
     x, y = F.col("x"), F.col("y")
     ahead = samples.select("*", nx.alias("__x"), ny.alias("__y")).filter(F.col("__x").isNotNull())
     to = (x, y, F.col("__x"), F.col("__y"))

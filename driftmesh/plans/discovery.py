@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmesh.model import Level
@@ -83,8 +83,14 @@ class Discovery:
         return stats
 
 
-def flagship(spark: SparkSession, samples: DataFrame) -> DataFrame:
+def min_support(samples: DataFrame) -> int:
+    """A tenth of the trajectories, and four at least."""
+    n = samples.select("trajectory_id").distinct().count()
+    return max(4, -(-n // 10))
+
+
+def flagship(samples: DataFrame, overlap: float = 0.09) -> DataFrame:
     """The largest groups of objects whose cells overlap enough."""
-    search = Discovery(samples)
-    groups = search.groups(Level(5, 5, 5), 4, 3, strategy="overlap", overlap=0.09)
+    samples = materialize(samples, "samples")
+    groups = Discovery(samples).groups(Level(5, 5, 5), min_support(samples), 3, strategy="overlap", overlap=overlap)
     return grouping.topk_groups(groups, 5)

@@ -37,6 +37,18 @@ def pack_trajectories(samples: DataFrame) -> DataFrame:
     return rows.select("trajectory_idx", "trajectory_id", flat.alias("v")).mapInPandas(pack, "trajectory_idx long, record binary")
 
 
+def unpack_trajectories(records: DataFrame) -> DataFrame:
+    """The samples of records made by ``pack_trajectories``."""
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for index, record in zip(batch["trajectory_idx"], batch["record"], strict=True):
+                frame = _sample_frame(_trajectories(np.frombuffer(record, np.int32), 0, 1)[0])
+                yield frame.assign(trajectory_idx=index)
+
+    return records.select("trajectory_idx", "record").mapInPandas(unpack, SAMPLE)
+
+
 def write_dataset(path: str, samples: DataFrame, known_groups: DataFrame | None, grid_size: int, max_t: int) -> None:
     """A dataset file on the driver; trajectories must be numbered from 0 without gaps."""
     n = samples.select("trajectory_idx").distinct().count()
