@@ -51,12 +51,28 @@ class Merger:
 
 
 def linkage(weights: dict[tuple[int, int], float], threshold: float) -> Strength:
-    """Total weight between two groups, if every member's mean reaches ``threshold``."""
+    """Total weight between two groups, if every member's mean reaches ``threshold``.
+
+    Weights are symmetric. Each group keeps its total weight to every node, so a
+    pair is judged in time linear in its members.
+    """
+    place = {m: k for k, m in enumerate(sorted({m for pair in weights for m in pair}))}
+    dense = np.zeros((len(place) + 1, len(place) + 1))  # the last row is for nodes without edges
+    for (a, b), w in weights.items():
+        dense[place[a], place[b]] = w
+    known: dict[int, tuple[list[int], np.ndarray, np.ndarray]] = {}
+
+    def totals(merger: Merger, k: int) -> tuple[np.ndarray, np.ndarray]:
+        name = merger.order[k]
+        members = merger.members[name]
+        if name not in known or known[name][0] is not members:
+            at = np.array([place.get(m, len(place)) for m in members])
+            known[name] = (members, at, dense[at].sum(axis=0))
+        return known[name][1:]
 
     def strength(merger: Merger, i: int, j: int) -> float:
-        a, b = (merger.members[merger.order[k]] for k in (i, j))
-        between = np.array([[weights.get((y, x), 0.0) for y in b] for x in a])
-        from_a, from_b = between.sum(axis=1), between.sum(axis=0)
+        (a, to_a), (b, to_b) = totals(merger, i), totals(merger, j)
+        from_a, from_b = to_b[a], to_a[b]
         if (from_a / len(b) < threshold).any() or (from_b / len(a) < threshold).any():
             return 0.0
         return float(from_a.sum() + from_b.sum())

@@ -111,7 +111,7 @@ def decode_points(lines: DataFrame) -> DataFrame:
 
 def decode_lists(lines: DataFrame) -> DataFrame:
     """line, pos, value of lists of comma-separated values."""
-    return lines.filter(F.trim("text") != "").select("line", F.posexplode(F.transform(F.split("text", ","), F.trim)).alias("pos", "value"))
+    return lines.filter(F.trim("text") != "").select("line", F.posexplode(F.transform(F.split("text", ","), lambda v: F.trim(v))).alias("pos", "value"))
 
 
 def encode_stats(stats: DataFrame) -> DataFrame:
