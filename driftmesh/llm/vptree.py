@@ -1,8 +1,8 @@
 """Exact Hamming neighbours of 64-bit fingerprints with vantage-point trees.
 
 Fingerprints that differ in at most ``radius`` bits differ in at most one bit in
-one of ``radius`` equal blocks of the word, so there is one tree per block, over
-the Hamming distance within the block, searched at radius 1. A tree splits its
+one of ``radius`` equal blocks of the word (four at least), so there is one tree
+per block, over the Hamming distance within the block, searched at radius 1. A tree splits its
 points level by level into shells of equal distance to the level's vantage point.
 The triangle inequality confines a neighbour of x to the shells at distance
 d(x, v) - 1 .. d(x, v) + 1 of every vantage point v on its path; as one bit changes
@@ -139,7 +139,7 @@ def near_links(prints: DataFrame, radius: int = 4, levels: int = 8, shard_rows:
     ``prints`` has distinct values in column fingerprint. The links found in a
     shard form a forest: at most one per fingerprint and shard.
     """
-    n_blocks = max(1, radius)
+    n_blocks = max(4, radius)  # a tree covers all values of a block, 16 bits at most
     per_print = n_blocks * (1 + WORD / n_blocks / 2)
     n_shards = max(1, round(prints.count() * per_print / shard_rows))
     dealt = map_batches(prints, lambda batch: _deal(batch, n_blocks, levels), "leaf long, fingerprint long, home boolean")
