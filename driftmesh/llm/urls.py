@@ -78,23 +78,31 @@ def generalise(leaves: DataFrame, max_children: int, min_share: float) -> DataFr
 
 
 def merged_branches(templates: DataFrame, z: float) -> DataFrame:
-    """host, template, branch: siblings of like labels share a branch number.
+    """``templates`` with branch: the numbers of the merged branches on their path.
 
-    Siblings are ordered by their share of blocked pages; a sibling joins the one
-    before if the two shares differ by fewer than ``z`` standard errors. Those
+    Level by level, the children of a node are ordered by their share of blocked
+    pages; a child joins the one before if the two shares differ by fewer than ``z``
+    standard errors, and what is below both is treated as one from there on. Children
     without a labelled page form a branch of their own.
     """
-    parent = F.slice("template", 1, F.greatest(F.size("template") - 1, F.lit(0)))
-    labelled = F.col("blocked") + F.col("allowed")
-    rows = templates.withColumn("parent", parent).withColumn("depth", F.size("template")).withColumn("labelled", labelled)
-    rows = rows.withColumn("share", F.when(labelled > 0, F.col("blocked") / labelled))
-    siblings = Window.partitionBy("host", "parent", "depth").orderBy(F.col("share").asc_nulls_last(), F.array_join("template", "/"))
-    b, n = F.lag("blocked").over(siblings), F.lag("labelled").over(siblings)
-    pooled = (F.col("blocked") + b + 1) / (F.col("labelled") + n + 2)
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / n))
-    gap = F.when((F.col("labelled") > 0) & (n > 0), F.col("share") - F.lag("share").over(siblings) < F.lit(z) * error).otherwise((F.col("labelled") == 0) & (n == 0))
-    rows = rows.withColumn("new", F.when(F.coalesce(gap, F.lit(False)), 0).otherwise(1))
-    return rows.withColumn("branch", F.sum("new").over(siblings.rowsBetween(Window.unboundedPreceding, 0)))
+    made = templates.withColumn("branch", F.array().cast("array<long>"))
+    deepest = templates.agg(F.max(F.size("template"))).first()[0] or 0
+    for level in range(deepest):
+        child = F.get("template", F.lit(level))
+        below = made.filter(F.size("template") > level).groupBy("host", "branch", child.alias("child")).agg(F.sum("blocked").alias("b"), F.sum(F.col("blocked") + F.col("allowed")).alias("l"))
+        node = Window.partitionBy("host", "branch").orderBy((F.col("b") / F.nullif("l", F.lit(0))).asc_nulls_last(), "child")
+        b0, l0 = F.lag("b").over(node), F.lag("l").over(node)
+        pooled = (F.col("b") + b0 + 1) / (F.col("l") + l0 + 2)
+        both = (F.col("l") > 0) & (l0 > 0)
+        error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), "l") + F.try_divide(F.lit(1), l0)))
+        alike = F.when(both, F.try_divide("b", "l") - F.try_divide(b0, l0) < F.lit(z) * error).otherwise((F.col("l") == 0) & (l0 == 0))
+        new = below.withColumn("new", F.when(F.coalesce(alike, F.lit(False)), 0).otherwise(1))
+        numbered = new.withColumn("number", F.sum("new").over(node)).select("host", "branch", "child", "number")
+        joined = made.withColumn("child", child).join(numbered, ["host", "branch", "child"], "left")
+        grown = F.when(F.col("number").isNull(), F.col("branch")).otherwise(F.concat("branch", F.array(F.col("number"))))
+        made = joined.withColumn("branch", grown).drop("child", "number")
+        made = materialize(made, "branches") if level % 2 else made
+    return made
 
 
 def template_verdicts(leaves: DataFrame, max_children: int = 16, min_share: float = 0.05, z: float = 1.64, prior: float = 4.0, threshold: float = 0.6) -> DataFrame:
@@ -102,14 +110,15 @@ def template_verdicts(leaves: DataFrame, max_children: int = 16, min_share: floa
     counts = [F.sum(c).alias(c) for c in ("n", "blocked", "allowed")]
     tree = materialize(generalise(leaves, max_children, min_share), "template-tree")
     templates = merged_branches(tree.groupBy("host", "template").agg(*counts), z)
-    branches = templates.groupBy("host", "parent", "depth", "branch").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
+    templates = materialize(templates.withColumn("labelled", F.col("blocked") + F.col("allowed")), "branched")
+    branches = templates.groupBy("host", "branch").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
     hosts = templates.groupBy("host").agg(F.sum("blocked").alias("hb"), F.sum("labelled").alias("hl"))
-    overall = templates.agg(F.coalesce(F.sum("blocked") / F.sum("labelled"), F.lit(0.0)).alias("all"))
+    overall = templates.agg(F.coalesce(F.try_divide(F.sum("blocked"), F.sum("labelled")), F.lit(0.0)).alias("all"))
     host_share = (F.col("hb") + F.lit(prior) * F.col("all")) / (F.col("hl") + F.lit(prior))
     # one row: the share of blocked pages among all labelled ones
     hosts = hosts.join(F.broadcast(overall)).select("host", host_share.alias("host_share"))
     purity = (F.col("b") + F.lit(prior) * F.col("host_share")) / (F.col("l") + F.lit(prior))
-    judged = templates.join(branches, ["host", "parent", "depth", "branch"]).join(hosts, "host").select("host", "template", purity.alias("purity"))
+    judged = templates.join(branches, ["host", "branch"]).join(hosts, "host").select("host", "template", purity.alias("purity"))
     return tree.join(judged, ["host", "template"]).select("host", "shape", "template", "purity", F.when(F.col("purity") >= threshold, "block").otherwise("allow").alias("verdict"))
 
 
