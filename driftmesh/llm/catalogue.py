@@ -77,6 +77,32 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_text(_pages(spark, sf_dir))
 
 
+_BENCH_WORDS = """regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+OP1_SQL = f"""
+WITH d AS (
+  SELECT doc_id, {_BENCH_WORDS} AS w FROM documents
+), b AS (
+  SELECT coalesce(item_id::VARCHAR, 'null') AS item, {_BENCH_WORDS} AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[k:k + 9], ' ') AS g
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM b WHERE len(w) > 0)
+), p AS (
+  SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)
+), h AS (
+  SELECT DISTINCT p.doc_id, p.k, p.n, win.item FROM p JOIN win ON p.g = win.g AND p.n = win.n
+), hit AS (
+  SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS x FROM h) GROUP BY doc_id
+), its AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
+"""
+
 OP4_SQL = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
@@ -141,6 +167,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_decontamination": OP1_SQL,
     "op4_mix_sources": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
 }

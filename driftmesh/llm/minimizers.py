@@ -17,14 +17,20 @@ _PLACE_BITS = 30
 
 
 class Segments(NamedTuple):
-    """Per segment: the text it is from, first byte and end in that text, and key."""
+    """Per segment: the text it is from, first byte, end and grain in that text, and key."""
 
     text: np.ndarray
     start: np.ndarray
     end: np.ndarray
+    grain: np.ndarray
     key: np.ndarray
 
 
+def no_segments() -> Segments:
+    none = np.zeros(0, np.int64)
+    return Segments(none, none, none, none, none.astype(np.uint64))
+
+
 def _grain_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the 16 bytes at every position but the last 15."""
     n = len(data) - GRAIN + 1
@@ -44,9 +50,8 @@ def segments(texts: list[bytes], window: int) -> Segments:
     lengths = np.array([len(t) for t in texts], np.int64)
     begins = np.cumsum(lengths) - lengths
     n_windows = np.maximum(lengths - window + 1, 0)
-    none = np.zeros(0, np.int64)
     if not n_windows.sum():
-        return Segments(none, none, none, none.astype(np.uint64))
+        return no_segments()
     hashes = _grain_hashes(np.frombuffer(b"".join(texts), np.uint8))
     # the hash decides, then the place: of equal grains the first is taken
     least = (hashes >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)) | np.arange(len(hashes), dtype=np.uint64)
@@ -63,4 +68,5 @@ def segments(texts: list[bytes], window: int) -> Segments:
     first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])))
     last = np.append(first[1:], len(start)) - 1
     owner = text[first]
-    return Segments(owner, start[first] - begins[owner], start[last] - begins[owner] + window, hashes[place[first]])
+    at, end, grain = start[first], start[last] + window, place[first]
+    return Segments(owner, at - begins[owner], end - begins[owner], grain - begins[owner], hashes[grain])
