@@ -295,3 +295,18 @@ def test_entry_without_optional_parts(spark):
 
     named = __spark_entry__.queries()
     assert "flagship" in named and set(__spark_entry__.oracle_sql()) <= set(named)
+
+
+def test_printing(spark, tmp_path, capsys):
+    from driftmesh.sources import printing
+
+    df = samples(spark, [[(1, 2, 3), (4, 5, 6)], [(7, 8, 9)]])
+    binary.write_dataset(str(tmp_path / "d.dat"), df, None, 16, 9)
+    printing.scan_and_print(spark, str(tmp_path / "d.dat"))
+    assert capsys.readouterr().out.splitlines() == ["  100: (1, 2, 3) (4, 5, 6)", "  101: (7, 8, 9)"]
+    groups = spark.createDataFrame([(2, 7), (2, 5)], "group_id long, trajectory_idx long")
+    assert [r["text"] for r in printing.format_members(groups).collect()] == ["2 (2): 5 7"]
+    sets = spark.createDataFrame([(0, [3, 4], 2)], "itemset_id long, items array<long>, support long")
+    assert [r["text"] for r in printing.format_itemsets(sets).collect()] == ["0: {3 4} x 2"]
+    edges = spark.createDataFrame([(1, 3, 0.5), (1, 2, 1.0)], "t1 long, t2 long, w double")
+    assert [r["text"] for r in printing.format_edges(edges).collect()] == ["2:1.000000 3:0.500000"]
