@@ -13,39 +13,77 @@ def match_cliques(itemsets: DataFrame, enumerated: DataFrame) -> DataFrame:
     return found.filter(F.col("__found") == F.col("__n")).select("itemset_id", "trajectory_idx")
 
 
+def _members(cliques: DataFrame, *more: str) -> DataFrame:
+    """Members as t1, dealt out evenly: pairs are many more rows than their members,
+    so the tasks that make them are not to be merged for their small input."""
+    n = int(cliques.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = cliques.select("itemset_id", *more, F.col("trajectory_idx").alias("t1"))
+    return members.repartition(n, "itemset_id", "t1")
+
+
 def co_members(cliques: DataFrame) -> DataFrame:
     """itemset_id, t1, t2: all ordered pairs of a clique, each with itself too."""
-    left = cliques.select("itemset_id", F.col("trajectory_idx").alias("t1"))
+    left = _members(cliques)
     return left.join(cliques.select("itemset_id", F.col("trajectory_idx").alias("t2")), "itemset_id")
 
 
+def _half(cliques: DataFrame) -> DataFrame:
+    """The pairs of ``co_members`` with t1 <= t2."""
+    right = cliques.select("itemset_id", F.col("trajectory_idx").alias("t2"))
+    return _members(cliques).join(right, "itemset_id").filter("t1 <= t2")
+
+
+def _mirrored(pairs: DataFrame) -> DataFrame:
+    """Pairs in both orders."""
+    rest = [c for c in pairs.columns if c not in ("t1", "t2")]
+    swapped = pairs.filter("t1 < t2").select(F.col("t2").alias("t1"), F.col("t1").alias("t2"), *rest)
+    return pairs.select("t1", "t2", *rest).unionAll(swapped)
+
+
 def connections(cliques: DataFrame) -> DataFrame:
     """t1, t2 of trajectories that share a clique."""
-    return co_members(cliques).select("t1", "t2").distinct()
+    return _mirrored(_half(cliques).select("t1", "t2").distinct())
+
 
+def _share(n_items: Column) -> Column:
+    return (n_items * 2).cast("double") / (F.col("n1") + F.col("n2")).cast("double")
 
-def _alignment(cliques: DataFrame, itemsets: DataFrame, enumerated: DataFrame) -> DataFrame:
+
+def _sized(pairs: DataFrame, enumerated: DataFrame) -> DataFrame:
     sizes = enumerated.groupBy("trajectory_idx").agg(F.count("*").alias("n"))
-    pairs = co_members(cliques).join(itemsets.select("itemset_id", F.size("items").alias("n_items")), "itemset_id")
-    pairs = pairs.join(sizes.toDF("t1", "n1"), "t1").join(sizes.toDF("t2", "n2"), "t2")
-    w: Column = (F.col("n_items") * 2).cast("double") / (F.col("n1") + F.col("n2")).cast("double")
-    return pairs.select("itemset_id", "t1", "t2", w.alias("w"))
+    return pairs.join(sizes.toDF("t1", "n1"), "t1").join(sizes.toDF("t2", "n2"), "t2")
+
+
+def _with_length(cliques: DataFrame, itemsets: DataFrame) -> DataFrame:
+    return cliques.join(itemsets.select("itemset_id", F.size("items").alias("n_items")), "itemset_id")
+
+
+def _half_with_length(cliques: DataFrame, itemsets: DataFrame) -> DataFrame:
+    left = _members(_with_length(cliques, itemsets), "n_items")
+    right = cliques.select("itemset_id", F.col("trajectory_idx").alias("t2"))
+    return left.join(right, "itemset_id").filter("t1 <= t2")
 
 
 def weight_last(cliques: DataFrame, itemsets: DataFrame, enumerated: DataFrame) -> DataFrame:
-    """t1, t2, w: the share of common cells by the last clique of the two."""
-    return _alignment(cliques, itemsets, enumerated).groupBy("t1", "t2").agg(F.max_by("w", "itemset_id").alias("w"))
+    """t1, t2, w: the share of common cells by the last clique of the two.
+
+    A pair's weight depends on its cliques through the length of one itemset only,
+    so pairs are aggregated, in one order, before they meet the trajectories' sizes.
+    """
+    last = _half_with_length(cliques, itemsets).groupBy("t1", "t2").agg(F.max_by("n_items", "itemset_id").alias("n_items"))
+    return _mirrored(_sized(last, enumerated).select("t1", "t2", _share(F.col("n_items")).alias("w")))
 
 
 def weight_max(cliques: DataFrame, itemsets: DataFrame, enumerated: DataFrame, above: float = 0.0) -> DataFrame:
     """t1, t2, w: the largest share of common cells, if greater than ``above``."""
-    best = _alignment(cliques, itemsets, enumerated).groupBy("t1", "t2").agg(F.max("w").alias("w"))
-    return best.filter(F.col("w") > above)
+    longest = _half_with_length(cliques, itemsets).groupBy("t1", "t2").agg(F.max("n_items").alias("n_items"))
+    return _mirrored(_sized(longest, enumerated).select("t1", "t2", _share(F.col("n_items")).alias("w")).filter(F.col("w") > above))
 
 
 def weighted(cliques: DataFrame, weight: Column, itemsets: DataFrame, enumerated: DataFrame) -> DataFrame:
     """t1, t2, w by any aggregate over the pairs' columns itemset_id and w."""
-    return _alignment(cliques, itemsets, enumerated).groupBy("t1", "t2").agg(weight.alias("w"))
+    pairs = _sized(_with_length(co_members(cliques), itemsets), enumerated)
+    return pairs.withColumn("w", _share(F.col("n_items"))).groupBy("t1", "t2").agg(weight.alias("w"))
 
 
 def edge_matrix(edges: DataFrame, columns: list[int]) -> DataFrame:
