@@ -22,15 +22,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmesh.llm.minimizers import GRAIN, Segments, no_segments, segments
 from driftmesh.llm.runindex import RunIndex
 
-#: Bytes of text that a chunk holds about, and those that a bucket's keys are from.
-CHUNK_BYTES = 6 << 20
-BUCKET_BYTES = 12 << 20
+#: Bytes of text that a chunk, and a bucket, holds about.
+CHUNK_BYTES = 3 << 20
 #: Bytes of text cut into segments at a time.
 PIECE_BYTES = 2 << 20
 _LOW = np.uint64((1 << 48) - 1)
@@ -156,33 +156,14 @@ def send_segments(table: pa.Table, shared: pa.Table, length: int, n_buckets: int
         least.setdefault(part, owner)
     own = np.array([least[p] == i for p, i in zip(parts, ids.tolist(), strict=True)], bool)
     bucket = ((key >> np.uint64(16)) % np.uint64(n_buckets)).astype(np.int64)
-    order = np.lexsort((~own, bucket))  # of each bucket the sent ones first
-    first = np.flatnonzero(np.append(True, np.diff(bucket[order]) > 0)) if len(order) else np.zeros(0, np.int64)
-    sealed = []
-    for low, high in zip(first.tolist(), [*first.tolist()[1:], len(order)], strict=True):
-        here = order[low:high]
-        n = int(own[here].sum())
-        sealed.append(_seal(ids[here], place[here], (end - start)[here], (grain - start)[here[:n]], (key >> np.uint64(32))[here[:n]], [parts[i] for i in here[:n].tolist()]))
+    group = 2 * bucket + ~own
+    order = np.argsort(group, kind="stable")
+    short = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    sent = [parts[i] if own[i] else b"" for i in order.tolist()]
+    columns = ((ids[order], pa.int64()), (place[order], pa.int64()), ((end - start)[order], pa.int32()), ((grain - start)[order], pa.int32()), (short[order], pa.int32()), (sent, pa.binary()))
+    group, (id_, start_, size_, grain_, key_, part_) = _lists(group[order], *columns)
     number = table["chunk"][0].as_py() if table.num_rows else 0
-    return pa.table({"bucket": bucket[order][first], "chunk": np.full(len(first), number, np.int64), "sealed": pa.array(sealed, pa.binary())})
-
-
-def _seal(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, grains: np.ndarray, keys: np.ndarray, parts: list[bytes]) -> bytes:
-    """One compressed record: all ids, starts and sizes, and the sent ones' grains, keys and bytes."""
-    columns = (ids.astype("<i8"), starts.astype("<i8"), sizes.astype("<u2"), grains.astype("<u2"), keys.astype("<u4"))
-    data = b"".join([np.array([len(ids), len(parts)], "<i8").tobytes(), *(c.tobytes() for c in columns), *parts])
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
-
-
-def _unseal(sealed: bytes) -> tuple[np.ndarray, ...]:
-    """The columns of a record, and the sent bytes as one string."""
-    data = pa.decompress(sealed[8:], int.from_bytes(sealed[:8], "little"), codec="zstd", asbytes=True)
-    n, sent = np.frombuffer(data, "<i8", 2).tolist()
-    at, made = 16, []
-    for kind, count in (("<i8", n), ("<i8", n), ("<u2", n), ("<u2", sent), ("<u4", sent)):
-        made.append(np.frombuffer(data, kind, count, at).astype(np.int64))
-        at += made[-1].size * np.dtype(kind).itemsize
-    return (*made, data[at:])
+    return pa.table({"bucket": group // 2, "chunk": np.full(len(group), number, np.int64), "own": group % 2 == 0, "ids": id_, "starts": start_, "sizes": size_, "grains": grain_, "short": key_, "parts": part_})
 
 
 def _may_share(mixed: np.ndarray, texts: list[bytes], grain: np.ndarray, length: int) -> np.ndarray:
@@ -207,21 +188,19 @@ def _may_share(mixed: np.ndarray, texts: list[bytes], grain: np.ndarray, length:
 
 def covered_spans(table: pa.Table, length: int) -> pa.Table:
     """Step 4: chunk, ids, starts, ends: bytes that lie in strings of smaller ids."""
-    records = [_unseal(r) for r in table["sealed"].to_pylist()]
-    chunks = np.repeat(table["chunk"].to_numpy(), [len(r[0]) for r in records])
-    sent = np.concatenate([np.arange(len(r[0])) < len(r[3]) for r in records])
-    all_ids, all_starts, all_sizes, grains, short = (np.concatenate([r[i] for r in records]) for i in range(5))
-    copy = ~sent
-    spans = [(chunks[copy], all_ids[copy], all_starts[copy], all_starts[copy] + all_sizes[copy])]
-    chunk, ids, starts, sizes = chunks[sent], all_ids[sent], all_starts[sent], all_sizes[sent]
-    data, at = b"".join(r[5] for r in records), np.cumsum(sizes)
+    own = table.filter(table["own"])
+    copies = table.filter(pc.invert(table["own"]))
+    ids, starts, sizes, grains, short = (_flat(own, c).astype(np.int64) for c in ("ids", "starts", "sizes", "grains", "short"))
+    chunk = np.repeat(own["chunk"].to_numpy(), pc.list_value_length(own["ids"]).to_numpy())
+    parts = own["parts"].combine_chunks().flatten().to_pylist()
     numbers: dict[bytes, int] = {}
-    parts = (data[a:b] for a, b in zip((at - sizes).tolist(), at.tolist(), strict=True))
     number = np.array([numbers.setdefault(p, len(numbers)) for p in parts], np.int64)
     least = np.full(len(numbers), np.iinfo(np.int64).max)
     np.minimum.at(least, number, ids)
     later = ids > least[number]
-    spans.append((chunk[later], ids[later], starts[later], starts[later] + sizes[later]))
+    spans = [(chunk[later], ids[later], starts[later], starts[later] + sizes[later])]
+    spans.append((np.repeat(copies["chunk"].to_numpy(), pc.list_value_length(copies["ids"]).to_numpy()), *(_flat(copies, c).astype(np.int64) for c in ("ids", "starts", "sizes"))))
+    spans[1] = (*spans[1][:3], spans[1][2] + spans[1][3])
     # of keys with different segments, those segments go into an index
     pairs = np.unique(np.stack([short, number]), axis=1) if len(short) else np.zeros((2, 0), np.int64)
     _, at, count = np.unique(pairs[0], return_inverse=True, return_counts=True)
@@ -285,7 +264,7 @@ def cut_out(table: pa.Table, covered: pa.Table) -> pa.Table:
     )
 
 
-def dedup_substrings(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept (binary).
 
     Ids are whole numbers. Null and empty texts have no bytes. Rows with a null id
@@ -294,15 +273,18 @@ def dedup_substrings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     at least 16.
     """
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n_chunks, n_buckets = max(1, round(size / chunk_bytes)), max(1, round(size / bucket_bytes))
+    n = max(1, round(size / chunk_bytes))
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    dealt = keyed.select(F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(n_chunks)).alias("chunk"), "id", "text")
-    keys = dealt.groupBy("chunk").applyInArrow(lambda t: name_keys(t, length, n_buckets), "bucket long, chunk long, keys binary, several boolean")
+    dealt = keyed.select(F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(n)).alias("chunk"), "id", "text")
+    keys = dealt.groupBy("chunk").applyInArrow(lambda t: name_keys(t, length, n), "bucket long, chunk long, keys binary, several boolean")
     shared = keys.groupBy("bucket").applyInArrow(shared_keys, "chunk long, keys binary")
     sent = (
         dealt.groupBy("chunk")
         .cogroup(shared.groupBy("chunk"))
-        .applyInArrow(lambda d, s: send_segments(d, s, length, n_buckets), "bucket long, chunk long, sealed binary")
+        .applyInArrow(
+            lambda d, s: send_segments(d, s, length, n),
+            "bucket long, chunk long, own boolean, ids array<long>, starts array<long>, sizes array<int>, grains array<int>, short array<int>, parts array<binary>",
+        )
     )
     spans = sent.groupBy("bucket").applyInArrow(lambda t: covered_spans(t, length), "chunk long, ids array<long>, starts array<long>, ends array<long>")
     cut = dealt.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(cut_out, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
