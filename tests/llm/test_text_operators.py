@@ -371,7 +371,7 @@ def test_substrings(spark, docs, empty):
         table.append((rng.randrange(40), part + rng.choice(["", "x" * 70, "é" * 30]) + part[: rng.randrange(60)]))
     made = spark.createDataFrame(table, "doc_id long, text string")
     for chunk_bytes in (1500, 1 << 20):
-        cut = substrings.dedup_substrings(made, chunk_bytes=chunk_bytes)
+        cut = substrings.dedup_substrings(made, chunk_bytes=chunk_bytes, bucket_bytes=chunk_bytes)
         assert rows(cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))) == brute_substrings(table)
     assert rows(substrings.dedup_substrings(empty)) == []
     assert substrings.dedup_substrings(docs).count() == len(DOCS)
