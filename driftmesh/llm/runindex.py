@@ -32,9 +32,9 @@ class RunIndex:
         symbols[ends] = np.arange(n)
         symbols[symbols < 0] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + n
         owner = np.repeat(np.asarray(owners, np.int64), self.lengths + 1)
-        rank, power = self._sort(symbols)
+        rank, width, half = self._sort(symbols)
         rows = np.argsort(rank)  # the suffix array
-        group = self._groups(power)[rows]
+        group = self._groups(rank, width, half)[rows]
         first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         self.group_start, self.group_owner = first, np.minimum.reduceat(owner[rows], first)
         bwt = symbols[rows - 1]  # before the first symbol comes the last, a separator
@@ -49,30 +49,28 @@ class RunIndex:
         self.run_end_sample = rows[head + size - 1]
         self.n_rows = len(bwt)
 
-    def _sort(self, symbols: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-        """Final ranks of all suffixes, and their ranks by 1, 2, 4 ... symbols."""
+    def _sort(self, symbols: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+        """Ranks of all suffixes, and those by the last power of two within ``depth`` symbols."""
         size = len(symbols)
-        rank, width, power = _ranked(symbols), 1, {}
-        power[1] = rank
+        rank, width = _ranked(symbols), 1
+        half, half_width = rank, 1
         while rank.max() < size - 1:
             after = np.zeros(size, np.int64)
             after[: size - width] = rank[width:] + 1
             rank = _ranked(rank * (size + 1) + after)
             width *= 2
-            power[width] = rank
-        return rank, power
+            if width <= self.depth:
+                half, half_width = rank, width
+        return rank, half_width, half
 
-    def _groups(self, power: dict[int, np.ndarray]) -> np.ndarray:
+    def _groups(self, rank: np.ndarray, width: int, half: np.ndarray) -> np.ndarray:
         """Equal numbers where the first ``depth`` symbols are equal."""
-        fits = [w for w in power if w <= self.depth]
-        width = max(fits)
         if 2 * width < self.depth:  # all suffixes differ earlier
-            return np.arange(len(power[1]))
-        ranks, size = power[width], len(power[1])
+            return rank
+        size, gap = len(rank), self.depth - width
         after = np.zeros(size, np.int64)
-        gap = self.depth - width
-        after[: size - gap] = ranks[gap:] + 1
-        return _ranked(ranks * (size + 1) + after)
+        after[: size - gap] = half[gap:] + 1
+        return _ranked(half * (size + 1) + after)
 
     def back(self, rows: np.ndarray) -> np.ndarray:
         """The rows of the suffixes that begin one symbol earlier."""

@@ -30,7 +30,7 @@ from driftmesh.llm.runindex import RunIndex
 
 #: Bytes of text that a chunk holds about, and those that a bucket's keys are from.
 CHUNK_BYTES = 6 << 20
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
 #: Bytes of text cut into segments at a time.
 PIECE_BYTES = 2 << 20
 _LOW = np.uint64((1 << 48) - 1)
