@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmesh.llm import contamination, lines, mixing, neardup, quality
+from driftmesh.llm import contamination, lines, mixing, neardup, quality, shingles
 from driftmesh.storage import materialize
 
 
@@ -28,8 +28,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
-    return neardup.keep_one(docs)
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Near copies share 0.8 or more of their five-word shingles (Jaccard), compared exactly.
+    """
+    return neardup.one_of_each(docs, shingles.similar_groups(docs, similarity=0.8, size=5))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,7 +36,12 @@ def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "
     Rows with a null id stay, as they cannot be told apart. Rows that repeat an id
     are one document, of which one row stays.
     """
-    groups = materialize(near_groups(docs, radius, shingle, id_col, text_col), "near-groups")
+    return one_of_each(docs, near_groups(docs, radius, shingle, id_col, text_col), id_col)
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """As ``keep_one``, with the groups given: id and component_id of every row."""
+    groups = materialize(groups, "near-groups")
     gone = groups.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     kept = docs.join(materialize(gone, "near-copies"), id_col, "left_anti").select(docs.columns)
     if groups.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").isEmpty():
