@@ -122,7 +122,8 @@ def dup_lines(text: str) -> int:
 
 
 def script(text: str) -> str:
-    letters = [c for c in text[:: max(1, len(text) // 4096)] if c.isalpha()]
+    """By the letters of the whole text."""
+    letters = [c for c in text if c.isalpha()]
     latin = sum(c < "ɐ" or "Ḁ" <= c < "ἀ" for c in letters)
     return "latin" if 2 * latin >= len(letters) else "other"
 
