@@ -43,6 +43,7 @@ class _Page:
         self.zones: list[int] = []
         self.text: list[str] = []
         self.open: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}
         self.zone = OTHER
 
     def end_block(self) -> None:
@@ -63,17 +64,20 @@ class _Page:
             zone = CHROME
         if zone != self.zone and tag in _INLINE:
             self.end_block()
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, self.zone))
         self.zone = zone
 
     def leave(self, tag: str) -> None:
-        for depth in range(len(self.open) - 1, max(-1, len(self.open) - 64), -1):
-            if self.open[depth][0] == tag:
-                if self.open[depth][1] != self.zone:
-                    self.end_block()
-                self.zone = self.open[depth][1]
-                del self.open[depth:]
-                return
+        if not self.places.get(tag):
+            return
+        depth = self.places[tag][-1]
+        if self.open[depth][1] != self.zone:
+            self.end_block()
+        self.zone = self.open[depth][1]
+        for name, _ in self.open[depth:]:
+            self.places[name].pop()
+        del self.open[depth:]
 
 
 def page_blocks(html: str) -> tuple[list[str], list[int]]:
