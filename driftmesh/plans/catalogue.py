@@ -111,6 +111,11 @@ def interpolate_orders(spark, d):
     return prepare.interpolate_gaps(tables.order_samples(spark, d, 60)).drop("trajectory_id")
 
 
+@query
+def interpolate_all_orders(spark, d):
+    return prepare.interpolate_gaps(tables.order_samples(spark, d)).drop("trajectory_id")
+
+
 @query
 def pad_paths(spark, d):
     return prepare.pad_paths(_samples(spark, d)).drop("trajectory_id")
