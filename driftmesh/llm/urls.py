@@ -25,8 +25,6 @@ from driftmesh.storage import materialize
 
 #: (verdict, host and path beginning)
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Segments of a path that the tree tells apart; what lies deeper is one wildcard.
-DEPTH = 6
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -51,8 +49,7 @@ def path_shape(path: Column) -> Column:
     parts = F.split(F.regexp_replace(path, "^/+|/+$", ""), "/+")
     ending = r"(\.[A-Za-z]{2,5})?$"
     odd = lambda s: F.when(s.rlike(r"[0-9]") | (F.char_length(s) > 24), F.concat(F.lit("*"), F.regexp_extract(s, ending, 1))).otherwise(s)
-    head = F.transform(F.slice(parts, 1, DEPTH), odd)
-    return F.when(F.size(parts) > DEPTH, F.concat(head, F.array(F.lit("**")))).otherwise(head)
+    return F.transform(parts, odd)
 
 
 def generalise(leaves: DataFrame, max_children: int, min_share: float) -> DataFrame:
