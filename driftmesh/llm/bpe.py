@@ -16,7 +16,7 @@ import re
 import sys
 import unicodedata
 from array import array
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from functools import cache
 from itertools import accumulate
 
@@ -81,7 +81,9 @@ class PrefixCounter:
         self.pattern = word_pattern()
         self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.words: dict[str, bytes | array] = {}
-        self.units: dict[str, int] = {}
+        self.known: dict[str, int] = {}
+        #: whether no token has a space after another character
+        self.spaces_begin = all(b" " not in token.lstrip(b" ") for token in self.token)
         self.stable: dict[int, bool] = {}
 
     def _stable(self, left: int, right: int) -> bool:
@@ -141,21 +143,49 @@ class PrefixCounter:
             at = match.end()
         return words + self.pattern.findall(text, at)
 
+    def units(self, text: str) -> list[str] | None:
+        """The text cut before every space, if each part can be counted on its own.
+
+        A word never reaches over a space into what comes before, unless two blanks
+        stand side by side and the vocabulary joins them.
+        """
+        if not self.spaces_begin or "  " in text or (self.special is not None and self.special.search(text)):
+            return None
+        first, *rest = text.split(" ")
+        return [first, *[" " + unit for unit in rest]]
+
+    def unit(self, unit: str) -> int:
+        """Tokens of one part of ``units``."""
+        count = self.known.get(unit)
+        if count is None:
+            if len(self.known) >= MEMORY:
+                self.known.clear()
+            count = self.known[unit] = sum(self.word(w)[-1] for w in self.pattern.findall(unit))
+        return count
+
     def total(self, text: str) -> int:
         """Tokens of the whole text: the count at its last prefix."""
-        if "  " in text or (self.special is not None and self.special.search(text)):
+        units = self.units(text)
+        if units is None:
             return sum(1 if self.is_special(w) else self.word(w)[-1] for w in self.cut(text))
-        # without double spaces, a word never reaches over a space into what comes before
-        known, units = self.units, text.split(" ")
-        total = sum(self.word(w)[-1] for w in self.pattern.findall(units[0]))
-        for unit in units[1:]:
-            count = known.get(unit)
-            if count is None:
-                if len(known) >= MEMORY:
-                    known.clear()
-                count = known[unit] = sum(self.word(w)[-1] for w in self.pattern.findall(" " + unit))
-            total += count
-        return total
+        return sum(map(self.unit, units))
+
+    def measure(self, text: str, budget: int) -> tuple[int, int]:
+        """Tokens of the text, and characters of its longest prefix of at most ``budget``.
+
+        Counts grow by one at least from unit to unit, so the longest prefix ends in
+        the unit after the last one that fits; only that unit is looked at within.
+        """
+        units = self.units(text)
+        if units is None:
+            index = PrefixIndex(self, text)
+            return index.total, index.longest(budget)
+        ends = list(accumulate(map(self.unit, units)))
+        if ends[-1] <= budget:
+            return ends[-1], len(text)
+        last = bisect_right(ends, budget)
+        before = ends[last - 1] if last else 0
+        return ends[-1], sum(map(len, units[:last])) + PrefixIndex(self, units[last]).longest(budget - before)
 
     def is_special(self, word: str) -> bool:
         return self.special is not None and self.special.fullmatch(word) is not None

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from driftmesh.llm.arrow import id_and_text, map_batches
-from driftmesh.llm.bpe import PrefixCounter, PrefixIndex
+from driftmesh.llm.bpe import PrefixCounter
 
 
 @lru_cache(maxsize=2)
@@ -28,13 +28,13 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     def count(batch: pa.RecordBatch) -> dict:
         counter = _counter(path)
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        totals = [counter.total(t) for t in texts]
+        totals, fits = zip(*[counter.measure(t, limit) for t in texts], strict=True) if texts else ((), ())
         return {
             "id": batch.column("id"),
             "n_bytes": [len(t.encode()) for t in texts],
             "n_tokens": totals,
             "over_limit": [n > limit for n in totals],
-            "n_fit": [fit(counter, t, limit) if n > limit else len(t) for t, n in zip(texts, totals, strict=True)],
+            "n_fit": fits,
         }
 
     made = id_and_text(docs, id_col, text_col)
@@ -42,18 +42,3 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     counted = map_batches(made, count, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean, n_fit long")
     return counted.withColumnRenamed("id", id_col)
 
-
-def fit(counter: PrefixCounter, text: str, limit: int) -> int:
-    """Characters of the longest prefix of at most ``limit`` tokens.
-
-    A text of that many tokens cannot be longer than a prefix that is known to be
-    over the limit by a few words, so the index is built for such a prefix only.
-    """
-    size = 8 * limit + 64
-    while size < len(text):
-        index = PrefixIndex(counter, text[:size])
-        # the last words could be cut differently in the whole text
-        if len(index.before) > 8 and index.before[-8] > limit + 3:
-            return index.longest(limit)
-        size *= 2
-    return PrefixIndex(counter, text).longest(limit)
