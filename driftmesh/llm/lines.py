@@ -27,7 +27,8 @@ def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int, id_col: str,
     """One row per repeated line: h1, h2, keeper (the largest id holding it)."""
     keys = F.array_distinct(F.filter(line_keys(F.col(text_col)), lambda k: F.char_length(k) >= min_chars))
     h1, h2 = key128(F.col("key"))
-    held = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(keys).alias("key"))
+    # the outer form, as the inner one makes the keys a second time to see whether there are any
+    held = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode_outer(keys).alias("key")).filter(F.col("key").isNotNull())
     counted = held.select("id", h1.alias("h1"), h2.alias("h2")).groupBy("h1", "h2").agg(F.count_distinct("id").alias("n_docs"), F.max("id").alias("keeper"))
     return counted.filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
 
@@ -45,9 +46,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     # written, so that the join below deals both sides itself and can split a hot hash
     repeated = materialize(repeated_lines(docs, min_docs, min_chars, id_col, text_col), "repeated-lines")
     version = F.xxhash64(F.col(text_col))
+    # the version is made before lines are exploded, or every line would carry the text to hash it
     placed = (
         docs.filter(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("id"), version.alias("version"), F.posexplode(line_keys(F.col(text_col))).alias("pos", "key"))
+        .select(F.col(id_col).alias("id"), version.alias("version"), line_keys(F.col(text_col)).alias("keys"))
+        .select("id", "version", F.posexplode_outer("keys").alias("pos", "key"))
         .filter(F.char_length("key") >= min_chars)
         .select("id", "version", "pos", h1.alias("h1"), h2.alias("h2"))
     )
