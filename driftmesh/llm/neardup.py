@@ -46,5 +46,7 @@ def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> D
     kept = docs.join(materialize(gone, "near-copies"), id_col, "left_anti").select(docs.columns)
     if groups.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").isEmpty():
         return kept
-    once = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    # of rows that repeat an id the first one in order of all columns stays, on every run alike
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = kept.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(row).alias("__row")).select(*[F.col("__row")[c].alias(c) for c in docs.columns])
     return once.unionAll(kept.filter(F.col(id_col).isNull()))

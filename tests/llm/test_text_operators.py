@@ -331,11 +331,61 @@ def test_links_connect_all_near_prints(spark, radius):
     assert same(root) == same(top)
 
 
-def test_shells_move_by_one():
-    for bits in (8, 16):
-        points = vptree.vantage_points(bits)
-        assert len(set(points)) == len(points)
-        assert all(abs((v ^ p).bit_count() - ((v ^ 1 << b) ^ p).bit_count()) == 1 for v in (0, 37, 255) for b in range(bits) for p in points)
+def _random_prints(n, seed=3):
+    import numpy as np
+
+    return np.unique(np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * 2)
+
+
+@pytest.mark.parametrize("radius", range(9))
+def test_some_view_allows_every_near_pair(radius):
+    found = vptree.views(radius)
+    assert sum(v.radius + 1 for v in found) > radius
+    covered = [b for v in found for b in range(v.shift, v.shift + v.bits)]
+    assert len(covered) == len(set(covered)) and max(covered) < 64
+
+
+def test_compared_pairs_grow_slowly():
+    import numpy as np
+
+    def compared(n):
+        prints, views = _random_prints(n), 3
+        columns = np.repeat(np.arange(views), len(prints)), np.zeros(views * len(prints), np.int64)
+        return vptree.shard_links(*columns, np.tile(prints, views), np.ones(views * len(prints), bool), 4)[2] / len(prints)
+
+    few, many = compared(4_000), compared(64_000)
+    assert many < 4 * few  # sixteen times the fingerprints
+
+
+def test_no_leaf_is_left_large():
+    import numpy as np
+
+    prints = _random_prints(20_000)
+    for view in vptree.views(4):
+        row, leaf, home = vptree.fine_leaves(prints, np.zeros(len(prints), np.int64), np.ones(len(prints), bool), view)
+        assert sorted(row[home]) == list(range(len(prints)))
+        values = view.of(prints[row[home]])
+        for name, n in Counter(leaf[home].tolist()).items():
+            assert n <= vptree.LEAF_ROWS or len(set(values[leaf[home] == name])) == 1
+
+
+def test_hot_leaf_is_dealt_in_parts(spark):
+    """A third of all fingerprints in one narrow place: the shards stay bounded, and no link is lost."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    near = np.uint64(0x123456789ABCDEF0) ^ (np.uint64(1) << rng.integers(0, 64, 700).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 700).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 700).astype(np.uint64))
+    values = np.unique(np.concatenate([near, _random_prints(1400)]))
+    made = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fingerprint long")
+    links = vptree.near_links(made, 4, shard_rows=150, sample=60).collect()
+    at = lambda column: np.searchsorted(values, np.array([r[column] for r in links], np.int64).view(np.uint64))
+    labels = vptree._roots(np.arange(len(values)), at("src"), at("dst"))
+    truth = np.arange(len(values))
+    for k in range(len(values)):
+        same = np.flatnonzero(np.bitwise_count(values ^ values[k]) <= 4)
+        truth = vptree._roots(truth, same, np.full(len(same), k))
+    classes = lambda found: {frozenset(np.flatnonzero(found == x).tolist()) for x in set(found.tolist())}
+    assert classes(labels) == classes(truth)
 
 
 # long repeated strings
