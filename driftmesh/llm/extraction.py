@@ -1,16 +1,17 @@
 """HTML extraction: a page's main text, by comparing it with its nearest page.
 
 Pages are sorted by host and URL path, and neighbours of a host are paired. The
-blocks of both are aligned by a longest common subsequence; what they share
-outside an article is page furniture and goes. Zones read from the markup guard
-the result: blocks inside an article stay though another page has them too (copied
-articles would vanish otherwise), and blocks of named furniture go though no other
-page has them (an advert that is new on every page).
-
-The order is found on host, path and id alone. Split points, one for each chunk,
-are taken at even ranks within a host, so every pair falls into one chunk; texts
-are then shuffled once, into chunks of a bounded number of pages, however many
-pages a host has.
+blocks of both are aligned by a longest common subsequence, and what they share is
+page furniture and goes. Two guards keep the result right. Zones read from the
+markup: blocks of named furniture go though no other page has them (an advert that
+is new on every page), and inside an article only label-like lines go (a sentence
+that two articles share is part of both). And pages that share much of their text
+are copies, of which the shared lines say nothing.
+
+The order is found on host, path, id and size alone. Split points, one for each
+chunk, are taken at even ranks within a host, so every pair falls into one chunk;
+texts are then shuffled once, into chunks of a bounded number of bytes, however
+many pages a host has.
 """
 
 from __future__ import annotations
@@ -23,13 +24,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmesh.llm.arrow import map_batches
-from driftmesh.llm.markup import CHROME, MAIN, page_blocks
+from driftmesh.llm.markup import MAIN, OTHER, page_blocks
 from driftmesh.llm.urls import host_and_path
 from driftmesh.storage import materialize
 
-#: Pages in a chunk, about; and chunks at most, as there is a split point in memory for each.
-CHUNK_PAGES = 500
-MAX_CHUNKS = 100_000
+#: Bytes of pages in a chunk, about.
+CHUNK_BYTES = 4 << 20
+#: Split points that are broadcast at most (some 100 MB); beyond (4 TB of pages) chunks grow instead.
+MAX_POINTS = 1_000_000
+#: Bytes that a task gets, of keys and of pages.
+KEY_BYTES, TASK_BYTES = 32 << 20, 64 << 20
+#: Words of a line that may be a label, such as "Read more".
+LABEL_WORDS = 8
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
@@ -72,48 +78,76 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return shared
 
 
-def main_text(blocks: list[str], zones: list[int], other: list[str]) -> str:
-    """The main text of a page, given the blocks of its nearest page."""
-    shared = common_lines(blocks, other) if other else set()
-    article = [b for b, z in zip(blocks, zones, strict=True) if z == MAIN]
-    if article:
-        return "\n".join(article)
-    plain = [(i, b) for i, (b, z) in enumerate(zip(blocks, zones, strict=True)) if z != CHROME]
-    own = [b for i, b in plain if i not in shared]
-    # two copies of a page share everything, which says nothing about furniture
-    return "\n".join(own or [b for _, b in plain])
+def is_label(line: str) -> bool:
+    """A few words that are no sentence."""
+    return line[-1:] not in ".!?:;,\u2026\u3002\"'\u201d" and len(line.split(None, LABEL_WORDS)) <= LABEL_WORDS
 
 
-def _split_points(pages: DataFrame, n_chunks: int) -> list[tuple[str, str, int]]:
-    """Keys (host, path, id) at which chunks begin, each at an even rank in its host."""
+def main_text(blocks: list[str], zones: list[int], other: list[str]) -> str:
+    """The main text of a page, given the blocks of its nearest page.
+
+    Furniture always goes. What stands neither in furniture nor in an article goes
+    if it is shared; if there is an article and nothing to compare it with (no other
+    page, or a copy), it goes as well. In an article, shared labels go.
+    """
+    shared = common_lines(blocks, other) if other else set()
+    size = [len(b) for b in blocks]
+    article = [i for i, z in enumerate(zones) if z == MAIN]
+    plain = [i for i, z in enumerate(zones) if z == OTHER]
+    own = [i for i in plain if i not in shared]
+    if not article:
+        # two copies of a page share everything, which says nothing about furniture
+        return "\n".join(blocks[i] for i in own or plain)
+    compared = bool(other) and 4 * sum(size[i] for i in article if i in shared) < sum(size[i] for i in article)
+    if not compared:
+        return "\n".join(blocks[i] for i in article)
+    stay = sorted([i for i in article if i not in shared or not is_label(blocks[i])] + own)
+    return "\n".join(blocks[i] for i in stay)
+
+
+def _split_points(pages: DataFrame, chunk_bytes: int) -> list[tuple[str, str, int]]:
+    """Keys (host, path, id) at which chunks begin, each at an even rank in its host.
+
+    ``pages`` has host, path, id and n_bytes.
+    """
     order = ["host", "path", "id"]
-    dealt = pages.select(*order).repartitionByRange(n_chunks, *order).withColumn("chunk", F.spark_partition_id())
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = materialize(pages, "page-keys")
+    key_bytes, n_bytes = keys.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 16), F.sum("n_bytes")).first()
+    chunk_bytes = max(chunk_bytes, (n_bytes or 0) // MAX_POINTS)
+    dealt = keys.repartitionByRange(max(tasks, (key_bytes or 0) // KEY_BYTES), *order).withColumn("part", F.spark_partition_id())
     dealt = materialize(dealt, "page-order")
-    sizes = dealt.groupBy("host", "chunk").agg(F.count("*").alias("n"))
-    within = Window.partitionBy("host").orderBy("chunk")
+    sizes = dealt.groupBy("host", "part").agg(F.count("*").alias("n"))
+    within = Window.partitionBy("host").orderBy("part")
     sizes = sizes.withColumn("before", F.sum("n").over(within) - F.col("n")).withColumn("in_host", F.sum("n").over(Window.partitionBy("host")))
-    at = F.row_number().over(Window.partitionBy("chunk", "host").orderBy("path", "id")) - 1
-    ranked = dealt.withColumn("at", at).join(sizes, ["host", "chunk"]).withColumn("rank", F.col("before") + F.col("at"))
+    in_part = Window.partitionBy("part").orderBy(*order)
+    piece = F.floor((F.sum("n_bytes").over(in_part.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_bytes")) / chunk_bytes)
+    placed = dealt.select(*order, "part", F.row_number().over(in_part).alias("row"), piece.alias("piece"))
+    at = F.col("row") - F.min("row").over(Window.partitionBy("part", "host"))
+    ranked = placed.withColumn("at", at).join(sizes, ["host", "part"]).withColumn("rank", F.col("before") + F.col("at"))
     alone = (F.col("rank") == F.col("in_host") - 1) & (F.col("rank") > 0)
     fit = ranked.filter((F.col("rank") % 2 == 0) & ~alone)
-    points = fit.groupBy("chunk").agg(F.min(F.struct(*order)).alias("key"))
+    points = fit.groupBy("part", "piece").agg(F.min(F.struct(*order)).alias("key"))
     # one row per chunk
     return sorted((r["key"]["host"], r["key"]["path"], r["key"]["id"]) for r in points.collect())
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", chunk_pages: int = CHUNK_PAGES) -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per row of ``pages``: id, url, text, n_chars.
 
     Null and empty pages have an empty text. Pages without a host (null or odd
     URLs) are neighbours of each other. Repeated rows are paired like any others;
     a null id sorts first. A page that is alone on its host is judged by its
-    markup only.
+    markup only. Long and malformed pages are read whole, in time linear in them
+    but for the alignment (lines of one page times lines of the other, 64 at a time).
     """
     host, path = host_and_path(F.col(url_col))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
     keyed = pages.select(host.alias("host"), path.alias("path"), key.alias("id"), F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.col(html_col).alias("text"))
-    n_chunks = min(MAX_CHUNKS, max(1, round(pages.count() / chunk_pages)))
-    points = pages.sparkSession.sparkContext.broadcast(_split_points(keyed, n_chunks)[1:])
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64
+    found = _split_points(keyed.select("host", "path", "id", n_bytes.alias("n_bytes")), chunk_bytes)
+    points = pages.sparkSession.sparkContext.broadcast(found[1:])
+    tasks = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(found) * chunk_bytes // TASK_BYTES)
     kind = keyed.schema["page"].dataType.simpleString()
 
     def cut(batch: pa.RecordBatch) -> dict:
@@ -139,5 +173,5 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         return pa.table({"page": pa.array(page, chunk.schema.field("page").type), "url": pa.array(url, pa.string()), "text": pa.array(text, pa.string())})
 
     dealt = map_batches(keyed, cut, f"host string, path string, id long, page {kind}, url string, chunk long, blocks array<string>, zones array<int>")
-    texts = dealt.groupBy("chunk").applyInArrow(compare, f"page {kind}, url string, text string")
+    texts = dealt.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(compare, f"page {kind}, url string, text string")
     return texts.select(F.col("page").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -8,7 +8,8 @@ from html import unescape
 #: Where a block stands: in the article, in page furniture, or neither.
 MAIN, CHROME, OTHER = 0, 1, 2
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_STOP = re.compile(r">|=\s*([\"'])")
 _MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 # Element names by what they do to the text, and the words that name furniture.
@@ -55,7 +56,7 @@ class _Page:
 
     def enter(self, tag: str, attributes: str) -> None:
         zone, names = self.zone, _names(attributes) if attributes else set()
-        if tag in _ARTICLE or "main" in names:
+        if tag in _ARTICLE or ("main" in names and not names & _TOP_NAMES):
             # an unclosed menu does not swallow the article, a list of comments does
             closed = zone == CHROME and self.open and self.open[-1][0] not in {"aside", "section", "div"} and not names & _NAMES
             zone = MAIN if zone != CHROME or closed else CHROME
@@ -80,31 +81,85 @@ class _Page:
         del self.open[depth:]
 
 
+class _Scanner:
+    """Cuts a page into tags in one forward pass, however malformed it is."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = html.rfind(">")
+        #: until a tag's quotes turn out not to end, ``>`` in quotes does not end a tag
+        self.quoted = True
+
+    def _past(self, mark: str, at: int) -> int:
+        end = self.html.find(mark, at)
+        return len(self.html) if end < 0 else end + len(mark)
+
+    def _tag_end(self, at: int) -> int:
+        """Where the ``>`` of a tag stands; there is one after ``at``."""
+        here = at
+        while self.quoted:
+            stop = _STOP.search(self.html, here)
+            if stop is None:
+                self.quoted = False
+                break
+            if not stop[1]:
+                return stop.start()
+            end = self.html.find(stop[1], stop.end())
+            if end < 0:
+                self.quoted = False
+                break
+            here = end + 1
+        return self.html.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, whether it closes, attributes) of the next tag or comment, which has no name."""
+        while True:
+            start = self.html.find("<", at)
+            if start < 0:
+                return None
+            if self.html.startswith("<!--", start):
+                return start, self._past("-->", start + 4), "", False, ""
+            if self.html.startswith("<![CDATA[", start):
+                return start, self._past("]]>", start), "", False, ""
+            if start > self.last:
+                return None  # what follows is text
+            if self.html.startswith(("<!", "<?"), start):
+                return start, self._past(">", start), "", False, ""
+            tag = _TAG.match(self.html, start)
+            if tag is None:
+                at = start + 1
+                continue
+            end = self._tag_end(tag.end())
+            if end < 0:
+                return None
+            return start, end + 1, tag[2].lower(), bool(tag[1]), self.html[tag.end() : end]
+
+
 def page_blocks(html: str) -> tuple[list[str], list[int]]:
-    """The text blocks of a page in order, and the zone of each."""
-    page, at, size = _Page(), 0, len(html)
+    """The text blocks of a page in order, and the zone of each, in time linear in the page."""
+    page, scanner, at, size = _Page(), _Scanner(html), 0, len(html)
     while at < size:
-        token = _TOKEN.search(html, at)
-        if token is None:
+        found = scanner.next(at)
+        if found is None:
             page.text.append(html[at:])
             break
-        page.text.append(html[at : token.start()])
-        at = token.end()
-        tag = (token[2] or "").lower()
+        start, end, tag, closes, attributes = found
+        page.text.append(html[at:start])
+        at = end
         if not tag:
             continue
         if tag in _SPACED:
             page.text.append(" ")
         elif tag not in _INLINE:
             page.end_block()
-        if token[1]:
+        if closes:
             page.leave(tag)
         elif tag in _RAW:
-            end = re.compile(rf"</{tag}[^>]*>", re.I).search(html, at)
-            at = end.end() if end else size
-        elif tag not in _VOID and not token[3].endswith("/"):
+            close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+            at = scanner._past(">", close.end()) if close else size
+        elif tag not in _VOID and not attributes.endswith("/"):
             if tag in {"p", "li", "option", "tr", "dt", "dd"} and page.open and page.open[-1][0] == tag:
                 page.leave(tag)  # these end where the next one begins
-            page.enter(tag, token[3])
+            page.enter(tag, attributes)
     page.end_block()
     return page.blocks, page.zones

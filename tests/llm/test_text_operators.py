@@ -540,8 +540,8 @@ def test_extraction(spark):
     pages = [(k, f"http://h.net/{k:03d}", plain.format(f"Text number {k}")) for k in range(31)]
     pages += [(100, "http://solo.net/", plain.format("alone")), (101, None, None), (None, "http://h.net/000", ""), (102, "http://c.net/1", plain.format("copy")), (103, "http://c.net/2", plain.format("copy"))]
     made = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
-    for size in (5, 1000):
-        got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in extraction.extract_text(made, chunk_pages=size).collect()}
+    for size in (300, 1 << 20):
+        got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in extraction.extract_text(made, chunk_bytes=size).collect()}
         assert len(got) == len(pages)
         for k in range(1, 31):
             assert got[k] == (f"http://h.net/{k:03d}", f"Text number {k}", len(f"Text number {k}"))
