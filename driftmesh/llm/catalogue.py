@@ -60,7 +60,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    docs, path = _documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")
+    bands = quality.fit_bands(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), path)
+    return quality.quality_rules(docs, path, bands)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,10 +31,12 @@ def test_columns(stages):
     assert all(s.columns == stages[0].columns for s in stages[:-1])
 
 
-def test_quality_stage(stages):
+def test_quality_stage(stages, spark):
     from driftmesh.llm import quality
 
-    judged = quality.quality_rules(stages[0], public_tokenizers.path("piece_bpe_32k.model")).filter("kept")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    bands = quality.fit_bands(stages[0], spark.read.parquet(f"{FOLDER}/labels.parquet"), path)
+    judged = quality.quality_rules(stages[0], path, bands).filter("kept")
     assert [i for i, _ in texts(stages[1])] == sorted(r["doc_id"] for r in judged.collect())
     before = dict(texts(stages[0]))
     assert all(before[i] == t and not small.brute_quality(t)[-1] for i, t in texts(stages[1]))
