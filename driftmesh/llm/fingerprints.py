@@ -15,21 +15,30 @@ SEED = 42
 _SMALL = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def simhash(text: bytes | None, size: int = 4) -> int:
-    """The fingerprint of one UTF-8 text; 0 for null and for texts without words."""
+def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
+    """Hashes of the shingles of one UTF-8 text in order, repeats included; a shorter text is one shingle."""
     words = (text or b"").translate(_SMALL).split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
-    ends = list(accumulate(len(w) + 1 for w in words))
     if len(words) <= size:
-        hashes = [xxh64_intdigest(joined, SEED)]
-    else:
-        starts = [0, *ends]
-        hashes = [xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[size - 1 :], strict=False)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    majority = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
-    return int(np.packbits(majority, bitorder="little").view("<u8")[0])
+        return np.array([xxh64_intdigest(joined, SEED)], "<u8")
+    ends = list(accumulate(len(w) + 1 for w in words))
+    starts = [0, *ends]
+    return np.array([xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[size - 1 :], strict=False)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that over half of the hashes have set; 0 for none."""
+    if not len(hashes):
+        return 0
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def simhash(text: bytes | None, size: int = 4) -> int:
+    """The fingerprint of one UTF-8 text; 0 for null and for texts without words."""
+    return majority(shingle_hashes(text, size))
 
 
 def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

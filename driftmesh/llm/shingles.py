@@ -1,31 +1,35 @@
-"""Near copies by exact Jaccard similarity of word shingles: a prefix-filtered self-join.
-
-Texts are sets of hashed shingles, and equal sets are one node. Under any order of
-all shingles, two sets of similarity s or more share one among the first
-n - ceil(s * n) + 1 of each, so sets meet only under those. The order puts shingles
-that many documents of a sample hold last; the sample decides how many sets meet,
-never which of them are found. Sets that meet are compared by profile (how many of
-their shingles fall in each of 128 classes, which bounds what they can share), and
-those that may be similar shingle by shingle.
-
-The sets under one shingle are first compared with one of them, and what that links
-is joined; then all pairs still in different components are compared. A large group
-of copies thus costs a row per copy and shingle, not one per pair.
+"""Near copies by SimHash and exact Jaccard similarity of word shingles.
+
+Texts are sets of hashed shingles, and equal sets are one node. Fingerprints of the
+same shingles that differ in a few bits are found with vantage-point trees, and the
+pairs they link are compared exactly. Fingerprints miss pairs at the lower end of the
+similarity, so what they have not joined goes through a prefix-filtered self-join:
+under any order of all shingles, two sets of similarity s or more share one among
+the first n - ceil(s * n) + 1 of each, at places that leave enough shingles for what
+they have to share. The order puts shingles that many documents of a sample hold
+last; the sample decides how many sets meet, never which of them are found. Sets
+that meet are compared by profile (how many of their shingles fall in each of 128
+classes, which bounds what they can share), and those that may be similar shingle by
+shingle.
+
+The sets under one shingle are first compared with one of them, a central one of
+which few shingles are rare, and what that links is joined. That is repeated with
+other centres while it pays; then all pairs still in different components are
+compared. A large group of copies thus costs a few rows per copy, not one per pair.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import accumulate
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from driftmesh.llm.arrow import id_and_text, map_batches
-from driftmesh.llm.fingerprints import SEED, _SMALL
+from driftmesh.llm.fingerprints import SEED, majority, shingle_hashes
+from driftmesh.llm.vptree import near_links
 from driftmesh.operators.components import component_labels
 from driftmesh.storage import materialize
 
@@ -33,23 +37,17 @@ from driftmesh.storage import materialize
 SAMPLE = 5_000
 #: Shingles of the sample, the most common ones, that the order knows.
 KNOWN = 100_000
-#: Rounds of comparing with one set per shingle before all pairs are compared.
-STARS = 2
+#: Rounds of comparing with one set per shingle, at most, before all pairs are compared;
+#: and rows per set up to which all pairs are compared at once.
+STARS = 8
+ROWS = 4
 #: Numbers of a set's profile.
 PROFILE = 128
 
 
 def shingle_set(text: bytes | None, size: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; a shorter text is one shingle."""
-    words = (text or b"").translate(_SMALL).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    if len(words) <= size:
-        return np.array([xxh64_intdigest(joined, SEED)], np.uint64)
-    starts = [0, *ends]
-    return np.unique(np.array([xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[size - 1 :], strict=False)], np.uint64))
+    return np.unique(shingle_hashes(text, size))
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -65,8 +63,12 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
+def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
+    return batch.column("text").cast(pa.binary()).to_pylist()
+
+
 def _sets(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
-    return [shingle_set(t, size) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+    return [shingle_set(t, size) for t in _texts(batch)]
 
 
 def _common(plain: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,65 +142,107 @@ def _similar(pairs: DataFrame, plain: DataFrame, nodes: DataFrame, similarity: f
     return _kept_pairs(_both(likely, sets, "shingles"), _by_shingle, similarity)
 
 
+def _fingerprint_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """a, b: nodes of equal fingerprints, and of those linked within ``radius`` bits."""
+    prints = materialize(nodes.groupBy("fingerprint").agg(F.min("node").alias("one")), "node-fingerprints")
+    alike = nodes.join(prints, "fingerprint").select(F.col("one").alias("a"), F.col("node").alias("b"))
+    links = near_links(prints.select("fingerprint"), radius)
+    near = links.join(prints.toDF("src", "a"), "src").join(prints.toDF("dst", "b"), "dst").select("a", "b")
+    pairs = alike.unionAll(near).filter(F.col("a") != F.col("b"))
+    return materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "fingerprint-pairs")
+
+
 def _open(shared: DataFrame, links: DataFrame | None, turn: int) -> DataFrame:
     """``shared`` with the label of each node and one node (the hub) per shingle, without shingles of one component."""
     named = shared.withColumn("label", F.col("node"))
     if links is not None:
         named = shared.join(component_labels(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    group = Window.partitionBy("shingle")
-    order = F.struct(F.xxhash64(F.lit(turn), "node"), "node", "n", "label")
-    hubs = named.select("*", F.min(order).over(group).alias("hub"), F.min("label").over(group).alias("least"), F.max("label").over(group).alias("most"))
-    one = hubs.filter("least < most").select("shingle", "node", "n", "label", "hub.node", "hub.n", "hub.label")
-    return materialize(one.toDF("shingle", "node", "n", "label", "node2", "n2", "label2"), "open-shingles")
+    order = F.struct(-F.col("centrality"), F.xxhash64(F.lit(turn), "node"), "node", "n", "pos", "label")
+    hubs = named.groupBy("shingle").agg(F.min(order).alias("hub"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most")
+    one = named.join(hubs, "shingle").select(*ROW, "label", *[F.col("hub")[c].alias(f"{c}2") for c in ("node", "n", "pos", "label")])
+    return materialize(one, "open-shingles")
+
+
+#: Columns of a set's place under a shingle.
+ROW = ["shingle", "node", "n", "pos", "centrality"]
 
 
 def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of different components; sets of too different sizes cannot be similar."""
-    alike = F.least("n", "n2") >= F.greatest("n", "n2") * F.lit(similarity) - F.lit(1e-9)
+    """Pairs of different components that may share enough.
+
+    Sets of too different sizes cannot, nor those where too few shingles come after
+    the first one they share; of a similar pair's rows, that of its first passes.
+    """
+    least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("n2")) - F.lit(1e-9))
+    alike = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= least
     apart = rows.filter((F.col("label") != F.col("label2")) & alike)
     return materialize(apart.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), "meeting-pairs")
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _shared_shingles(printed: DataFrame) -> DataFrame:
+    """Prefix shingles that several nodes have, with each node's size, the shingle's place in it, and how central it is."""
+    sets = printed.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    meet = sets.select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    several = meet.groupBy("shingle").count().filter("count > 1").select("shingle")
+    shared = materialize(meet.join(several, "shingle").select("shingle", "node", "n", "pos"), "shared-shingles")
+    # the share of its prefix that others have as well, in steps, so that turns differ in the centre they take
+    central = shared.groupBy("node").agg(F.round(20 * F.count("*") / F.first("n")).alias("centrality"))
+    return shared.join(central, "node").select(*ROW)
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id and component_id.
 
     Documents whose sets of ``size``-word shingles have a Jaccard similarity of
     ``similarity`` or more are linked; component_id is the smallest id reachable over
     links. Texts without words are equal sets, and so linked to each other; null ids
-    are never the smallest unless a group has no other; repeated rows stay.
+    are never the smallest unless a group has no other; repeated rows stay. ``radius``
+    decides which links fingerprints find, not which are found in all.
     """
     plain = id_and_text(docs, id_col, text_col)
     known, counts = _common(plain, size)
     kind = plain.schema["id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> dict:
-        made = _sets(batch, size)
-        prefixes = [_prefix(s, known, counts, similarity).view(np.int64) for s in made]
-        return {"id": batch.column("id"), "node": [node_of(s) for s in made], "n": [len(s) for s in made], "prefix": prefixes, "profile": list(map(profile, made))}
-
-    printed = map_batches(plain, run, f"id {kind}, node long, n long, prefix array<long>, profile binary")
+        hashes = [shingle_hashes(t, size) for t in _texts(batch)]
+        made = list(map(np.unique, hashes))
+        return {
+            "id": batch.column("id"),
+            "node": list(map(node_of, made)),
+            "n": list(map(len, made)),
+            "fingerprint": np.array(list(map(majority, hashes)), np.uint64).view(np.int64),
+            "prefix": [_prefix(s, known, counts, similarity).view(np.int64) for s in made],
+            "profile": list(map(profile, made)),
+        }
+
+    printed = map_batches(plain, run, f"id {kind}, node long, n long, fingerprint long, prefix array<long>, profile binary")
     printed = materialize(printed, "shingle-nodes")
     prints = printed.select("id", "node")
-    nodes = materialize(printed.groupBy("node").agg(F.min("id").alias("first"), F.first("profile").alias("profile")), "nodes")
-    meet = printed.select(F.explode("prefix").alias("shingle"), "node", "n")
-    group = Window.partitionBy("shingle")
-    several = meet.select("*", F.min("node").over(group).alias("least"), F.max("node").over(group).alias("most"))
-    shared = materialize(several.filter("least < most").select("shingle", "node", "n"), "shared-shingles")
+    nodes = printed.groupBy("node").agg(F.min("id").alias("first"), F.first("profile").alias("profile"), F.min("fingerprint").alias("fingerprint"))
+    nodes = materialize(nodes, "nodes")
+    n_nodes = nodes.count()
 
-    links: DataFrame | None = None
+    links = materialize(_similar(_fingerprint_pairs(nodes, radius), plain, nodes, similarity, size), "similar-links")
+    shared = _shared_shingles(printed)
+    pays = True
     for turn in range(STARS + 1):
         left = _open(shared, links, turn)
-        if left.isEmpty():
+        held = left.groupBy("shingle").agg(F.count("*").alias("n"))
+        all_pairs = held.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
+        if all_pairs is None:
+            break
+        last = turn == STARS or not pays or all_pairs <= ROWS * n_nodes
+        shared = left.select(*ROW)
+        if last:
+            mine = left.select("shingle", "node", "n", "pos", "label")
+            left = mine.join(mine.toDF("shingle", "node2", "n2", "pos2", "label2"), "shingle").filter("node < node2")
+        pairs = _pairs(left, similarity)
+        found = materialize(_similar(pairs, plain, nodes, similarity, size), "new-links")
+        pays = 20 * found.count() >= pairs.count()
+        links = materialize(links.unionAll(found), "similar-links")
+        if last:
             break
-        shared = left.select("shingle", "node", "n")
-        if turn == STARS:
-            mine = left.select("shingle", "node", "n", "label")
-            left = mine.join(mine.toDF("shingle", "node2", "n2", "label2"), "shingle")
-        found = _similar(_pairs(left, similarity), plain, nodes, similarity, size)
-        links = materialize(found if links is None else links.unionAll(found), "similar-links")
-
-    if links is None:
-        return prints.join(nodes, "node").select(F.col("id").alias(id_col), F.col("first").alias("component_id"))
+
     named = nodes.join(component_labels(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = named.groupBy("label").agg(F.min("first").alias("component_id"))
     chosen = named.join(groups, "label").select("node", "component_id")

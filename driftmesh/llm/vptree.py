@@ -40,7 +40,7 @@ WORD = 64
 #: Rows that a shard gets on average, and a leaf at most before it is split.
 SHARD_ROWS = 20_000
 #: Fingerprints that the upper levels are grown on at most.
-SAMPLE = 65_536
+SAMPLE = 16_384
 #: Fingerprints that a leaf keeps.
 LEAF_ROWS = 16
 #: Candidate pairs compared at once.

@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 
 from tests.llm import test_text_operators as small
+from tests.llm.test_similar import brute_similar
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -47,7 +48,7 @@ def test_line_stage(stages):
 
 
 def test_near_copies_stage(stages):
-    expected = sorted({c for *_, c in small.brute_groups(texts(stages[2]))})
+    expected = sorted({c for *_, c in brute_similar(texts(stages[2]))})
     assert [i for i, _ in texts(stages[3])] == expected
 
 

@@ -44,9 +44,10 @@ def edited_copies(seed=5):
     return [(k, " ".join(t)) for k, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("stars", [0, 2])
-def test_similar_groups(spark, monkeypatch, stars):
+@pytest.mark.parametrize(("stars", "rows_per_set"), [(0, 4), (3, 0), (8, 4)])
+def test_similar_groups(spark, monkeypatch, stars, rows_per_set):
     monkeypatch.setattr(shingles, "STARS", stars)
+    monkeypatch.setattr(shingles, "ROWS", rows_per_set)
     table = edited_copies()
     made = spark.createDataFrame(table, "doc_id long, text string")
     assert rows(shingles.similar_groups(made), "doc_id", "component_id") == brute_similar(table)
