@@ -16,8 +16,13 @@ from driftmesh.storage import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or lie outside their language's band go."""
-    judged = quality.quality_rules(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_columns=True)
+    """Documents that fail the base rules or lie outside their language's band go.
+
+    Bands are fitted to the labelled ones among the documents. Null texts go.
+    """
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    bands = quality.fit_bands(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), path)
+    judged = quality.quality_rules(docs, path, bands, keep_columns=True)
     return judged.filter("kept").select(docs.columns)
 
 
@@ -30,7 +35,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id.
 
-    Near copies share 0.8 or more of their five-word shingles (Jaccard), compared exactly.
+    Near copies share 0.8 or more of their five-word shingles (Jaccard). SimHash
+    fingerprints within four bits link most of them, checked exactly; a prefix-filtered
+    join finds the rest.
     """
     return neardup.one_of_each(docs, shingles.similar_groups(docs, similarity=0.8, size=5))
 
