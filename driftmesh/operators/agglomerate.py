@@ -1,123 +1,177 @@
 """Order-dependent merging of groups, for one parameter set in one task.
 
 Which two groups merge next depends on all merges before, so this part has no
-parallel form; parameter sets run beside each other instead. The number of groups
-is checked against ``max_groups``, as memory is its square: exceeding it raises.
+parallel form; parameter sets run beside each other instead. Only pairs that may
+merge are held: those with a common member, or with an edge between them. They are
+kept as columns, so that a merge costs one pass over them, and memory grows with
+such pairs, not with the square of the groups.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_left
+from math import fsum
 
 import numpy as np
 
-MAX_GROUPS = 4000
-
-Strength = Callable[["Merger", int, int], float]
-
 
 class Merger:
-    """Groups in list order: the strongest pair merges and moves to the end."""
+    """Groups in list order: the strongest pair merges, and the union moves to the end.
+
+    Names grow with the order in the list, so a pair is two names in order.
+    """
 
-    def __init__(self, members: list[list[int]], strength: Strength, max_groups: int = MAX_GROUPS):
-        if len(members) > max_groups:
-            raise ValueError(f"{len(members)} groups to merge; at most {max_groups} are allowed")
+    def __init__(self, members: list[list[int]]):
         self.members = {name: sorted(set(m)) for name, m in enumerate(members)}
-        self.order = list(self.members)
-        self.strength = strength
-        self.on_merge: Callable[[int, float], None] | None = None
+        self.holders: dict[int, set[int]] = {}
+        for name, group in self.members.items():
+            for m in group:
+                self.holders.setdefault(m, set()).add(name)
+
+    def near(self, name: int) -> set[int]:
+        """Groups that may merge with ``name``."""
+        raise NotImplementedError
+
+    def strength(self, a: int, b: int) -> float | None:
+        """What a pair that may merge is worth, or None; asked once for each pair."""
+        raise NotImplementedError
+
+    def merged(self, a: int, b: int, name: int) -> None:
+        """Called when ``name`` has become the union of two groups, before those are gone."""
+
+    def settled(self, name: int, best: float) -> None:
+        """Called when the pairs of ``name`` are known."""
+
+    def _pairs(self, name: int, others: set[int]) -> list[tuple[int, int, float]]:
+        made = [(min(name, o), max(name, o)) for o in sorted(others)]
+        return [(a, b, s) for a, b in made if (s := self.strength(a, b)) is not None]
 
     def run(self) -> list[list[int]]:
-        n = len(self.order)
-        table = np.zeros((n, n))
-        for i in range(n):
-            for j in range(i + 1, n):
-                table[i, j] = table[j, i] = self.strength(self, i, j)
-        while len(self.order) > 1:
-            here = np.triu(table[np.ix_(self.order, self.order)], 1)
-            at = int(here.argmax())  # of equal strengths the first in list order
-            best = float(here.flat[at])
+        found = [p for name in self.members for p in self._pairs(name, {o for o in self.near(name) if o > name})]
+        first, second = (np.array([p[k] for p in found], np.int64) for k in (0, 1))
+        strength = np.array([p[2] for p in found], float)
+        while len(first):
+            best = strength.max()
             if best <= 0:
                 break
-            first, second = (self.order[k] for k in divmod(at, len(self.order)))
-            self.members[first] = sorted({*self.members[first], *self.members.pop(second)})
-            self.order = [g for g in self.order if g not in (first, second)] + [first]
-            last = len(self.order) - 1
-            for place, name in enumerate(self.order[:-1]):
-                table[name, first] = table[first, name] = self.strength(self, place, last)
-            if self.on_merge:
-                self.on_merge(first, best)
-        return [self.members[g] for g in self.order]
-
-
-def linkage(weights: dict[tuple[int, int], float], threshold: float) -> Strength:
-    """Total weight between two groups, if every member's mean reaches ``threshold``.
-
-    Weights are symmetric. Each group keeps its total weight to every node, so a
-    pair is judged in time linear in its members.
+            at = np.flatnonzero(strength == best)  # of equal strengths the first in list order
+            at = at[np.lexsort((second[at], first[at]))[0]]
+            a, b, name = int(first[at]), int(second[at]), max(self.members) + 1
+            self.members[name] = sorted({*self.members[a], *self.members[b]})
+            self.merged(a, b, name)
+            for old in (a, b):
+                for m in self.members.pop(old):
+                    self.holders[m].discard(old)
+            for m in self.members[name]:
+                self.holders[m].add(name)
+            stay = (first != a) & (first != b) & (second != a) & (second != b)
+            new = self._pairs(name, self.near(name) - {name})
+            first = np.append(first[stay], np.array([p[0] for p in new], np.int64))
+            second = np.append(second[stay], np.array([p[1] for p in new], np.int64))
+            strength = np.append(strength[stay], [p[2] for p in new])
+            self.settled(name, float(best))
+        return [self.members[name] for name in sorted(self.members)]
+
+
+class Linkage(Merger):
+    """Total weight between two groups, if every member's mean reaches a threshold.
+
+    Weights are symmetric. Each group keeps its total weight to the nodes it has
+    edges with, so a pair is judged in time linear in its members.
     """
-    place = {m: k for k, m in enumerate(sorted({m for pair in weights for m in pair}))}
-    dense = np.zeros((len(place) + 1, len(place) + 1))  # the last row is for nodes without edges
-    for (a, b), w in weights.items():
-        dense[place[a], place[b]] = w
-    known: dict[int, tuple[list[int], np.ndarray, np.ndarray]] = {}
-
-    def totals(merger: Merger, k: int) -> tuple[np.ndarray, np.ndarray]:
-        name = merger.order[k]
-        members = merger.members[name]
-        if name not in known or known[name][0] is not members:
-            at = np.array([place.get(m, len(place)) for m in members])
-            known[name] = (members, at, dense[at].sum(axis=0))
-        return known[name][1:]
-
-    def strength(merger: Merger, i: int, j: int) -> float:
-        (a, to_a), (b, to_b) = totals(merger, i), totals(merger, j)
-        from_a, from_b = to_b[a], to_a[b]
-        if (from_a / len(b) < threshold).any() or (from_b / len(a) < threshold).any():
-            return 0.0
-        return float(from_a.sum() + from_b.sum())
-
-    return strength
-
-
-def attachment(lengths: list[float], threshold: float, index: str = "position") -> tuple[Strength, Callable[[int, float], None]]:
+
+    def __init__(self, members: list[list[int]], weights: dict[tuple[int, int], float], threshold: float):
+        super().__init__(members)
+        self.threshold = threshold
+        self.weights: dict[int, dict[int, float]] = {}
+        for (a, b), w in weights.items():
+            self.weights.setdefault(a, {})[b] = w
+        self.totals = {name: self._totals(name) for name in self.members}
+
+    def _totals(self, name: int) -> dict[int, float]:
+        parts: dict[int, list[float]] = {}
+        for m in self.members[name]:
+            for node, w in self.weights.get(m, {}).items():
+                parts.setdefault(node, []).append(w)
+        return {node: fsum(ws) for node, ws in parts.items()}
+
+    def near(self, name: int) -> set[int]:
+        return set().union(*(self.holders.get(node, ()) for node in self.totals[name])) - {name}
+
+    def strength(self, a: int, b: int) -> float | None:
+        parts: list[float] = []
+        for one, other in ((a, b), (b, a)):
+            totals, size = self.totals[other], len(self.members[other])
+            shares = [totals.get(m, 0.0) for m in self.members[one]]
+            if any(s / size < self.threshold for s in shares):
+                return None
+            parts += shares
+        return fsum(parts)
+
+    def merged(self, a: int, b: int, name: int) -> None:
+        self.totals[name] = self._totals(name)
+        del self.totals[a], self.totals[b]
+
+
+class Attachment(Merger):
     """Mean of two groups' values, if each shares enough members with the other.
 
     A group's value is its itemset's length, and after a merge the strength of that
-    merge. ``position`` looks the value up by a group's place in the list, which
-    moves as groups merge; ``id`` by the group itself.
+    merge, kept at the first of the two. ``position`` looks the value up by a group's
+    place in the list, which moves as groups merge; ``id`` by the group itself.
     """
-    if index not in ("position", "id"):
-        raise ValueError("index is position or id")
-    values = list(map(float, lengths))
-
-    def strength(merger: Merger, i: int, j: int) -> float:
-        a, b = (merger.members[merger.order[k]] for k in (i, j))
-        shared = len(set(a) & set(b))
-        if shared / len(a) < threshold or shared / len(b) < threshold:
-            return 0.0
-        x, y = (i, j) if index == "position" else (merger.order[i], merger.order[j])
-        return (values[x] + values[y]) / 2.0
-
-    def on_merge(name: int, best: float) -> None:
-        values[name] = best
 
-    return strength, on_merge
+    def __init__(self, members: list[list[int]], lengths: list[float], threshold: float, index: str = "position"):
+        if index not in ("position", "id"):
+            raise ValueError("index is position or id")
+        super().__init__(members)
+        self.threshold, self.index = threshold, index
+        self.values = np.array(lengths, float)
+        #: where the value of a group stands: its own number, or that of the first group in it
+        self.slot = {name: name for name in self.members}
+        self.listed: list[int] = []
+
+    def names(self) -> list[int]:
+        """The groups in list order; names only grow, so a list of other length or end is an old one."""
+        if len(self.listed) != len(self.members) or self.listed[-1] not in self.members:
+            self.listed = sorted(self.members)
+        return self.listed
+
+    def near(self, name: int) -> set[int]:
+        if self.threshold <= 0:
+            return set(self.members) - {name}
+        return set().union(*(self.holders[m] for m in self.members[name])) - {name}
+
+    def strength(self, a: int, b: int) -> float | None:
+        one, other = self.members[a], self.members[b]
+        shared = len(set(one) & set(other))
+        if shared / len(one) < self.threshold or shared / len(other) < self.threshold:
+            return None
+        if self.index == "position":
+            names = self.names()
+            x, y = bisect_left(names, a), bisect_left(names, b)
+        else:
+            x, y = self.slot[a], self.slot[b]
+        return float(self.values[x] + self.values[y]) / 2.0
+
+    def merged(self, a: int, b: int, name: int) -> None:
+        self.slot[name] = self.slot.pop(a)
+        del self.slot[b]
+
+    def settled(self, name: int, best: float) -> None:
+        self.values[self.slot[name]] = best
 
 
 def merge_by_connections(cliques: list[list[int]], connected: set[tuple[int, int]], threshold: float) -> list[list[int]]:
-    return Merger(cliques, linkage({pair: 1.0 for pair in connected}, threshold)).run()
+    return Linkage(cliques, {pair: 1.0 for pair in connected}, threshold).run()
 
 
 def merge_by_weight(cliques: list[list[int]], weights: dict[tuple[int, int], float], threshold: float) -> list[list[int]]:
-    return Merger(cliques, linkage(weights, threshold)).run()
+    return Linkage(cliques, weights, threshold).run()
 
 
 def merge_by_attachment(cliques: list[list[int]], lengths: list[float], threshold: float, index: str = "position") -> list[list[int]]:
-    strength, on_merge = attachment(lengths, threshold, index)
-    merger = Merger(cliques, strength)
-    merger.on_merge = on_merge
-    return merger.run()
+    return Attachment(cliques, lengths, threshold, index).run()
 
 
 def directed_components(nodes: list[int], edges: set[tuple[int, int]]) -> list[list[int]]:

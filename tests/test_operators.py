@@ -191,8 +191,14 @@ def test_directed_components():
     upper = {(0, 1), (0, 2), (1, 2)}
     assert agglomerate.directed_components([0, 1, 2], upper) == [[0, 1]]
     assert agglomerate.directed_components([0, 1, 2], upper | {(b, a) for a, b in upper}) == [[0, 1, 2]]
-    with pytest.raises(ValueError):
-        agglomerate.Merger([[1]] * 5, lambda *_: 0.0, max_groups=4)
+
+
+def test_many_groups_merge():
+    """More groups than a square table of pairs would hold; only those with common members meet."""
+    groups = [[3 * k, 3 * k + 1, 3 * k + 2] for k in range(6000)] + [[3 * k, 3 * k + 1] for k in range(0, 6000, 2)]
+    made = agglomerate.merge_by_attachment(groups, [float(len(g)) for g in groups], 0.5, "id")
+    assert sorted(made) == sorted(groups[:6000])
+    assert len(agglomerate.merge_by_connections(groups[:6000], {(a, b) for g in groups for a in g for b in g}, 0.9)) == 6000
 
 
 def test_polylines(spark):
