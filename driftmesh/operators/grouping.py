@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from driftmesh.operators import agglomerate
 from driftmesh.operators.cliques import connections, weight_last, weight_max
 from driftmesh.operators.components import connected_components
+from driftmesh.operators.ranking import rank_keys
 
 GROUPS = "group_id long, trajectory_idx long"
 
@@ -34,6 +35,11 @@ def group_cc(cliques: DataFrame) -> DataFrame:
     return members.join(linked, "trajectory_idx", "left").select(F.coalesce("group_id", "trajectory_idx").alias("group_id"), "trajectory_idx")
 
 
+def clique_groups(cliques: DataFrame) -> DataFrame:
+    """group_id, trajectory_idx: every clique as a group, numbered in order of itemsets."""
+    return cliques.join(rank_keys(cliques, ["itemset_id"], "group_id"), "itemset_id").select("group_id", "trajectory_idx")
+
+
 def group_overlap(edges: DataFrame) -> DataFrame:
     """Components of weighted edges (t1, t2, w) with w > 0; no group of one."""
     strong = edges.filter((F.col("w") > 0) & (F.col("t1") != F.col("t2"))).select(F.col("t1").alias("src"), F.col("t2").alias("dst"))
@@ -42,9 +48,7 @@ def group_overlap(edges: DataFrame) -> DataFrame:
 
 def _merged(rows: DataFrame, thresholds: list[float], merge: Callable[[pd.DataFrame, float], list[list[int]]]) -> DataFrame:
     """threshold, group_id, trajectory_idx: ``merge`` run once for each threshold."""
-    spark = rows.sparkSession
-    params = spark.range(len(thresholds)).select(F.get(F.array(*[F.lit(float(t)) for t in thresholds]), F.col("id").cast("int")).alias("threshold"))
-    sets = params.join(rows)  # every parameter set needs all rows
+    sets = rows.select(F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"), "*")  # every parameter set needs all rows
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         threshold = float(pdf["threshold"].iloc[0])

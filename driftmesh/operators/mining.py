@@ -16,6 +16,11 @@ def item_support(enumerated: DataFrame, min_support: int = 1) -> DataFrame:
     return counted.filter(F.col("support") >= max(1, min_support))
 
 
+def by_support(support: DataFrame) -> DataFrame:
+    """``support`` with rank: items numbered from 0, the rarest first, then by id."""
+    return support.join(rank_keys(support, ["support", "item_id"], "rank"), ["support", "item_id"])
+
+
 def frequent_itemsets(baskets: DataFrame, min_support: int, items: str = "items") -> DataFrame:
     """items (sorted), support of all sets of items in enough baskets.
 

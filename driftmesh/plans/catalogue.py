@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmesh.functions.grid import interleave
+from driftmesh.functions import geometry
+from driftmesh.functions.grid import floor_log2, interleave
 from driftmesh.model import Box, GeneratorConfig, Level, Viewport
 from driftmesh.operators import cells, cliques, generate, grouping, mining, prepare, slices, viewport
 from driftmesh.plans import discovery, sweep
 from driftmesh.plans.discovery import Discovery
-from driftmesh.sources import binary, lines, tables
-from driftmesh.storage import materialize
+from driftmesh.sources import binary, lines, printing, tables
+from driftmesh.storage import fresh_path, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 LEVEL = Level(5, 5, 5)
+FINE = Level(2, 3, 2)
 BOX = Box(2, 10, 200, 90)
 VIEW = Viewport(width=400, height=300, top_x=0, top_y=10, bottom_x=150, bottom_y=90, resolution=4, mask=0b10111)
 LISTS = {"space": ["3", "5", "9"], "time": ["2", "10"], "support": ["4", "15"]}
@@ -40,17 +43,22 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
 class _Found:
     """The stages that most queries begin with."""
 
-    def __init__(self, spark: SparkSession, d: str, min_length: int = 1, kind: str = "all"):
+    def __init__(self, spark: SparkSession, d: str, min_length: int = 1, kind: str = "all", level: Level = LEVEL, support: int | None = None):
         self.samples = materialize(_samples(spark, d), "samples")
-        self.support = discovery.min_support(self.samples)
+        self.support = discovery.min_support(self.samples) if support is None else support
         search = Discovery(self.samples)
-        self.search, self.kind, self.min_length = search, kind, min_length
-        self.enumerated = search.enumerated(LEVEL)
-        self.itemsets = mining.at_least(search.itemsets(LEVEL, self.support, kind), min_length)
+        self.search, self.kind, self.min_length, self.level = search, kind, min_length, level
+        self.enumerated = search.enumerated(level)
+        self.itemsets = mining.at_least(search.itemsets(level, self.support, kind), min_length)
 
     @property
     def cliques(self) -> DataFrame:
-        return self.search.cliques(LEVEL, self.support, self.min_length, self.kind)
+        return self.search.cliques(self.level, self.support, self.min_length, self.kind)
+
+
+def _fine(spark: SparkSession, d: str) -> _Found:
+    """Pairs of small cells that two objects share: many small groups instead of one of all."""
+    return _Found(spark, d, 2, level=FINE, support=2)
 
 
 def _text(items: str = "items"):
@@ -108,11 +116,6 @@ def interpolate_gaps(spark, d):
 
 @query
 def interpolate_orders(spark, d):
-    return prepare.interpolate_gaps(tables.order_samples(spark, d, 60)).drop("trajectory_id")
-
-
-@query
-def interpolate_all_orders(spark, d):
     return prepare.interpolate_gaps(tables.order_samples(spark, d)).drop("trajectory_id")
 
 
@@ -274,51 +277,102 @@ def group_overlap(spark, d):
 
 @query
 def group_cc(spark, d):
-    return grouping.group_cc(_Found(spark, d, min_length=3).cliques)
+    return grouping.group_cc(_fine(spark, d).cliques)
 
 
 @query
 def group_overlap_components(spark, d):
-    found = _Found(spark, d, min_length=2)
-    return grouping.group_overlap(cliques.weight_max(found.cliques, found.itemsets, found.enumerated, 0.05))
+    found = _fine(spark, d)
+    return grouping.group_overlap(cliques.weight_max(found.cliques, found.itemsets, found.enumerated, 0.03))
 
 
 @query
 def topk_groups(spark, d):
-    found = _Found(spark, d, min_length=2)
-    groups = grouping.group_overlap(cliques.weight_max(found.cliques, found.itemsets, found.enumerated, 0.055))
-    return grouping.topk_groups(groups, 3)
+    return grouping.topk_groups(grouping.group_cc(_fine(spark, d).cliques), 5)
 
 
 @query
 def group_both_symmetric(spark, d):
-    found = _Found(spark, d, min_length=3)
-    return grouping.group_both(found.cliques, found.itemsets, found.enumerated, 0.05, 0.5, "symmetric")
+    found = _fine(spark, d)
+    return grouping.group_both(found.cliques, found.itemsets, found.enumerated, 0.03, 0.5, "symmetric")
 
 
 @query
 def group_both(spark, d):
-    found = _Found(spark, d, min_length=3)
-    return grouping.group_both(found.cliques, found.itemsets, found.enumerated, 0.06, 0.5)
+    found = _fine(spark, d)
+    return grouping.group_both(found.cliques, found.itemsets, found.enumerated, 0.03, 0.5)
 
 
 @query
 def group_nc(spark, d):
-    return grouping.group_nc(_Found(spark, d, min_length=3).cliques, [0.5, 0.9])
+    return grouping.group_nc(_fine(spark, d).cliques, [0.3, 0.8])
 
 
 @query
 def group_wc(spark, d):
-    found = _Found(spark, d, min_length=3)
-    return grouping.group_wc(found.cliques, found.itemsets, found.enumerated, [0.01, 0.03])
+    found = _fine(spark, d)
+    return grouping.group_wc(found.cliques, found.itemsets, found.enumerated, [0.01, 0.025])
 
 
 @query
 def group_attachment(spark, d):
-    found = _Found(spark, d, min_length=3)
+    found = _fine(spark, d)
     return grouping.group_attachment(found.cliques, found.itemsets, [0.3, 0.5])
 
 
+@query
+def group_attachment_by_id(spark, d):
+    found = _fine(spark, d)
+    return grouping.group_attachment(found.cliques, found.itemsets, [0.2, 0.4], "id")
+
+
+@query
+def group_per_clique(spark, d):
+    return grouping.clique_groups(_fine(spark, d).cliques)
+
+
+@query
+def merged_members(spark, d):
+    """The union of the members of every two cliques that share one."""
+    found = _fine(spark, d).cliques
+    members = found.groupBy("itemset_id").agg(F.array_sort(F.collect_list("trajectory_idx")).alias("m"))
+    pairs = cliques.clique_overlap(found).select("g1", "g2")
+    both = pairs.join(members.toDF("g1", "a"), "g1").join(members.toDF("g2", "b"), "g2")
+    return both.select("g1", "g2", _text(grouping.merge_members("a", "b")).alias("members"))
+
+
+@query
+def weight_mean(spark, d):
+    found = _fine(spark, d)
+    return _rounded(cliques.weighted(found.cliques, F.avg("w"), found.itemsets, found.enumerated))
+
+
+@query
+def edge_matrix(spark, d):
+    """Weights to the first four trajectories, a column for each."""
+    found = _fine(spark, d)
+    edges = cliques.weight_max(found.cliques, found.itemsets, found.enumerated)
+    made = cliques.edge_matrix(edges.withColumn("w", F.round("w", 9)), [0, 1, 2, 3])
+    return made.select("t1", *[F.col(f"`{k}`").alias(f"w{k}") for k in range(4)])
+
+
+@query
+def supplied_groups(spark, d):
+    """Groups found, unless others are supplied: here those of five."""
+    known, samples = grouping.group_cc(_fine(spark, d).cliques), materialize(_samples(spark, d), "samples")
+    return grouping.choose_groups(known, _groups_of_five(samples)).select("group_id", "trajectory_idx")
+
+
+@query
+def all_levels(spark, d):
+    """How many groups there are at every spatial level, in slices of 32 hours."""
+    samples = materialize(_samples(spark, d), "samples")
+    search, support = Discovery(samples), discovery.min_support(samples)
+    found = search.all_levels(3, 5, min_support=support, kind="all", strategy="cc")
+    counts = [g.agg(F.count_distinct("group_id").alias("n_groups"), F.count("*").alias("n_members")).select(F.lit(n).cast("long").alias("n"), "*") for n, g in found.items()]
+    return reduce(DataFrame.unionAll, counts)
+
+
 # views
 
 
@@ -403,7 +457,194 @@ def cl_text(spark, d):
 
 @query
 def grp_text(spark, d):
-    return lines.encode_groups(grouping.group_cc(_Found(spark, d, min_length=3).cliques))
+    return lines.encode_groups(grouping.group_cc(_fine(spark, d).cliques))
+
+
+# files, written and read again
+
+
+def _dataset(spark: SparkSession, d: str) -> str:
+    samples = materialize(_samples(spark, d), "samples")
+    extent, path = prepare.grid_extent(samples).first(), fresh_path(spark, "dataset.dat")
+    binary.write_dataset(path, samples, _groups_of_five(samples), extent["grid_size"], extent["max_t"])
+    return path
+
+
+def _text_file(made: DataFrame, name: str) -> DataFrame:
+    path = fresh_path(made.sparkSession, name)
+    lines.write_lines(made, path)
+    return lines.read_lines(made.sparkSession, path)
+
+
+@query
+def dat_file(spark, d):
+    return binary.read_samples(spark, _dataset(spark, d))
+
+
+@query
+def dat_file_header(spark, d):
+    return binary.read_header(spark, _dataset(spark, d))
+
+
+@query
+def dat_file_groups(spark, d):
+    return binary.read_known_groups(spark, _dataset(spark, d))
+
+
+@query
+def map_file(spark, d):
+    made, path = materialize(_cells(spark, d), "cells"), fresh_path(spark, "cells.map")
+    binary.write_map(path, made, (LEVEL.x, LEVEL.y, LEVEL.t))
+    return binary.read_samples(spark, path, header=4).select("trajectory_idx", "seq", "x", "y", "t")
+
+
+@query
+def map_file_header(spark, d):
+    made, path = materialize(_cells(spark, d), "cells"), fresh_path(spark, "cells.map")
+    binary.write_map(path, made, (LEVEL.x, LEVEL.y, LEVEL.t))
+    return binary.read_header(spark, path, ("lx", "ly", "lt", "n_trajectories"))
+
+
+@query
+def unq_file(spark, d):
+    return lines.decode_cells(_text_file(lines.encode_cells(cells.cell_dictionary(_cells(spark, d))), "cells.unq"))
+
+
+@query
+def emp_file(spark, d):
+    return lines.decode_enumerated(_text_file(lines.encode_enumerated(cells.enumerate_cells(_cells(spark, d))), "visits.emp"))
+
+
+@query
+def transaction_file(spark, d):
+    made = _text_file(lines.encode_enumerated(cells.enumerate_cells(_cells(spark, d))), "visits.emp")
+    return lines.decode_transactions(made).select("line", _text(F.array_sort("items")).alias("items"))
+
+
+@query
+def fi_file(spark, d):
+    made = lines.decode_itemsets(_text_file(lines.encode_itemsets(_Found(spark, d).itemsets), "sets.fi"), 2)
+    return made.select("itemset_id", _text().alias("items"), "n_items", "support")
+
+
+@query
+def cl_file(spark, d):
+    return lines.decode_cliques(_text_file(lines.encode_cliques(_Found(spark, d, min_length=3).cliques), "cliques.cl"))
+
+
+@query
+def grp_file(spark, d):
+    """Groups are named by their line, so by their order."""
+    return lines.decode_groups(_text_file(lines.encode_groups(grouping.group_cc(_fine(spark, d).cliques)), "groups.grp"))
+
+
+@query
+def csv_file(spark, d):
+    """Raw points with a comment line before each trajectory's first one."""
+    made = lines.encode_points(_samples(spark, d))
+    noted = made.withColumn("text", F.when(F.col("line") % 7 == 0, F.concat(F.lit(" # seven\n"), "text", F.lit(",extra"))).otherwise(F.col("text")))
+    return tables.as_samples(lines.decode_points(_text_file(noted, "points.csv"))).drop("ord")
+
+
+@query
+def sweep_list_file(spark, d):
+    texts = spark.range(len(LISTS)).select(F.col("id").alias("line"), F.get(F.array(*[F.lit(", ".join(v)) for v in LISTS.values()]), F.col("id").cast("int")).alias("text"))
+    return lines.decode_lists(_text_file(texts, "sweep.txt")).select("line", F.col("pos").cast("long").alias("pos"), "value")
+
+
+# readable lines
+
+
+@query
+def print_dataset(spark, d):
+    return printing.format_samples(binary.read_samples(spark, _dataset(spark, d)))
+
+
+@query
+def print_itemsets(spark, d):
+    return printing.format_itemsets(_Found(spark, d, min_length=3).itemsets)
+
+
+@query
+def print_groups(spark, d):
+    return printing.format_members(grouping.group_cc(_fine(spark, d).cliques))
+
+
+@query
+def print_edges(spark, d):
+    found = _fine(spark, d)
+    return printing.format_edges(cliques.weight_max(found.cliques, found.itemsets, found.enumerated))
+
+
+# single functions
+
+
+@query
+def rotated_points(spark, d):
+    x, y = geometry.rotate(F.col("x"), F.col("y"), 0.75, (100, 50))
+    return _samples(spark, d).select("trajectory_idx", "seq", x.alias("rx"), y.alias("ry"))
+
+
+@query
+def scaled_points(spark, d):
+    return _samples(spark, d).select("trajectory_idx", "seq", F.round(geometry.scale(F.col("x"), F.lit(600)), 6).alias("sx"))
+
+
+@query
+def log2_values(spark, d):
+    return _samples(spark, d).filter("x > 0").select("trajectory_idx", "seq", floor_log2(F.col("x")).cast("long").alias("bits"))
+
+
+@query
+def path_without_time(spark, d):
+    """Runs of one place, whatever the time: the dimensions are a choice."""
+    return prepare.compress_path(cells.rollup_samples(_samples(spark, d), FINE), ("x", "y")).select("trajectory_idx", "seq", "x", "y", "t")
+
+
+@query
+def support_order(spark, d):
+    return mining.by_support(mining.item_support(cells.enumerate_cells(_cells(spark, d)))).select("rank", "item_id", "support")
+
+
+@query
+def group_colours(spark, d):
+    groups = grouping.group_cc(_fine(spark, d).cliques)
+    sized = groups.groupBy("group_id").agg(F.count("*").alias("n_members"))
+    return sized.select("group_id", viewport.palette_index(F.col("group_id"), F.col("n_members")).cast("long").alias("colour"))
+
+
+@query
+def filled_templates(spark, d):
+    made = [(k, sweep.fill_template("run %0 of %1 on %N, 100%%2 %9", [str(k), "b"], node=k + 7)) for k in range(3)]
+    return spark.createDataFrame(made, "line long, text string")
+
+
+@query
+def parsed_levels(spark, d):
+    made = [Level.parse(text) for text in ("5,5,3", "0,1,12")]
+    return spark.createDataFrame([(level.x, level.y, level.t) for level in made], "x long, y long, t long")
+
+
+@query
+def swept_groups(spark, d):
+    """Every feasible set of a sweep, run beside each other, with the groups it gave."""
+    samples = materialize(_samples(spark, d), "samples")
+    search = Discovery(samples)
+
+    def run(values: dict) -> int:
+        level = Level(int(values["space"]), int(values["space"]), int(values["time"]))
+        return search.groups(level, 4, 1, "all").select("group_id").distinct().count()
+
+    params = [r.asDict() for r in sweep.combinations(spark, {"space": ["5", "6"], "time": ["7", "8"]}).orderBy("set_id").collect()]
+    made = sweep.run_sweep(params, run)
+    return spark.createDataFrame([(r["set_id"], r["status"], r["rows"]) for r in made], "set_id long, status string, n_groups long")
+
+
+@query
+def generator_config(spark, d):
+    """A configuration written and read back, and the noise objects it asks for."""
+    config = GeneratorConfig.load(GeneratorConfig(movement="spiral", n_groups=3, group_size=10, noise=0.25, steps=80).dump())
+    return spark.createDataFrame([(config.movement, config.n_groups, config.group_size, config.steps, config.n_singletons())], "movement string, n_groups long, group_size long, steps long, n_singletons long")
 
 
 # generated data

@@ -13,7 +13,7 @@ _ORDERS = """e AS (
          (row_number() OVER (PARTITION BY o_custkey ORDER BY date_diff('day', DATE '1995-01-01', o_orderdate::DATE), o_orderkey) - 1)::BIGINT AS seq,
          floor(o_totalprice / 1000)::BIGINT AS x, substr(o_orderpriority, 1, 1)::BIGINT AS y,
          date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::BIGINT AS t
-  FROM orders WHERE o_custkey <= 60)"""
+  FROM orders)"""
 
 
 def _corner(column: str, bits: int, add: int = 0) -> str:
@@ -27,14 +27,18 @@ def _rolled(x: int, y: int, t: int, shifted: bool = False) -> str:
     return f"SELECT trajectory_idx, seq, {parts} FROM e"
 
 
-_C = f"{_E}, c AS ({_rolled(5, 5, 5)})"
-_N = f"""{_C}, dict AS (
+def _visits(x: int, y: int, t: int) -> str:
+    return f"""{_E}, c AS ({_rolled(x, y, t)}), dict AS (
   SELECT (row_number() OVER (ORDER BY x, y, t) - 1)::BIGINT AS item_id, x, y, t FROM (SELECT DISTINCT x, y, t FROM c)
 ), n AS (
   SELECT DISTINCT c.trajectory_idx, dict.item_id FROM c JOIN dict ON c.x = dict.x AND c.y = dict.y AND c.t = dict.t
 )"""
 
 
+_C = f"{_E}, c AS ({_rolled(5, 5, 5)})"
+_N = _visits(5, 5, 5)
+
+
 def _itemsets(least: str) -> str:
     """CTEs from n to s: items as a list, n_items, support, of up to four items."""
     made = [f"k AS (SELECT {least} AS least FROM n)", "f1 AS (SELECT item_id AS i1, count(*)::BIGINT AS support FROM n GROUP BY 1 HAVING count(*) >= (SELECT least FROM k))"]
@@ -53,21 +57,22 @@ def _itemsets(least: str) -> str:
 
 
 _S = f"{_N}, {_itemsets('greatest(4, ceil(count(DISTINCT trajectory_idx) / 10.0))::BIGINT')}"
+_FINE = f"{_visits(2, 3, 2)}, {_itemsets('any_value(2::BIGINT)')}"
 _B = f"""n AS (
   SELECT DISTINCT l_orderkey AS trajectory_idx, unnest([n_nationkey::BIGINT, n_regionkey::BIGINT + 100]) AS item_id
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
 ), {_itemsets('ceil(count(DISTINCT trajectory_idx) / 10.0)::BIGINT')}"""
 
 
-def _cliques(length: int) -> str:
-    return f"""{_S}, w AS (SELECT itemset_id, n_items, unnest(items) AS item_id FROM s WHERE n_items >= {length}), cl AS (
+def _cliques(length: int, sets: str = _S) -> str:
+    return f"""{sets}, w AS (SELECT itemset_id, n_items, unnest(items) AS item_id FROM s WHERE n_items >= {length}), cl AS (
   SELECT w.itemset_id, n.trajectory_idx FROM w JOIN n ON w.item_id = n.item_id
   GROUP BY w.itemset_id, w.n_items, n.trajectory_idx HAVING count(*) = w.n_items
 )"""
 
 
-def _weights(length: int) -> str:
-    return f"""{_cliques(length)}, sz AS (SELECT trajectory_idx, count(*) AS n FROM n GROUP BY 1), al AS (
+def _weights(length: int, sets: str = _S) -> str:
+    return f"""{_cliques(length, sets)}, sz AS (SELECT trajectory_idx, count(*) AS n FROM n GROUP BY 1), al AS (
   SELECT a.itemset_id, a.trajectory_idx AS t1, b.trajectory_idx AS t2, (2 * s.n_items)::DOUBLE / (z1.n + z2.n)::DOUBLE AS w
   FROM cl a JOIN cl b ON a.itemset_id = b.itemset_id JOIN s ON s.itemset_id = a.itemset_id
   JOIN sz z1 ON z1.trajectory_idx = a.trajectory_idx JOIN sz z2 ON z2.trajectory_idx = b.trajectory_idx
@@ -92,7 +97,77 @@ def _overlap(above: float, weights: str) -> str:
     return f"{weights}, {_components(edges, 'SELECT DISTINCT src AS node FROM ed')}"
 
 
-_CC = f"{_cliques(3)}, {_components('SELECT DISTINCT a.trajectory_idx AS src, b.trajectory_idx AS dst FROM cl a JOIN cl b ON a.itemset_id = b.itemset_id', 'SELECT DISTINCT trajectory_idx AS node FROM cl')}"
+_SHARED = "SELECT DISTINCT a.trajectory_idx AS src, b.trajectory_idx AS dst FROM cl a JOIN cl b ON a.itemset_id = b.itemset_id"
+_MEMBERS = "SELECT DISTINCT trajectory_idx AS node FROM cl"
+_CC3 = f"{_cliques(3)}, {_components(_SHARED, _MEMBERS)}"
+_CC = f"{_cliques(2, _FINE)}, {_components(_SHARED, _MEMBERS)}"
+_LIST = "cq AS (SELECT itemset_id, any_value(n_items)::DOUBLE AS len, list(trajectory_idx ORDER BY trajectory_idx) AS m FROM cl JOIN s USING (itemset_id) GROUP BY itemset_id)"
+
+
+def _linked(edges: str, weights: str, thresholds: list[float]) -> str:
+    """Groups merged step by step, the pair of most weight first, for each threshold."""
+    parts = []
+    for k, threshold in enumerate(thresholds):
+        parts.append(f"""z{k}(step, gs) AS (
+  SELECT 0, list(m ORDER BY itemset_id) FROM cq
+  UNION ALL
+  (WITH cur AS (SELECT * FROM z{k}), mem AS (SELECT i, gs[i] AS g, unnest(gs[i]) AS a FROM (SELECT gs, unnest(range(1, len(gs) + 1)) AS i FROM cur)),
+   tot AS (SELECT x.i, y.i AS j, x.a, any_value(len(x.g)) AS nx, any_value(len(y.g)) AS ny, sum(edge.w) AS s
+           FROM mem x JOIN edge ON edge.t1 = x.a JOIN mem y ON y.a = edge.t2 AND y.i <> x.i GROUP BY x.i, y.i, x.a),
+   fit AS (SELECT i, j, sum(s) AS part FROM tot WHERE s / ny >= {threshold} GROUP BY i, j HAVING count(*) = any_value(nx)),
+   best AS (SELECT p.i, p.j, round(p.part + q.part, 9) AS strength FROM fit p JOIN fit q ON p.i = q.j AND p.j = q.i WHERE p.i < p.j AND p.part + q.part > 0 ORDER BY strength DESC, p.i, p.j LIMIT 1)
+   SELECT step + 1, list_concat([gs[k] for k in range(1, len(gs) + 1) if k <> i AND k <> j], [list_sort(list_distinct(list_concat(gs[i], gs[j])))]) FROM cur, best))""")
+    last = " UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, gs FROM (SELECT gs FROM z{k} ORDER BY step DESC LIMIT 1)" for k, t in enumerate(thresholds))
+    rows = f"SELECT threshold, (i - 1)::BIGINT AS group_id, unnest(gs[i]) AS trajectory_idx FROM (SELECT threshold, gs, unnest(range(1, len(gs) + 1)) AS i FROM ({last}))"
+    return f"WITH RECURSIVE {weights}, {_LIST}, edge AS ({edges}), {', '.join(parts)} {rows}"
+
+
+def _attached(name: str, threshold: float, by_id: bool = False) -> str:
+    """CTE ``name`` (step, gs, ...) of groups merged while each shares enough with the other.
+
+    A group is (n, m, slot): its name, members, and where its value stands. A pair's
+    strength is that of the step it was made in.
+    """
+    value = "vals[{g}.slot]" if by_id else "vals[{k}]"
+    pair = lambda g, k, h, l: f"({value.format(g=g, k=k)} + {value.format(g=h, k=l)}) / 2"  # noqa: E731, E741
+    shared = lambda g, h: f"len(list_intersect({g}.m, {h}.m))::DOUBLE"
+    near = lambda g, h: f"{shared(g, h)} / len({g}.m) >= {threshold} AND {shared(g, h)} / len({h}.m) >= {threshold}"
+    return f"""{name}0 AS (
+  SELECT list(struct_pack(n := k, m := m, slot := k) ORDER BY k) AS gs, list(len ORDER BY k) AS vals FROM (SELECT row_number() OVER (ORDER BY itemset_id) AS k, m, len FROM cq)
+), {name}(step, gs, vals, pairs) AS (
+  SELECT 0, gs, vals, (SELECT coalesce(list(struct_pack(a := i, b := j, s := {pair('gs[i]', 'i', 'gs[j]', 'j')})), []) FROM (SELECT gs, vals, i, unnest(range(i + 1, len(gs) + 1)) AS j FROM (SELECT gs, vals, unnest(range(1, len(gs) + 1)) AS i FROM {name}0)) WHERE {near('gs[i]', 'gs[j]')})
+  FROM {name}0
+  UNION ALL
+  (WITH cur AS (SELECT * FROM {name}), best AS (SELECT p.a, p.b, p.s FROM (SELECT unnest(pairs) AS p FROM cur) WHERE p.s > 0 ORDER BY p.s DESC, p.a, p.b LIMIT 1),
+   joined AS (SELECT step, vals, a, b, s, [p for p in pairs if p.a <> a AND p.b <> b AND p.a <> b AND p.b <> a] AS old, [g for g in gs if g.n <> a AND g.n <> b] AS rest,
+                     [g for g in gs if g.n = a][1] AS ga, [g for g in gs if g.n = b][1] AS gb, [g.n for g in gs][len(gs)] + 1 AS name FROM cur, best),
+   made AS (SELECT *, struct_pack(n := name, m := list_sort(list_distinct(list_concat(ga.m, gb.m))), slot := ga.slot) AS g FROM joined),
+   new AS (SELECT list(struct_pack(a := h.n, b := name, s := {pair('h', 'k', 'g', 'len(rest) + 1')})) AS fresh FROM (SELECT made.*, rest[k] AS h, k FROM made, (SELECT unnest(range(1, len(rest) + 1)) AS k FROM made)) WHERE {near('h', 'g')})
+   SELECT step + 1, list_concat(rest, [g]), [CASE WHEN k = ga.slot THEN s ELSE vals[k] END for k in range(1, len(vals) + 1)], list_concat(old, coalesce(fresh, [])) FROM made, new))"""
+
+
+def _attachment(thresholds: list[float], by_id: bool = False) -> str:
+    ctes = ", ".join(_attached(f"z{k}", t, by_id) for k, t in enumerate(thresholds))
+    last = " UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, gs FROM (SELECT gs FROM z{k} ORDER BY step DESC LIMIT 1)" for k, t in enumerate(thresholds))
+    rows = f"SELECT threshold, (i - 1)::BIGINT AS group_id, unnest(gs[i].m) AS trajectory_idx FROM (SELECT threshold, gs, unnest(range(1, len(gs) + 1)) AS i FROM ({last}))"
+    return f"WITH RECURSIVE {_cliques(2, _FINE)}, {_LIST}, {ctes} {rows}"
+
+
+def _directed(above: float, attach: float) -> str:
+    """Attachment groups and overlap edges, merged along edges from earlier groups to later ones."""
+    return f"""WITH RECURSIVE {_weights(2, _FINE)}, {_LIST}, {_attached('z', attach)}, held AS (
+  SELECT gs[i].m AS m FROM (SELECT gs, unnest(range(1, len(gs) + 1)) AS i FROM (SELECT gs FROM z ORDER BY step DESC LIMIT 1))
+), edge AS (
+  SELECT t1, t2 FROM al WHERE w > {above} AND t1 <> t2
+  UNION SELECT a, b FROM (SELECT m, unnest(m) AS a FROM held), LATERAL (SELECT unnest(m) AS b) WHERE a < b
+), y(step, gs) AS (
+  SELECT 0, list([node] ORDER BY node) FROM ({_MEMBERS})
+  UNION ALL
+  (WITH cur AS (SELECT * FROM y), mem AS (SELECT i, unnest(gs[i]) AS a FROM (SELECT gs, unnest(range(1, len(gs) + 1)) AS i FROM cur)),
+   best AS (SELECT x.i, w.i AS j FROM mem x JOIN edge ON edge.t1 = x.a JOIN mem w ON w.a = edge.t2 AND w.i > x.i ORDER BY x.i, x.a, w.i LIMIT 1)
+   SELECT step + 1, list_concat([gs[k] for k in range(1, len(gs) + 1) if k <> i AND k <> j], [list_sort(list_concat(gs[i], gs[j]))]) FROM cur, best)
+), done AS (SELECT [g for g in gs if len(g) > 1] AS gs FROM (SELECT gs FROM y ORDER BY step DESC LIMIT 1))
+SELECT (i - 1)::BIGINT AS group_id, unnest(gs[i]) AS trajectory_idx FROM (SELECT gs, unnest(range(1, len(gs) + 1)) AS i FROM done)"""
 
 
 def _gaps(source: str) -> str:
@@ -183,9 +258,24 @@ LEFT JOIN h ON h.slice_id = a.slice_id AND h.trajectory_idx = b.trajectory_idx""
   SELECT a.itemset_id AS g1, b.itemset_id AS g2, count(*) AS n_shared FROM cl a JOIN cl b ON a.trajectory_idx = b.trajectory_idx AND a.itemset_id < b.itemset_id GROUP BY 1, 2
 ) SELECT g1, g2, n_shared, (z1.n + z2.n - n_shared)::BIGINT AS n_union FROM sh JOIN z z1 ON z1.itemset_id = g1 JOIN z z2 ON z2.itemset_id = g2""",
     "group_cc": f"WITH RECURSIVE {_CC} SELECT component AS group_id, node AS trajectory_idx FROM comp",
-    "group_overlap_components": f"WITH RECURSIVE {_overlap(0.05, _weights(2))} SELECT component AS group_id, node AS trajectory_idx FROM comp",
-    "topk_groups": f"WITH RECURSIVE {_overlap(0.055, _weights(2))} {_TOP} 3",
-    "group_both_symmetric": f"WITH RECURSIVE {_CC} SELECT component AS group_id, node AS trajectory_idx FROM comp QUALIFY count(*) OVER (PARTITION BY component) > 1",
+    "group_overlap_components": f"WITH RECURSIVE {_overlap(0.03, _weights(2, _FINE))} SELECT component AS group_id, node AS trajectory_idx FROM comp",
+    "topk_groups": f"WITH RECURSIVE {_CC} {_TOP} 5",
+    "group_both_symmetric": f"""WITH RECURSIVE {_weights(2, _FINE)}, {_LIST}, {_attached('z', 0.5)}, held AS (
+  SELECT gs[i].m AS m FROM (SELECT gs, unnest(range(1, len(gs) + 1)) AS i FROM (SELECT gs FROM z ORDER BY step DESC LIMIT 1))
+), {_components("SELECT t1 AS src, t2 AS dst FROM al WHERE w > 0.03 AND t1 <> t2 UNION SELECT a, b FROM (SELECT m, unnest(m) AS a FROM held), LATERAL (SELECT unnest(m) AS b) WHERE a <> b", "SELECT DISTINCT src AS node FROM ed")}
+SELECT component AS group_id, node AS trajectory_idx FROM comp""",
+    "group_both": _directed(0.03, 0.5),
+    "group_nc": _linked("SELECT DISTINCT a.trajectory_idx AS t1, b.trajectory_idx AS t2, 1.0::DOUBLE AS w FROM cl a JOIN cl b ON a.itemset_id = b.itemset_id", _cliques(2, _FINE), [0.3, 0.8]),
+    "group_wc": _linked("SELECT t1, t2, arg_max(w, itemset_id) AS w FROM al GROUP BY 1, 2", _weights(2, _FINE), [0.01, 0.025]),
+    "group_attachment": _attachment([0.3, 0.5]),
+    "group_attachment_by_id": _attachment([0.2, 0.4], by_id=True),
+    "group_per_clique": f"WITH {_cliques(2, _FINE)} SELECT (dense_rank() OVER (ORDER BY itemset_id) - 1)::BIGINT AS group_id, trajectory_idx FROM cl",
+    "merged_members": f"""WITH {_cliques(2, _FINE)}, pr AS (SELECT DISTINCT a.itemset_id AS g1, b.itemset_id AS g2 FROM cl a JOIN cl b ON a.trajectory_idx = b.trajectory_idx AND a.itemset_id < b.itemset_id), u AS (
+  SELECT DISTINCT g1, g2, trajectory_idx FROM pr JOIN cl ON cl.itemset_id IN (g1, g2)
+) SELECT g1, g2, string_agg(trajectory_idx::VARCHAR, ',' ORDER BY trajectory_idx) AS members FROM u GROUP BY 1, 2""",
+    "weight_mean": f"WITH {_weights(2, _FINE)} SELECT t1, t2, round(avg(w), 9) AS w FROM al GROUP BY 1, 2",
+    "edge_matrix": f"WITH {_weights(2, _FINE)} SELECT t1, {', '.join(f'round(max(w) FILTER (t2 = {k}), 9) AS w{k}' for k in range(4))} FROM al GROUP BY 1",
+    "supplied_groups": f"WITH {_E} SELECT DISTINCT trajectory_idx % 5 AS group_id, trajectory_idx FROM e",
     "viewport_points": f"WITH {_VIEW} SELECT trajectory_idx, seq, px, py, in_view FROM v",
     "viewport_polylines": f"""WITH {_VIEW}, g AS (SELECT DISTINCT trajectory_idx % 5 AS group_id, trajectory_idx FROM e), h AS (
   SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY trajectory_idx) AS place, count(*) OVER (PARTITION BY group_id) AS n FROM g
@@ -202,7 +292,7 @@ LEFT JOIN h ON h.slice_id = a.slice_id AND h.trajectory_idx = b.trajectory_idx""
     "sweep_params": _LISTS,
     "sweep_feasible": f"WITH {_E}, b AS (SELECT {_BITS} FROM e), p AS ({_LISTS}) SELECT p.*, lx - space::BIGINT AS shift_xy, lt - time::BIGINT AS shift_t FROM p, b WHERE space::BIGINT <= lx AND time::BIGINT <= lt",
     "sweep_pending": f"SELECT * FROM ({_LISTS}) WHERE set_id % 3 <> 0",
-    "stage_stats": f"""WITH RECURSIVE {_CC} SELECT 0::BIGINT AS line, 'trajectories' AS label, count(DISTINCT trajectory_idx) AS value FROM n
+    "stage_stats": f"""WITH RECURSIVE {_CC3} SELECT 0::BIGINT AS line, 'trajectories' AS label, count(DISTINCT trajectory_idx) AS value FROM n
 UNION ALL SELECT 1, 'unique_items', count(DISTINCT item_id) FROM n UNION ALL SELECT 2, 'itemsets', count(*) FROM s
 UNION ALL SELECT 3, 'cliques', count(DISTINCT itemset_id) FROM cl UNION ALL SELECT 4, 'groups', count(DISTINCT component) FROM comp""",
     "dat_roundtrip": f"WITH {_E} SELECT trajectory_idx, trajectory_id, seq, x, y, t FROM e",
@@ -210,5 +300,33 @@ UNION ALL SELECT 3, 'cliques', count(DISTINCT itemset_id) FROM cl UNION ALL SELE
     "emp_text": f"WITH {_N} SELECT trajectory_idx AS line, string_agg(item_id::VARCHAR, ' ' ORDER BY item_id) AS text FROM n GROUP BY 1",
     "fi_text": f"WITH {_S} SELECT itemset_id AS line, array_to_string(items, ' ') || ' (' || support || ')' AS text FROM s",
     "cl_text": f"WITH {_cliques(3)} SELECT itemset_id AS line, itemset_id || ': ' || string_agg(trajectory_idx::VARCHAR, ' ' ORDER BY trajectory_idx) AS text FROM cl GROUP BY 1",
+    "dat_file": f"WITH {_E} SELECT trajectory_idx, trajectory_id, seq, x, y, t FROM e",
+    "dat_file_header": f"WITH {_E} SELECT greatest(max(x) - min(x), max(y) - min(y)) AS grid_size, max(t) - min(t) AS max_t, count(DISTINCT trajectory_idx) AS n_trajectories FROM e",
+    "dat_file_groups": f"WITH {_E} SELECT DISTINCT trajectory_idx % 5 AS group_id, trajectory_idx FROM e",
+    "map_file": f"WITH {_C} SELECT {_ROW} FROM c",
+    "map_file_header": f"WITH {_E} SELECT 5::BIGINT AS lx, 5::BIGINT AS ly, 5::BIGINT AS lt, count(DISTINCT trajectory_idx) AS n_trajectories FROM e",
+    "unq_file": f"WITH {_N} SELECT item_id, x, y, t FROM dict",
+    "emp_file": f"WITH {_N} SELECT trajectory_idx, item_id FROM n",
+    "transaction_file": f"WITH {_N} SELECT trajectory_idx AS line, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items FROM n GROUP BY 1",
+    "fi_file": f"WITH {_S} SELECT itemset_id, {_JOIN} AS items, n_items, support FROM s WHERE n_items >= 2",
+    "cl_file": f"WITH {_cliques(3)} SELECT itemset_id, trajectory_idx FROM cl",
+    "grp_file": f"WITH RECURSIVE {_CC} SELECT (dense_rank() OVER (ORDER BY component) - 1)::BIGINT AS group_id, node AS trajectory_idx FROM comp",
+    "csv_file": f"WITH {_E} SELECT trajectory_idx, trajectory_id, seq, x, y, t FROM e",
+    "sweep_list_file": "SELECT l AS line, (row_number() OVER (PARTITION BY l ORDER BY o) - 1)::BIGINT AS pos, v AS value FROM (VALUES (0::BIGINT, 1, '3'), (0, 2, '5'), (0, 3, '9'), (1, 1, '2'), (1, 2, '10'), (2, 1, '4'), (2, 2, '15')) x(l, o, v)",
+    "print_dataset": f"WITH {_E} SELECT trajectory_idx AS line, lpad(any_value(trajectory_id)::VARCHAR, greatest(5, length(any_value(trajectory_id)::VARCHAR))::INTEGER, ' ') || ': ' || string_agg('(' || x || ', ' || y || ', ' || t || ')', ' ' ORDER BY seq) AS text FROM e GROUP BY 1",
+    "print_itemsets": f"WITH {_S} SELECT itemset_id AS line, itemset_id || ': {{' || array_to_string(items, ' ') || '}} x ' || support AS text FROM s WHERE n_items >= 3",
+    "print_groups": f"WITH RECURSIVE {_CC} SELECT component AS line, component || ' (' || count(*) || '): ' || string_agg(node::VARCHAR, ' ' ORDER BY node) AS text FROM comp GROUP BY 1",
+    "print_edges": f"WITH {_weights(2, _FINE)}, x AS (SELECT t1, t2, max(w) AS w FROM al GROUP BY 1, 2) SELECT t1 AS line, string_agg(t2 || ':' || printf('%.6f', w), ' ' ORDER BY t2) AS text FROM x GROUP BY 1",
+    "rotated_points": f"WITH {_E} SELECT trajectory_idx, seq, (trunc((x - 100)::DOUBLE * cos(0.75) - (y - 50)::DOUBLE * sin(0.75)) + 100)::BIGINT AS rx, (trunc((x - 100)::DOUBLE * sin(0.75) + (y - 50)::DOUBLE * cos(0.75)) + 50)::BIGINT AS ry FROM e",
+    "scaled_points": f"WITH {_E} SELECT trajectory_idx, seq, round(x * 1024.0::DOUBLE / 600, 6) AS sx FROM e",
+    "log2_values": f"WITH {_E} SELECT trajectory_idx, seq, length(bin(x))::BIGINT - 1 AS bits FROM e WHERE x > 0",
+    "path_without_time": f"""WITH {_E}, c AS ({_rolled(2, 3, 2)}), m AS (
+  SELECT *, lag(x) OVER o AS px, lag(y) OVER o AS py FROM c WINDOW o AS (PARTITION BY trajectory_idx ORDER BY t, seq)
+) SELECT {_ROW} FROM m WHERE px IS NULL OR px <> x OR py <> y""",
+    "support_order": f"WITH {_N}, u AS (SELECT item_id, count(*) AS support FROM n GROUP BY 1) SELECT (row_number() OVER (ORDER BY support, item_id) - 1)::BIGINT AS rank, item_id, support FROM u",
+    "group_colours": f"WITH RECURSIVE {_CC} SELECT component AS group_id, CASE WHEN count(*) <> 1 THEN component % 4 END AS colour FROM comp GROUP BY 1",
+    "filled_templates": "SELECT k AS line, 'run ' || k || ' of b on ' || (k + 7) || ', 100%%2 %9' AS text FROM (SELECT unnest(range(3)) AS k)",
+    "parsed_levels": "SELECT * FROM (VALUES (5::BIGINT, 5::BIGINT, 3::BIGINT), (0, 1, 12)) x(x, y, t)",
+    "generator_config": "SELECT 'spiral' AS movement, 3::BIGINT AS n_groups, 10::BIGINT AS group_size, 80::BIGINT AS steps, 10::BIGINT AS n_singletons",
     "grp_text": f"WITH RECURSIVE {_CC} SELECT component AS line, string_agg(node::VARCHAR, ' ' ORDER BY node) AS text FROM comp GROUP BY 1",
 }

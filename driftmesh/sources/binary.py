@@ -9,7 +9,8 @@ one file is one stream, so only writing it passes through the driver, in order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -49,25 +50,58 @@ def unpack_trajectories(records: DataFrame) -> DataFrame:
     return records.select("trajectory_idx", "record").mapInPandas(unpack, SAMPLE)
 
 
+#: Bytes of records sent to a file at a time.
+BLOCK = 1 << 20
+
+
+@contextmanager
+def _created(spark: SparkSession, path: str) -> Iterator[Callable[[bytes], None]]:
+    """A file in any store that Spark reaches, written in blocks."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    held = bytearray()
+
+    def write(record: bytes) -> None:
+        held.extend(record)
+        while len(held) >= BLOCK:
+            stream.write(bytearray(held[:BLOCK]))
+            del held[:BLOCK]
+
+    try:
+        yield write
+        stream.write(held)
+    finally:
+        stream.close()
+
+
+def _write_trajectories(write: Callable[[bytes], None], samples: DataFrame) -> None:
+    for row in pack_trajectories(samples).orderBy("trajectory_idx").toLocalIterator():
+        write(bytes(row["record"]))
+
+
 def write_dataset(path: str, samples: DataFrame, known_groups: DataFrame | None, grid_size: int, max_t: int) -> None:
-    """A dataset file on the driver; trajectories must be numbered from 0 without gaps."""
+    """A dataset file; trajectories must be numbered from 0 without gaps.
+
+    The format is one stream in order, so records pass the driver, a range at a time.
+    """
     n = samples.select("trajectory_idx").distinct().count()
-    with open(path, "wb") as file:
-        file.write(_pack(grid_size, max_t, n))
-        for row in pack_trajectories(samples).orderBy("trajectory_idx").toLocalIterator():
-            file.write(row["record"])
-        groups = [] if known_groups is None else known_groups.groupBy("group_id").agg(F.array_sort(F.collect_list("trajectory_idx")).alias("m")).orderBy("group_id").collect()
-        file.write(_pack(len(groups)))
-        for group in groups:
-            file.write(_pack(group["group_id"], len(group["m"]), *group["m"]))
+    with _created(samples.sparkSession, path) as write:
+        write(_pack(grid_size, max_t, n))
+        _write_trajectories(write, samples)
+        if known_groups is None:
+            write(_pack(0))
+            return
+        groups = known_groups.groupBy("group_id").agg(F.array_sort(F.collect_list("trajectory_idx")).alias("m"))
+        write(_pack(groups.count()))
+        for group in groups.orderBy("group_id").toLocalIterator():
+            write(_pack(group["group_id"], len(group["m"]), *group["m"]))
 
 
 def write_map(path: str, cells: DataFrame, level: tuple[int, int, int]) -> None:
     n = cells.select("trajectory_idx").distinct().count()
-    with open(path, "wb") as file:
-        file.write(_pack(*level, n))
-        for row in pack_trajectories(cells).orderBy("trajectory_idx").toLocalIterator():
-            file.write(row["record"])
+    with _created(cells.sparkSession, path) as write:
+        write(_pack(*level, n))
+        _write_trajectories(write, cells)
 
 
 def _trajectories(data: np.ndarray, at: int, n: int) -> tuple[list[tuple[int, int, int, np.ndarray]], int]:

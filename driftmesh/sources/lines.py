@@ -10,19 +10,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from driftmesh.operators.ranking import rank_keys
 from driftmesh.storage import materialize
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line, text of a file: numbers follow the order of blocks and rows in them."""
-    text = spark.read.text(path).withColumn("__at", F.monotonically_increasing_id())
-    part = F.shiftright("__at", 33)
-    placed = materialize(text.withColumn("__part", part), "lines")
-    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")
-    shifts = sizes.select("__part", before.alias("__before"))  # one row per block
-    line = F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)
-    return placed.join(F.broadcast(shifts), "__part").select(line.cast("long").alias("line"), F.col("value").alias("text"))
+    """line, text of a file, or of a folder's files in order of their names.
+
+    Rows of one block come from one task in order; blocks are numbered by file and
+    place in it, and each begins where those before it end.
+    """
+    block = ["__file", "__start"]
+    named = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"))
+    placed = materialize(named.withColumn("__at", F.monotonically_increasing_id()), "lines")
+    sizes = placed.groupBy(*block).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = F.sum("__n").over(Window.orderBy(*block)) - F.col("__n")  # one row per block
+    shifts = sizes.withColumn("__before", before).select(*block, "__before", "__first")
+    line = F.col("__before") + F.col("__at") - F.col("__first")
+    return placed.join(shifts, block).select(line.cast("long").alias("line"), F.col("value").alias("text"))
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
@@ -100,6 +105,13 @@ def decode_transactions(lines: DataFrame) -> DataFrame:
     return made.filter(F.size("items") > 0)
 
 
+def encode_points(samples: DataFrame) -> DataFrame:
+    """``id,t,x,y`` lines in order of id, time and place in the path."""
+    ids = rank_keys(samples, ["trajectory_id", "t", "seq"], "line")
+    text = F.concat_ws(",", "trajectory_id", "t", "x", "y")
+    return samples.join(ids, ["trajectory_id", "t", "seq"]).select("line", text.alias("text"))
+
+
 def decode_points(lines: DataFrame) -> DataFrame:
     """trajectory_id, ord, x, y, t from ``id,t,x,y[,ignored]``; # begins a comment line."""
     parts = F.split("text", ",")

@@ -39,12 +39,9 @@ def event_samples(spark: SparkSession, folder: str) -> DataFrame:
     return as_samples(event_rows(spark, folder))
 
 
-def order_samples(spark: SparkSession, folder: str, customers: int | None = None) -> DataFrame:
+def order_samples(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as points of customers: x thousands, y priority, t days since 1995."""
-    orders = read_table(spark, folder, "orders")
-    if customers is not None:
-        orders = orders.filter(F.col("o_custkey") <= customers)
-    rows = orders.select(
+    rows = read_table(spark, folder, "orders").select(
         F.col("o_custkey").alias("trajectory_id"),
         F.col("o_orderkey").alias("ord"),
         F.floor(F.col("o_totalprice") / 1000).cast("long").alias("x"),

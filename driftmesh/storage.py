@@ -1,8 +1,8 @@
 """Shared scratch space: where lineage is cut and small tables are parked.
 
 Everything goes to the folder named by ``spark.checkpoint.dir``, which every
-executor can read. Only where that setting is absent (tests, a laptop) a
-temporary local folder is used instead.
+executor can read. Only where that setting is absent and Spark runs in one process
+(tests, a laptop) a temporary local folder is used instead; on a cluster that raises.
 """
 
 from __future__ import annotations
@@ -22,11 +22,20 @@ def scratch_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="driftmesh-")
     return "file://" + _LOCAL["dir"]
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the scratch folder that nothing uses yet; removed when the Python process ends."""
+    path = f"{scratch_dir(spark)}/driftmesh/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the scratch folder and read it back.
 
@@ -34,9 +43,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     derived again. The files are removed when the Python process ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/driftmesh/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
