@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftmesh.storage import materialize
+from driftmesh.storage import discard, materialize
 
 MAX_ROUNDS = 64
 
@@ -48,11 +48,13 @@ def component_labels(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFram
             labels = moved.select("node", F.col("root").alias("label"))
         else:
             renamed = labels.join(moved.withColumnRenamed("node", "label"), "label", "left")
-            labels = materialize(renamed.select("node", F.coalesce("root", "label").alias("label")), "labels")
+            before, labels = labels, materialize(renamed.select("node", F.coalesce("root", "label").alias("label")), "labels")
+            discard(before)
         left = moved.select(F.col("node").alias("src"), F.col("root").alias("a"))
         right = moved.select(F.col("node").alias("dst"), F.col("root").alias("b"))
         renamed = edges.join(left, "src").join(right, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        edges = materialize(_undirected(renamed), "edges")
+        before, edges = edges, materialize(_undirected(renamed), "edges")
+        discard(before, *([moved] if turn else []))  # the first moves are the labels
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if labels is None:

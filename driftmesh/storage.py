@@ -8,6 +8,7 @@ executor can read. Only where that setting is absent and Spark runs in one proce
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote and nothing will read again.
+
+    What Spark shuffled for them goes with the next collection of the driver's memory,
+    which is asked for, as scratch space is shared.
+    """
+    for df in frames:
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            for spark, path in [w for w in _WRITTEN if file.endswith(w[1].rsplit("/", 1)[1])]:
+                _forget(spark, path)
+                _WRITTEN.remove((spark, path))
+    gc.collect()
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
