@@ -8,9 +8,9 @@ under any order of all shingles, two sets of similarity s or more share one amon
 the first n - ceil(s * n) + 1 of each, at places that leave enough shingles for what
 they have to share. The order puts shingles that many documents of a sample hold
 last; the sample decides how many sets meet, never which of them are found. Sets
-that meet are compared by profile (how many of their shingles fall in each of 128
-classes, which bounds what they can share), and those that may be similar shingle by
-shingle.
+that meet are compared by profile (how many of their shingles fall in each of some
+classes, four in each about, which bounds what they can share), and those that may be
+similar shingle by shingle.
 
 The sets under one shingle are first compared with one of them, a central one of
 which few shingles are rare, and what that links is joined. That is repeated with
@@ -31,7 +31,7 @@ from driftmesh.llm.arrow import id_and_text, map_batches
 from driftmesh.llm.fingerprints import SEED, majority, shingle_hashes
 from driftmesh.llm.vptree import near_links
 from driftmesh.operators.components import component_labels
-from driftmesh.storage import materialize
+from driftmesh.storage import discard, materialize
 
 #: Documents whose shingles are counted for the order, on average.
 SAMPLE = 5_000
@@ -39,10 +39,10 @@ SAMPLE = 5_000
 KNOWN = 100_000
 #: Rounds of comparing with one set per shingle, at most, before all pairs are compared;
 #: and rows per set up to which all pairs are compared at once.
-STARS = 8
+STARS = 3
 ROWS = 4
-#: Numbers of a set's profile.
-PROFILE = 128
+#: Classes of a set's profile at least; they are a power of two, so that those of a larger set can be folded.
+PROFILE = 32
 
 
 def shingle_set(text: bytes | None, size: int = 5) -> np.ndarray:
@@ -56,7 +56,9 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def profile(shingles: np.ndarray) -> bytes:
-    return np.bincount((shingles % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE).astype("<u4").tobytes()
+    """How many shingles fall in each class, as 16-bit numbers, or 32-bit ones in large sets."""
+    classes = max(PROFILE, 1 << max(0, len(shingles) // 4 - 1).bit_length())
+    return np.bincount((shingles % np.uint64(classes)).astype(np.int64), minlength=classes).astype("<u2" if len(shingles) < 1 << 16 else "<u4").tobytes()
 
 
 def prefix_length(n: int, similarity: float) -> int:
@@ -100,27 +102,30 @@ def _kept_pairs(both: DataFrame, decide, similarity: float) -> DataFrame:
 
     def compare(batch: pa.RecordBatch) -> dict:
         near = []
-        for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-            total, shared = decide(x, y)
+        for row in zip(*(batch.column(c).to_pylist() for c in ("left", "right", "n_left", "n_right")), strict=True):
+            total, shared = decide(*row)
             near.append(bool(shared >= similarity * (total - shared) - 1e-9))
         keep = pa.array(near, pa.bool_())
         return {"src": batch.column("a").filter(keep), "dst": batch.column("b").filter(keep)}
 
-    return map_batches(both.select("a", "b", "left", "right"), compare, "src long, dst long")
+    return map_batches(both.select("a", "b", "left", "right", "n_left", "n_right"), compare, "src long, dst long")
 
 
 def _both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    left = table.select(F.col("node").alias("a"), F.col(column).alias("left"))
-    right = table.select(F.col("node").alias("b"), F.col(column).alias("right"))
+    left = table.select(F.col("node").alias("a"), F.col(column).alias("left"), F.col("n").alias("n_left"))
+    right = table.select(F.col("node").alias("b"), F.col(column).alias("right"), F.col("n").alias("n_right"))
     return pairs.join(left, "a").join(right, "b")
 
 
-def _by_profile(x: bytes, y: bytes) -> tuple[int, int]:
-    one, other = np.frombuffer(x, "<u4").astype(np.int64), np.frombuffer(y, "<u4").astype(np.int64)
-    return int(one.sum() + other.sum()), int(np.minimum(one, other).sum())
+def _by_profile(x: bytes, y: bytes, n_x: int, n_y: int) -> tuple[int, int]:
+    """Sizes of both sets together, and the most that they can share."""
+    counts = [np.frombuffer(p, "<u2" if n < 1 << 16 else "<u4").astype(np.int64) for p, n in ((x, n_x), (y, n_y))]
+    classes = min(map(len, counts))
+    one, other = (c.reshape(-1, classes).sum(axis=0) for c in counts)
+    return n_x + n_y, int(np.minimum(one, other).sum())
 
 
-def _by_shingle(x: bytes, y: bytes) -> tuple[int, int]:
+def _by_shingle(x: bytes, y: bytes, n_x: int, n_y: int) -> tuple[int, int]:
     one, other = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
     return len(one) + len(other), len(np.intersect1d(one, other, assume_unique=True))
 
@@ -135,11 +140,13 @@ def _similar(pairs: DataFrame, plain: DataFrame, nodes: DataFrame, similarity: f
 
     def run(batch: pa.RecordBatch) -> dict:
         made = _sets(batch, size)
-        return {"node": [node_of(s) for s in made], "shingles": [s.tobytes() for s in made]}
+        return {"node": [node_of(s) for s in made], "n": list(map(len, made)), "shingles": [s.tobytes() for s in made]}
 
-    sets = map_batches(held, run, "node long, shingles binary").join(holders.select("node"), "node", "left_semi")
+    sets = map_batches(held, run, "node long, n long, shingles binary").join(holders.select("node"), "node", "left_semi")
     sets = materialize(sets.dropDuplicates(["node"]), "shingle-sets")
-    return _kept_pairs(_both(likely, sets, "shingles"), _by_shingle, similarity)
+    found = materialize(_kept_pairs(_both(likely, sets, "shingles"), _by_shingle, similarity), "new-links")
+    discard(likely, holders, sets, pairs)
+    return found
 
 
 def _fingerprint_pairs(nodes: DataFrame, radius: int) -> DataFrame:
@@ -187,7 +194,9 @@ def _shared_shingles(printed: DataFrame) -> DataFrame:
     shared = materialize(meet.join(several, "shingle").select("shingle", "node", "n", "pos"), "shared-shingles")
     # the share of its prefix that others have as well, in steps, so that turns differ in the centre they take
     central = shared.groupBy("node").agg(F.round(20 * F.count("*") / F.first("n")).alias("centrality"))
-    return shared.join(central, "node").select(*ROW)
+    rows = materialize(shared.join(central, "node").select(*ROW), "central-shingles")
+    discard(shared)
+    return rows
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,13 +227,13 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, radi
     printed = map_batches(plain, run, f"id {kind}, node long, n long, fingerprint long, prefix array<long>, profile binary")
     printed = materialize(printed, "shingle-nodes")
     prints = printed.select("id", "node")
-    nodes = printed.groupBy("node").agg(F.min("id").alias("first"), F.first("profile").alias("profile"), F.min("fingerprint").alias("fingerprint"))
+    nodes = printed.groupBy("node").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("profile").alias("profile"), F.min("fingerprint").alias("fingerprint"))
     nodes = materialize(nodes, "nodes")
     n_nodes = nodes.count()
 
-    links = materialize(_similar(_fingerprint_pairs(nodes, radius), plain, nodes, similarity, size), "similar-links")
-    shared = _shared_shingles(printed)
-    pays = True
+    links = _similar(_fingerprint_pairs(nodes, radius), plain, nodes, similarity, size)
+    opened = _shared_shingles(printed)
+    shared, pays = opened, True
     for turn in range(STARS + 1):
         left = _open(shared, links, turn)
         held = left.groupBy("shingle").agg(F.count("*").alias("n"))
@@ -232,14 +241,17 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, radi
         if all_pairs is None:
             break
         last = turn == STARS or not pays or all_pairs <= ROWS * n_nodes
-        shared = left.select(*ROW)
+        rows = left
         if last:
             mine = left.select("shingle", "node", "n", "pos", "label")
-            left = mine.join(mine.toDF("shingle", "node2", "n2", "pos2", "label2"), "shingle").filter("node < node2")
-        pairs = _pairs(left, similarity)
-        found = materialize(_similar(pairs, plain, nodes, similarity, size), "new-links")
-        pays = 20 * found.count() >= pairs.count()
-        links = materialize(links.unionAll(found), "similar-links")
+            rows = mine.join(mine.toDF("shingle", "node2", "n2", "pos2", "label2"), "shingle").filter("node < node2")
+        pairs = _pairs(rows, similarity)
+        n_pairs = pairs.count()
+        found = _similar(pairs, plain, nodes, similarity, size)
+        pays = 20 * found.count() >= n_pairs
+        before, links = links, materialize(links.unionAll(found), "similar-links")
+        discard(before, found, opened)
+        shared, opened = left.select(*ROW), left
         if last:
             break
 
