@@ -33,7 +33,9 @@ CHUNK_BYTES = 4 << 20
 #: Split points that are broadcast at most (some 100 MB); beyond (4 TB of pages) chunks grow instead.
 MAX_POINTS = 1_000_000
 #: Bytes that a task gets, of keys and of pages.
-KEY_BYTES, TASK_BYTES = 32 << 20, 64 << 20
+KEY_BYTES, TASK_BYTES = 32 << 20, 16 << 20
+#: Tasks that pages are dealt to at most; beyond (3 TB) a task gets more chunks, one at a time.
+MAX_TASKS = 200_000
 #: Words of a line that may be a label, such as "Read more".
 LABEL_WORDS = 8
 
@@ -147,7 +149,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64
     found = _split_points(keyed.select("host", "path", "id", n_bytes.alias("n_bytes")), chunk_bytes)
     points = pages.sparkSession.sparkContext.broadcast(found[1:])
-    tasks = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(found) * chunk_bytes // TASK_BYTES)
+    tasks = min(MAX_TASKS, max(pages.sparkSession.sparkContext.defaultParallelism, len(found) * chunk_bytes // TASK_BYTES))
     kind = keyed.schema["page"].dataType.simpleString()
 
     def cut(batch: pa.RecordBatch) -> dict:
