@@ -1,11 +1,13 @@
 """Secret scans: candidate strings in texts, and a random forest against false ones.
 
-Candidates are runs of at least 16 characters of keys and hashes that hold a
-digit. Each is described by its length, its character transitions, how much of its
-letters a dictionary covers, whether it stands in a path, and its neighbouring
-words. The forest learns from labelled findings which of them are secrets. All of
-it runs as DataFrame expressions and MLlib; findings are named by their hash, so
-that a report does not spread what it found.
+Candidates are runs of at least 16 characters of keys and hashes that are no plain
+lower-case word, and whatever is assigned to a telling name (``password = ...``) from
+six characters on. Each is described by its length, its character transitions, how
+much of its letters a dictionary covers, whether it stands in a path, and its
+neighbouring words. The forest learns from labelled findings which of them are
+secrets: made ones of common shapes, and those of the documents that rules label
+without doubt. All of it runs as DataFrame expressions and MLlib; findings are named
+by their hash, so that a report does not spread what it found.
 """
 
 from __future__ import annotations
@@ -19,32 +21,55 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmesh.llm.columns import ascii_lower
+from driftmesh.storage import materialize
 
-CANDIDATE = r"(?=[A-Za-z+/_=\-]*[0-9])[A-Za-z0-9+/_=\-]{16,}"
-#: Labelled findings that the forest is fitted on at most.
+CANDIDATE = r"(?=.[a-z]*[A-Z0-9+/_=\-])[A-Za-z0-9+/_=\-]{16,}"
+#: Labelled findings of each kind that the forest is fitted on at most: those of smallest hash.
 MAX_LABELLED = 20_000
 #: Words that introduce a secret, and words that belong to harmless strings.
-TELLING = "token|secret|passw|api|key|auth|bearer|credential|private|access"
+TELLING = "token|secret|passw|pwd|api|key|auth|bearer|credential|private|access"
 HARMLESS = "commit|sha|md5|digest|version|release|build|file|image|example|sample|id|ref|checksum|order|phone|tel"
+#: A word that assigns a value to a telling name, and what may stand between name and value.
+ASSIGNED = rf"(?i)^[\"'(]*[a-z0-9_.\-]*({TELLING})[a-z0-9_.\-]*[\"']?[:=]+[\"']?[^\s\"':=]{{6}}"
+NAME = rf"(?i)({TELLING})[a-z0-9_.\-]*[\"']?"
 FEATURES = [
-    "length", "digits", "uppers", "hexes", "variety", "class_changes", "vowel_changes", "repeats", "covered", "in_path", "told", "harmless", "assigned", "quoted", "next_length",
+    "length", "digits", "uppers", "hexes", "variety", "class_changes", "vowel_changes", "repeats", "covered", "in_path", "told", "harmless", "assigns", "others", "quoted", "next_length",
 ]
 
 
+def _told(i: Column) -> Column:
+    """Whether the word at ``i`` has, or is, a value assigned to a telling name."""
+    word, before, earlier = (F.coalesce(F.get("words", i - k), F.lit("")) for k in (0, 1, 2))
+    alone = before.rlike("^(=|:|:=|=>|is)$") & earlier.rlike(f"{NAME}$")
+    return (F.char_length(word) >= 6) & (word.rlike(ASSIGNED) | before.rlike(f"{NAME}[:=]+$") | alone)
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, pos (of the word), nth (in the word), word, candidate, before2, before, after."""
-    words = F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+")
-    split = docs.select(F.col(id_col).alias("id"), words.alias("words"))
-    long = lambda i: (F.char_length(F.get("words", i)) >= 16) & F.get("words", i).rlike("[0-9]")
-    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), long)
+    """id, pos (of the word), nth (in the word), word, candidate, before2, before, after, assigned."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    split = docs.select(F.col(id_col).alias("id"), F.split(text, r"[\x20\x09-\x0D]+").alias("words"), text.rlike(f"(?i)({TELLING})").alias("tells"))
+    long = lambda i: (F.char_length(F.get("words", i)) >= 16) & F.get("words", i).rlike(CANDIDATE)
+    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: long(i) | (F.col("tells") & _told(i)))
     around = F.transform(
         at,
         lambda i: F.struct(
-            i.alias("pos"), F.get("words", i).alias("word"), F.get("words", i - 2).alias("before2"), F.get("words", i - 1).alias("before"), F.get("words", i + 1).alias("after")
+            i.alias("pos"),
+            F.get("words", i).alias("word"),
+            F.get("words", i - 2).alias("before2"),
+            F.get("words", i - 1).alias("before"),
+            F.get("words", i + 1).alias("after"),
+            (F.col("tells") & _told(i)).alias("assigned"),
         ),
     )
-    found = split.select("id", F.explode(around).alias("f")).select("id", "f.*")
-    return found.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))).alias("nth", "candidate"))
+    return found_in(split.select("id", F.explode(around).alias("f")).select("id", "f.*"))
+
+
+def found_in(words: DataFrame) -> DataFrame:
+    """``words`` with nth and candidate: the assigned value, or all long runs of a word."""
+    value = F.regexp_extract(F.regexp_replace("word", rf"(?i)^[\"'(]*[a-z0-9_.\-]*({TELLING})[a-z0-9_.\-]*[\"']?[:=]+", ""), "^[\"'`(\\[{<]*([^\"'`)\\]}>,;]{6,})", 1)
+    runs = F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))
+    picked = F.when(F.col("assigned") & (value != ""), F.array(value)).otherwise(runs)
+    return words.select("*", F.posexplode(picked).alias("nth", "candidate"))
 
 
 def _share(candidate: Column, pattern: str) -> Column:
@@ -75,7 +100,8 @@ def describe(found: DataFrame, dictionary: DataFrame) -> DataFrame:
         "in_path": (F.instr("word", "://") > 0) | F.col("word").rlike(r"^[^\"']*/[^\"']*/") | F.col("word").rlike(r"\.[a-z]{2,4}$"),
         "told": near.rlike(TELLING) | ascii_lower("word").rlike(f"^[\"'(]*({TELLING})"),
         "harmless": near.rlike(f"\\b({HARMLESS})"),
-        "assigned": F.coalesce(F.col("before").rlike("[=:]$"), F.lit(False)) | F.col("word").rlike("^[A-Za-z_]+[=:]"),
+        "assigns": F.col("assigned") | F.coalesce(F.col("before").rlike("[=:]$"), F.lit(False)) | F.col("word").rlike("^[A-Za-z_]+[=:]"),
+        "others": _share(c, "[^A-Za-z0-9]"),
         "quoted": F.col("word").rlike("[\"'`]"),
         "next_length": F.coalesce(F.char_length("after"), F.lit(0)),
     }
@@ -83,17 +109,23 @@ def describe(found: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
-    """Findings with a label (1: a secret), made by rule: keys and tokens of common
-    shapes with and without a telling word before them, against card numbers, dates,
-    hashes in paths, identifiers of words and placeholders."""
+    """Findings with a label (1: a secret), made by rule.
+
+    Keys, tokens and passwords of common shapes with and without a telling word before
+    them, against card numbers, dates, hashes in paths, identifiers of words, and
+    placeholders where a secret would stand.
+    """
     h = F.sha2(F.concat(F.lit("finding:"), F.col("id").cast("string")), 256)
     bits = lambda a, n: F.conv(F.substring(h, a, n), 16, 10).cast("long")
     pick = lambda at, *values: F.get(F.array(*[F.lit(v) if isinstance(v, str) else v for v in values]), (bits(at, 4) % len(values)).cast("int"))
     name = pick(1, "report", "holiday", "invoice", "session", "picture", "archive", "summary", "weather")
     other = pick(5, "final", "draft", "public", "winter", "update", "large", "north", "second")
     mixed = F.translate(F.base64(F.unhex(F.sha2(h, 256))), "+/=", "xyz")
+    letters = F.translate(mixed, "0123456789", "QwErTyUiOp")
     number = F.substring(F.regexp_replace(F.concat(h, F.sha2(h, 256)), "[a-f]", ""), 1, 16)
-    secret = pick(9, F.substring(h, 3, 40), F.substring(h, 3, 32), h, F.substring(mixed, 1, 32), F.concat(F.lit("AKIA"), F.upper(F.substring(mixed, 1, 16))), F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)), F.upper(F.substring(h, 5, 40)))
+    mark = pick(29, "!", "#", "$", "%", "@", "?")
+    keys = [F.substring(h, 3, 40), F.substring(h, 3, 32), h, F.substring(mixed, 1, 32), F.concat(F.lit("AKIA"), F.upper(F.substring(mixed, 1, 16))), F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)), F.upper(F.substring(h, 5, 40)), F.substring(letters, 1, 24), F.concat(F.lit("AKIA"), F.upper(F.substring(letters, 1, 16)))]
+    passwords = [F.concat(F.substring(mixed, 1, 7), mark, F.substring(mixed, 9, 3)), F.concat(F.initcap(name), F.substring(number, 1, 4), mark), F.concat(name, F.lit("-"), other, F.lit("-"), F.reverse(name), F.lit("-"), F.substring(letters, 1, 4)), F.substring(mixed, 1, 10)]
     harmless = pick(
         9,
         number,
@@ -103,21 +135,40 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
         F.concat(F.lit("xxxxxxxxxxxx"), F.substring(number, 1, 4)),
         F.concat(name, F.lit("_"), other, F.lit("_image_"), F.substring(number, 1, 4), F.lit(".png")),
         F.concat(F.lit("/usr/share/"), name, F.lit("/"), other, F.substring(number, 1, 3)),
+        F.concat(F.initcap(name), F.initcap(other), F.initcap(name)),
+        F.concat(F.upper(name), F.lit("_"), F.upper(other), F.lit("_"), F.upper(name)),
     )
+    placeholder = pick(9, "changeme", "your_password_here", "<password>", "xxxxxxxxxx", "${PASSWORD}", "example", "required", F.concat(F.lit("config."), name), F.concat(name, F.lit("_"), other))
     is_secret = bits(13, 2) % 2 == 0
     told = bits(15, 2) % 10 < 7
+    short = told & (bits(27, 2) % 3 == 0)
     lead = pick(17, "token", "api_key", "password", "secret", "auth_token")
     plain = pick(21, "the", "of", "with", "order", "commit", "file", "see")
-    quoted = F.when(bits(25, 2) % 3 == 0, secret).otherwise(F.concat(F.lit('"'), secret, F.lit('"')))
-    return spark.range(rows).select(
+    secret = F.when(short, pick(9, *passwords)).otherwise(pick(9, *keys))
+    value = F.when(is_secret, secret).when(short, placeholder).otherwise(harmless)
+    leads = (is_secret & told) | (~is_secret & short)
+    words = spark.range(rows).select(
         F.lit(-1).cast("long").alias("row"),
         F.col("id").cast("int").alias("pos"),
-        F.when(is_secret, quoted).otherwise(harmless).alias("word"),
-        F.when(is_secret & told, lead).otherwise(plain).alias("before2"),
-        F.when(is_secret & told, F.lit("=")).otherwise(other).alias("before"),
+        F.when(bits(25, 2) % 3 == 0, value).when(is_secret | short, F.concat(F.lit('"'), value, F.lit('"'))).otherwise(value).alias("word"),
+        F.when(leads, lead).otherwise(plain).alias("before2"),
+        F.when(leads, F.lit("=")).otherwise(other).alias("before"),
         name.alias("after"),
+        leads.alias("assigned"),
         is_secret.cast("double").alias("label"),
-    ).select("*", F.posexplode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))).alias("nth", "candidate")).filter("nth = 0")
+    )
+    return found_in(words).filter("nth = 0")
+
+
+def clear_findings(described: DataFrame) -> DataFrame:
+    """Findings of documents with a label where rules leave no doubt; the others are left out.
+
+    A secret: assigned to a telling name and a long mix of letters and digits without
+    words. None: a number, or a string in a path or address that no such name stands by.
+    """
+    key = (F.col("assigns") == 1) & (F.col("told") == 1) & (F.col("length") >= 20) & (F.col("covered") < 0.3) & F.col("digits").between(0.05, 0.9) & (F.col("others") < 0.2)
+    plain = (F.col("told") == 0) & (F.col("assigns") == 0) & ((F.col("digits") > 0.95) | (F.col("in_path") == 1))
+    return described.withColumn("label", F.when(key, 1.0).when(plain, 0.0)).filter("label IS NOT NULL")
 
 
 def read_dictionary(spark: SparkSession, path: str, least: int = 3) -> DataFrame:
@@ -130,24 +181,32 @@ def read_dictionary(spark: SparkSession, path: str, least: int = 3) -> DataFrame
     return spark.range(1).select(F.explode(F.split(F.lit(text), " ")).alias("entry"))
 
 
-def train(findings: DataFrame, dictionary: DataFrame, trees: int = 24, depth: int = 7, seed: int = 7) -> RandomForestClassificationModel:
-    """A forest fitted on at most ``MAX_LABELLED`` findings with a column label."""
-    described = describe(findings.limit(MAX_LABELLED), dictionary)
+def train(described: DataFrame, trees: int = 24, depth: int = 7, seed: int = 7) -> RandomForestClassificationModel:
+    """A forest fitted on described findings with a column label.
+
+    The rows, bounded by their makers, are put in one order, as a forest depends on it.
+    """
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(described)
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows.select("features", "label"))
+    ordered = rows.select("features", "label", *FEATURES).coalesce(1).sortWithinPartitions("label", *FEATURES)
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(ordered.select("features", "label"))
 
 
-def scan_secrets(docs: DataFrame, dictionary: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(
+    docs: DataFrame, dictionary: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED
+) -> DataFrame:
     """One row per candidate: id, pos, nth, candidate, probability, is_secret.
 
-    ``findings`` are labelled ones (word, candidate, before2, before, after, label);
-    without, those of ``labelled_findings``. Null and empty texts have no candidate;
-    null ids are scanned like any others. A finding is known by id, position and
-    neighbours, so equal rows of ``docs`` give their findings once.
+    ``findings`` are labelled ones (word, candidate, before2, before, after, assigned,
+    label), of which the ``max_labelled`` of smallest hash are used; without, those of
+    ``labelled_findings``. As many of ``clear_findings`` join them. Null and empty texts
+    have no candidate; null ids are scanned like any others; a text is read whole,
+    however long. A finding is known by id, position and neighbours, so equal rows of
+    ``docs`` give their findings once; ties in probability need no order.
     """
-    findings = labelled_findings(docs.sparkSession) if findings is None else findings
-    forest = train(findings, dictionary)
-    described = describe(candidates(docs, id_col, text_col), dictionary)
+    made = labelled_findings(docs.sparkSession) if findings is None else findings
+    described = materialize(describe(candidates(docs, id_col, text_col), dictionary), "described-findings")
+    some = lambda rows: rows.orderBy(F.xxhash64("candidate", "word", "before", "after"), "candidate", "pos").limit(max_labelled).select("label", *FEATURES)
+    forest = train(some(describe(made, dictionary)).unionAll(some(clear_findings(described))))
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(described)
     judged = forest.transform(rows).withColumn("probability", F.round(vector_to_array("probability")[1], 6))
     return judged.select(F.col("id").alias(id_col), "pos", "nth", "candidate", "probability", (F.col("probability") >= threshold).alias("is_secret"))
