@@ -8,9 +8,10 @@ its rarest shingle. Each such place gives one start for the window; starts that
 leave the document on either side fail the positional and length bounds, and the
 rest are verified word by word.
 
-The index covers a block of the benchmark of at most ``BLOCK_BYTES`` of text and
-is broadcast; a larger benchmark is worked off in several blocks against all
-documents, and the blocks' spans are united per document.
+The index covers a block of the benchmark of about ``BLOCK_BYTES`` of text and at
+most ``BLOCK_WORDS`` words, and is broadcast; long items are cut into pieces that
+overlap by all but one word of a window. A larger benchmark is worked off in several
+blocks against all documents, and the blocks' spans are united per document.
 """
 
 from __future__ import annotations
@@ -24,11 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmesh.llm.arrow import chunks, map_batches
+from driftmesh.llm.columns import ascii_lower
 from driftmesh.storage import materialize
 
-#: Benchmark text that one broadcast index covers; it keeps word numbers under 2**20.
+#: Benchmark text that one broadcast index covers, about, and words, at most: three word numbers fit in 63 bits.
 BLOCK_BYTES = 4 << 20
+BLOCK_WORDS = 1 << 20
+#: Window starts in a piece of a long item.
+PIECE_WORDS = 1 << 15
 SHINGLE = 3
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Word bytes are digits, letters (A-Z made small) and all bytes from 0x80.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -204,6 +210,52 @@ def _united(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), empty, add)
 
 
+def _pieces(benchmark: DataFrame, window: int, item_id_col: str, item_text_col: str) -> DataFrame:
+    """item, piece, text: items as pieces of bounded length, of at least a window unless the item is shorter."""
+    words = F.regexp_extract_all(ascii_lower(F.col(item_text_col)), F.lit(WORD), F.lit(0))
+    named = benchmark.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("null")).alias("item"), words.alias("words")).filter(F.size("words") > 0)
+    n_pieces = F.greatest(F.ceil((F.size("words") - window + 1) / F.lit(PIECE_WORDS)), F.lit(1)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), n_pieces - 1), lambda k: F.array_join(F.slice("words", k * PIECE_WORDS + 1, F.lit(PIECE_WORDS + window - 1)), " "))
+    return named.select("item", F.posexplode(parts).alias("piece", "text"))
+
+
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int, item_id_col: str, item_text_col: str) -> Iterator[list[tuple[str, bytes]]]:
+    """The pieces, dealt evenly; one block after the other is on the driver."""
+    known = _pieces(benchmark, window, item_id_col, item_text_col)
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = max(1, math.ceil(size / block_bytes))
+    block = F.pmod(F.xxhash64("item", "piece", "text"), F.lit(n_blocks))
+    for k in range(n_blocks):
+        held, n_words = [], 0
+        for r in known.filter(block == k).toLocalIterator():
+            text = r["text"].encode()
+            n = text.count(b" ") + 1
+            if held and n_words + n > BLOCK_WORDS:
+                yield held
+                held, n_words = [], 0
+            held.append((r["item"], text))
+            n_words += n
+        if held:
+            yield held
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str, item_id_col: str, item_text_col: str, block_bytes: int) -> DataFrame:
+    """id, version (of the text), n_words, spans, items of every row."""
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("version"))
+    scans = [_scan(plain, items, window) for items in _blocks(benchmark, window, block_bytes, item_id_col, item_text_col)] or [_scan(plain, [], window)]
+    if len(scans) == 1:
+        return scans[0]
+    hits = scans[0]
+    for scan in scans[1:]:
+        hits = hits.unionAll(scan)
+    hits = hits.filter(F.size("items") > 0).groupBy("id", "version").agg(_united(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    base, hits = scans[0].select("id", "version", "n_words").alias("a"), hits.alias("b")
+    same = F.col("a.id").eqNullSafe(F.col("b.id")) & F.col("a.version").eqNullSafe(F.col("b.version"))
+    none = F.array().cast("array<string>")
+    spans = F.coalesce("spans", F.array().cast("array<struct<start: long, end: long>>")).alias("spans")
+    return base.join(hits, same, "left").select("a.id", "a.version", "n_words", spans, F.coalesce("items", none).alias("items"))
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -223,31 +275,21 @@ def find_contamination(
     a null item id is named ``null``, and items that share an id are one. Repeated
     rows of ``docs`` are all returned. An empty benchmark hits nothing.
     """
-    known = benchmark.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).cast("binary").alias("text"))
-    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, math.ceil(size / block_bytes))
-    block = F.pmod(F.xxhash64("item"), F.lit(n_blocks))
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("version"))
-    scans = [_scan(plain, [(r["item"], r["text"] and bytes(r["text"])) for r in known.filter(block == k).collect()], window) for k in range(n_blocks)]
-    found = scans[0]
-    if n_blocks > 1:
-        hits = scans[0]
-        for scan in scans[1:]:
-            hits = hits.unionAll(scan)
-        hits = hits.filter(F.size("items") > 0).groupBy("id", "version").agg(_united(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        base, hits = scans[0].select("id", "version", "n_words").alias("a"), hits.alias("b")
-        same = F.col("a.id").eqNullSafe(F.col("b.id")) & F.col("a.version").eqNullSafe(F.col("b.version"))
-        none = F.array().cast("array<string>")
-        found = base.join(hits, same, "left").select("a.id", "n_words", F.coalesce("spans", F.array().cast("array<struct<start: long, end: long>>")).alias("spans"), F.coalesce("items", none).alias("items"))
+    found = _hits(docs, benchmark, window, id_col, text_col, item_id_col, item_text_col, block_bytes)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """The rows of ``docs`` without a word in a benchmark window.
 
-    Rows that share an id go together; rows with a null id stay, as nothing names them.
+    Rows that share an id go together; a row with a null id goes if its own text is hit.
     """
-    found = find_contamination(docs, benchmark, id_col=id_col, **settings)
-    hit = materialize(found.filter(F.col("n_hit") > 0).select(id_col).distinct(), "contaminated")
-    return docs.join(hit, id_col, "left_anti").select(docs.columns)
+    found = _hits(docs, benchmark, window, id_col, text_col, item_id_col, item_text_col, block_bytes)
+    own = lambda name, version: F.when(name.isNull(), version).otherwise(F.lit(0).cast("long"))
+    hit = found.filter(F.size("items") > 0).select(F.col("id").alias("__id"), own(F.col("id"), F.col("version")).alias("__own")).distinct()
+    hit = materialize(hit, "contaminated")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (own(F.col(id_col), F.xxhash64(F.col(text_col))) == F.col("__own"))
+    return docs.join(hit, same, "left_anti").select(docs.columns)

@@ -63,9 +63,10 @@ def generalise(leaves: DataFrame, max_children: int, min_share: float) -> DataFr
     for level in range(deepest):
         child = F.get("shape", F.lit(level))
         weights = made.filter(F.size("shape") > level).groupBy("host", "template", child.alias("child")).agg(F.sum("n").alias("weight"))
-        node = Window.partitionBy("host", "template")
-        fan = weights.withColumn("children", F.count("*").over(node)).withColumn("total", F.sum("weight").over(node))
-        rare = fan.filter((F.col("children") > max_children) & (F.col("weight") < min_share * F.col("total"))).select("host", "template", "child", F.lit(True).alias("rare"))
+        # summed before they meet, so that a node with very many children is no single task's
+        totals = weights.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("weight").alias("total")).filter(F.col("children") > max_children)
+        fan = weights.join(totals, ["host", "template"])
+        rare = fan.filter(F.col("weight") < min_share * F.col("total")).select("host", "template", "child", F.lit(True).alias("rare"))
         joined = made.withColumn("child", child).join(rare, ["host", "template", "child"], "left")
         step = F.when(F.col("rare"), F.lit("*")).otherwise(F.col("child"))
         grown = F.when(F.col("child").isNull(), F.col("template")).otherwise(F.concat("template", F.array(step)))
@@ -124,7 +125,10 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_c
 
     Null URLs and those without ``://`` have an empty host and path; they form a
     host like any other. rule is null where none fits; of the rules that fit, the
-    longest decides. Null ids and repeated rows stay, and each row counts.
+    longest decides. Null ids and repeated rows stay, and each row counts. Paths are read
+    whole, with a round of the tree for each level of the longest one. Of siblings with
+    equal shares of blocked pages the one first by name comes first; such siblings are
+    always alike, so the order does not change what is merged.
     """
     host, path = host_and_path(F.col(url_col))
     parsed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))

@@ -228,8 +228,10 @@ def brute_hits(texts, items, window=10):
     return by_text(made)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
-def test_contamination(spark, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "piece_words", "block_words"), [(1 << 20, 1 << 15, 1 << 20), (40, 1 << 15, 1 << 20), (1 << 20, 1, 12), (30, 2, 1 << 20)])
+def test_contamination(spark, monkeypatch, block_bytes, piece_words, block_words):
+    monkeypatch.setattr(contamination, "PIECE_WORDS", piece_words)
+    monkeypatch.setattr(contamination, "BLOCK_WORDS", block_words)
     texts, items = spark.createDataFrame(TEXTS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id string, text string")
     found = contamination.find_contamination(texts.withColumn("spans", F.lit(1)), items, block_bytes=block_bytes)
     got = [(r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in found.collect()]
@@ -243,7 +245,13 @@ def test_contamination_of_nothing(spark):
     assert contamination.find_contamination(texts, items.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
     assert contamination.find_contamination(texts.limit(0), items).count() == 0
     kept = contamination.drop_contaminated(texts, items)
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 0), (False, 1), (True, 0)]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 0), (False, 1)]
+    nameless = spark.createDataFrame([(None, "two three"), (None, "two four"), (None, None), (None, "two four")], "doc_id long, text string")
+    assert rows(contamination.drop_contaminated(nameless, items), "text") == by_text([("two four",), ("two four",), (None,)])
+
+
+def test_block_words_keep_shingles_in_63_bits():
+    assert (contamination.BLOCK_WORDS + contamination.PIECE_WORDS + 64) ** contamination.SHINGLE < 1 << 63
 
 
 # near copies
