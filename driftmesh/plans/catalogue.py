@@ -421,6 +421,11 @@ def sweep_pending(spark, d):
     return sweep.pending(sweep.combinations(spark, LISTS), status)
 
 
+@query
+def sweep_batches(spark, d):
+    return sweep.batches(sweep.combinations(spark, LISTS), 5)
+
+
 @query
 def stage_stats(spark, d):
     found = _Found(spark, d, min_length=3)

@@ -290,6 +290,7 @@ SELECT component AS group_id, node AS trajectory_idx FROM comp""",
 ) SELECT group_id, trajectory_idx, segment::BIGINT AS segment, (row_number() OVER (PARTITION BY group_id, trajectory_idx, segment ORDER BY seq, a) - 1)::BIGINT AS ord, px, py FROM m""",
     "canvas_points": f"WITH {_E} SELECT trajectory_idx, seq, x * (640.0::DOUBLE / 1024) AS cx, 480.0::DOUBLE - y * (480.0::DOUBLE / 1024) AS cy FROM e",
     "sweep_params": _LISTS,
+    "sweep_batches": f"SELECT *, set_id // 5 AS batch FROM ({_LISTS})",
     "sweep_feasible": f"WITH {_E}, b AS (SELECT {_BITS} FROM e), p AS ({_LISTS}) SELECT p.*, lx - space::BIGINT AS shift_xy, lt - time::BIGINT AS shift_t FROM p, b WHERE space::BIGINT <= lx AND time::BIGINT <= lt",
     "sweep_pending": f"SELECT * FROM ({_LISTS}) WHERE set_id % 3 <> 0",
     "stage_stats": f"""WITH RECURSIVE {_CC3} SELECT 0::BIGINT AS line, 'trajectories' AS label, count(DISTINCT trajectory_idx) AS value FROM n

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,14 +57,37 @@ def fill_template(template: str, values: list[str], node: int | None = None) ->
     return "".join(made)
 
 
-def run_sweep(params: list[dict], run: Callable[[dict], int], slots: int = 4) -> list[dict]:
-    """``run`` for every set, several at once; a set that raises is marked failed."""
+def batches(params: DataFrame, size: int) -> DataFrame:
+    """params with batch: consecutive ranges of ``size`` sets, for one node each."""
+    return params.withColumn("batch", F.floor(F.col("set_id") / F.lit(size)).cast("long"))
+
+
+def run_sweep(params: list[dict], run: Callable[[dict], int], slots: int = 4, seconds: float | None = None, spark: SparkSession | None = None) -> list[dict]:
+    """``run`` for every set, several at once; a set that raises is marked failed.
+
+    With ``seconds`` and a session, a set's Spark jobs are cancelled once it has taken
+    that long, and it is marked so; the others go on.
+    """
 
     def one(values: dict) -> dict:
+        name, timer, late = f"sweep-{id(values)}", None, threading.Event()
+        if spark is not None and seconds is not None:
+            spark.sparkContext.setJobGroup(name, str(values), interruptOnCancel=True)
+
+            def stop() -> None:
+                late.set()
+                spark.sparkContext.cancelJobGroup(name)
+
+            timer = threading.Timer(seconds, stop)
+            timer.start()
         try:
             return {**values, "status": "completed", "rows": run(values)}
         except Exception as error:  # a sweep goes on after a failed set
-            return {**values, "status": "failed", "rows": 0, "error": str(error)[:200]}
+            return {**values, "status": "stopped" if late.is_set() else "failed", "rows": 0, "error": str(error)[:200]}
+        finally:
+            if timer is not None:
+                timer.cancel()
 
+    wrapped = inheritable_thread_target(spark)(one) if spark is not None else one
     with ThreadPoolExecutor(slots) as pool:
-        return list(pool.map(one, params))
+        return list(pool.map(wrapped, params))
