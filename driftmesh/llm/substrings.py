@@ -7,15 +7,16 @@ equal strings meet under equal keys:
 1. documents are dealt to chunks; each chunk names its segment keys, once each;
 2. keys are gathered by bucket, and those of several documents are returned;
 3. chunks send the segments with such keys; of equal segments in a chunk only the
-   smallest id's is sent, the others are known to be covered;
+   smallest id's goes to the key's bucket, the others are known to be covered;
 4. a bucket finds covered windows: equal segments directly, and where segments of
    one key differ, with a run-length index of the different ones;
 5. chunks cut the covered bytes out of their documents.
 
 Rows of these exchanges hold many keys or segments each. Texts are shuffled once:
 steps 1, 3 and 5 share an exchange. Chunks and buckets grow in number with the
-input, not in size; a string that a third of all documents holds is sent once by
-each chunk.
+input, not in size. A string that a third of all documents holds alike goes to its
+bucket once from each chunk; where what stands around it differs, each surrounding
+does, and the bucket of such a string grows with them.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ CHUNK_BYTES = 6 << 20
 BUCKET_BYTES = 8 << 20
 #: Bytes of text cut into segments at a time.
 PIECE_BYTES = 2 << 20
+#: Segments are shorter than twice the length of the strings looked for, and have 16-bit sizes.
+MAX_LENGTH = 30_000
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -155,15 +158,16 @@ def send_segments(table: pa.Table, shared: pa.Table, length: int, n_buckets: int
     for part, owner in zip(parts, ids.tolist(), strict=True):  # rows are in order of ids
         least.setdefault(part, owner)
     own = np.array([least[p] == i for p, i in zip(parts, ids.tolist(), strict=True)], bool)
-    bucket = ((key >> np.uint64(16)) % np.uint64(n_buckets)).astype(np.int64)
-    order = np.lexsort((~own, bucket))  # of each bucket the sent ones first
+    number = table["chunk"][0].as_py() if table.num_rows else 0
+    # copies need no bucket of their key, which may be a hot one: they go to one of the chunk's own
+    bucket = np.where(own, ((key >> np.uint64(16)) % np.uint64(n_buckets)).astype(np.int64), n_buckets + number)
+    order = np.lexsort((~own, bucket))
     first = np.flatnonzero(np.append(True, np.diff(bucket[order]) > 0)) if len(order) else np.zeros(0, np.int64)
     sealed = []
     for low, high in zip(first.tolist(), [*first.tolist()[1:], len(order)], strict=True):
         here = order[low:high]
         n = int(own[here].sum())
         sealed.append(_seal(ids[here], place[here], (end - start)[here], (grain - start)[here[:n]], (key >> np.uint64(32))[here[:n]], [parts[i] for i in here[:n].tolist()]))
-    number = table["chunk"][0].as_py() if table.num_rows else 0
     return pa.table({"bucket": bucket[order][first], "chunk": np.full(len(first), number, np.int64), "sealed": pa.array(sealed, pa.binary())})
 
 
@@ -291,8 +295,10 @@ def dedup_substrings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     Ids are whole numbers. Null and empty texts have no bytes. Rows with a null id
     neither remove nor lose anything. Rows that share an id are one document: they
     do not remove each other's bytes, and equal rows lose the same. ``length`` is
-    at least 16.
+    at least 16, and at most 30,000, as segments (under twice that) have 16-bit sizes.
     """
+    if not GRAIN <= length <= MAX_LENGTH:
+        raise ValueError(f"length must be from {GRAIN} to {MAX_LENGTH}")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n_chunks, n_buckets = max(1, round(size / chunk_bytes)), max(1, round(size / bucket_bytes))
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
