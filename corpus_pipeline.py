@@ -3,6 +3,13 @@
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and gives a
 DataFrame that is written as Parquet and read again as the next one's documents.
 All but the last return the columns of ``documents``.
+
+Null and empty texts fail the first stage. Rows with a null id pass line dedup and near
+dedup as they are, go if their own text holds a benchmark window, and share one draw of
+the mix. Of rows that repeat an id one stays after near dedup, the first in order of all
+columns. Long texts are read whole. Columns with names that a stage uses are kept
+(``kept``) or replaced by the mix (``size``, ``copies``, ``copy`` and the others that it
+adds). Empty tables give an empty result, and reruns agree.
 """
 
 from __future__ import annotations
@@ -60,7 +67,7 @@ STAGES = [
     ("mix_sources", mix_sources),
 ]
 
-#: The tokeniser bands and the fingerprints have no SQL form; tests hold a brute-force version against run().
+#: The tokeniser bands and the near copies have no SQL form; tests hold a brute-force version against run().
 ORACLE_SQL = None
 
 

@@ -24,5 +24,5 @@ def test_all_customers(spark, tmp_path):
     rows = [(key, c, day + datetime.timedelta(d), price, level) for key, c, d, price, level in ORDERS]
     names = "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double, o_orderpriority string"
     spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/orders.parquet")
-    got = QUERIES["interpolate_all_orders"](spark, str(tmp_path)).select("trajectory_idx", "x", "y", "t").collect()
+    got = QUERIES["interpolate_orders"](spark, str(tmp_path)).select("trajectory_idx", "x", "y", "t").collect()
     assert sorted(map(tuple, got)) == brute(ORDERS)

@@ -321,7 +321,7 @@ def test_printing(spark, tmp_path, capsys):
 def test_a_sweep_stops_what_takes_too_long(spark):
     def run(values):
         if values["set_id"] == 1:
-            slow = spark.range(0, 10**14, 1, 4).selectExpr("sum(sqrt(id))")
+            slow = spark.range(0, 10**14, 1, 2).selectExpr("sum(sqrt(id))")
             return int(slow.collect()[0][0])
         if values["set_id"] == 2:
             raise ValueError("bad set")

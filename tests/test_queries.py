@@ -9,8 +9,8 @@ from driftmesh.plans.oracles import ORACLES
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 SOME = [
-    "load_samples", "dataset_stats", "grid_extent", "box_filter_reset", "interpolate_gaps", "interpolate_orders", "pad_paths", "compress_path", "verify_path", "heading_distance", "levels", "rollup_shift",
-    "cell_centres", "unique_cells", "enumerate", "morton_codes", "timeslice_counts", "closed_itemsets", "maximal_itemsets", "viewport_polylines", "sweep_feasible", "dat_roundtrip", "emp_text",
+    "load_samples", "dataset_stats", "grid_extent", "box_filter_reset", "interpolate_gaps", "pad_paths", "compress_path", "verify_path", "heading_distance", "levels", "rollup_shift",
+    "cell_centres", "unique_cells", "enumerate", "morton_codes", "timeslice_counts", "closed_itemsets", "maximal_itemsets", "viewport_polylines", "sweep_feasible", "sweep_batches", "dat_roundtrip", "emp_text", "dat_file", "csv_file", "unq_file", "map_file", "print_dataset", "rotated_points", "support_order",
 ]
 
 
