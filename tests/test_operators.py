@@ -316,16 +316,3 @@ def test_printing(spark, tmp_path, capsys):
     assert [r["text"] for r in printing.format_itemsets(sets).collect()] == ["0: {3 4} x 2"]
     edges = spark.createDataFrame([(1, 3, 0.5), (1, 2, 1.0)], "t1 long, t2 long, w double")
     assert [r["text"] for r in printing.format_edges(edges).collect()] == ["2:1.000000 3:0.500000"]
-
-
-def test_a_sweep_stops_what_takes_too_long(spark):
-    def run(values):
-        if values["set_id"] == 1:
-            slow = spark.range(0, 10**14, 1, 2).selectExpr("sum(sqrt(id))")
-            return int(slow.collect()[0][0])
-        if values["set_id"] == 2:
-            raise ValueError("bad set")
-        return spark.range(5).count()
-
-    made = sweep.run_sweep([{"set_id": k} for k in range(4)], run, slots=4, seconds=12, spark=spark)
-    assert [(r["status"], r["rows"]) for r in made] == [("completed", 5), ("stopped", 0), ("failed", 0), ("completed", 5)]
