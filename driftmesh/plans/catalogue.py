@@ -634,13 +634,13 @@ def parsed_levels(spark, d):
 def swept_groups(spark, d):
     """Every feasible set of a sweep, run beside each other, with the groups it gave."""
     samples = materialize(_samples(spark, d), "samples")
-    search = Discovery(samples)
+    search, support = Discovery(samples), discovery.min_support(samples)
 
     def run(values: dict) -> int:
         level = Level(int(values["space"]), int(values["space"]), int(values["time"]))
-        return search.groups(level, 4, 1, "all").select("group_id").distinct().count()
+        return search.groups(level, support, 1, "all").select("group_id").distinct().count()
 
-    params = [r.asDict() for r in sweep.combinations(spark, {"space": ["5", "6"], "time": ["7", "8"]}).orderBy("set_id").collect()]
+    params = [r.asDict() for r in sweep.combinations(spark, {"space": ["4", "5"], "time": ["4", "5"]}).orderBy("set_id").collect()]
     made = sweep.run_sweep(params, run)
     return spark.createDataFrame([(r["set_id"], r["status"], r["rows"]) for r in made], "set_id long, status string, n_groups long")
 
