@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmesh.llm import contamination, extraction, lines, mixing, neardup, quality, secrets, substrings, tokens, urls
+from driftmesh.llm import contamination, extraction, infilling, lines, mixing, neardup, quality, secrets, substrings, tokens, urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,14 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_text(_pages(spark, sf_dir))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infilling.fill_in_middle(_documents(spark, sf_dir))
+    text = infilling.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256")
+    )
+
+
 _BENCH_WORDS = """regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
 
@@ -155,6 +163,25 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, sum(dropped::INT)::BIGINT AS n_dropp
 FROM f GROUP BY doc_id
 """
 
+OP13_SQL = """
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS hex FROM documents
+), g AS (
+  SELECT *, ('0x' || hex[1:8])::BIGINT % (n + 1) AS a, ('0x' || hex[9:16])::BIGINT % (n + 1) AS b, ('0x' || hex[17:24])::BIGINT AS h3, ('0x' || hex[25:32])::BIGINT AS h4 FROM h
+), c AS (
+  SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                 WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form, least(a, b) AS low, greatest(a, b) AS high
+  FROM g
+), p AS (
+  SELECT *, substr(text, 1, low) AS prefix, substr(text, low + 1, high - low) AS middle, substr(text, high + 1) AS suffix FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars, CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_secret_scan": op2_secret_scan,
@@ -166,10 +193,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_text": op10_html_text,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
     "op4_mix_sources": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
+    "op13_fill_middle": OP13_SQL,
 }
