@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmesh.llm import contamination, extraction, infilling, lines, mixing, neardup, quality, secrets, substrings, tokens, urls
+from driftmesh.llm import contamination, exact, extraction, infilling, lines, mixing, neardup, quality, secrets, substrings, tokens, urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_text(_pages(spark, sf_dir))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.dedup_exact(_documents(spark, sf_dir))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = infilling.fill_in_middle(_documents(spark, sf_dir))
     text = infilling.restored(F.col("output"), F.col("form"))
@@ -163,6 +168,15 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, sum(dropped::INT)::BIGINT AS n_dropp
 FROM f GROUP BY doc_id
 """
 
+OP11_SQL = """
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS bare FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size,
+       row_number() OVER w = 1 AS kept, sha256(bare) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY bare ORDER BY n DESC, doc_id)
+"""
+
 OP13_SQL = """
 WITH h AS (
   SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS hex FROM documents
@@ -193,6 +207,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_text": op10_html_text,
+    "op11_exact_dedup": op11_exact_dedup,
     "op13_fill_middle": op13_fill_middle,
 }
 
@@ -200,5 +215,6 @@ ORACLES: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
     "op4_mix_sources": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
+    "op11_exact_dedup": OP11_SQL,
     "op13_fill_middle": OP13_SQL,
 }
