@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmesh.llm import contamination, exact, extraction, infilling, lines, mixing, neardup, quality, secrets, substrings, tokens, urls
+from driftmesh.llm import contamination, conversations, exact, extraction, infilling, lines, mixing, neardup, quality, secrets, substrings, tokens, urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = infilling.fill_in_middle(_documents(spark, sf_dir))
     text = infilling.restored(F.col("output"), F.col("form"))
@@ -208,6 +212,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_html_text": op10_html_text,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_fill_middle": op13_fill_middle,
 }
 
