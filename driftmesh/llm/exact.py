@@ -5,8 +5,8 @@ cost one row each before anything else happens. Digests of a batch are dealt to
 and screened by the static filters of every snapshot before it; those that a filter lets
 through join that snapshot's exact buckets. The digests found there, and those with
 several rows in a batch, have their bytes compared. A batch is then frozen itself.
-Only digests, lengths and ids are shuffled; texts are only where bytes are compared,
-once for each task and text, as equal ones combine before the shuffle.
+Only digests, lengths and ids are shuffled, and each text once, to the digest that its
+bytes are compared under; equal texts combine there before they are counted.
 """
 
 from __future__ import annotations
@@ -129,7 +129,8 @@ class ExactIndex:
         """Digests whose texts are not all the same, byte by byte; None if there are none."""
         salted = suspects.select("digest", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
         texts = self._texts().select("digest", "bare", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("salt"))
-        forms = texts.join(salted, ["digest", "salt"]).groupBy("digest", "bare").agg(F.count("*").alias("n"))
+        # shuffled at every size: what is compared grows with the documents, and so would a broadcast
+        forms = texts.join(salted.hint("merge"), ["digest", "salt"]).groupBy("digest", "bare").agg(F.count("*").alias("n"))
         found = materialize(forms.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "exact-collided")
         return None if found.isEmpty() else found
 
