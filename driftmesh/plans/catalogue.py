@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from driftmesh.functions import geometry
 from driftmesh.functions.grid import floor_log2, interleave
 from driftmesh.model import Box, GeneratorConfig, Level, Viewport
-from driftmesh.operators import cells, cliques, generate, grouping, mining, prepare, slices, viewport
+from driftmesh.operators import cells, cliques, generate, grouping, mining, patterns, prepare, slices, viewport
 from driftmesh.plans import discovery, sweep
 from driftmesh.plans.discovery import Discovery
 from driftmesh.sources import binary, lines, printing, tables
@@ -218,19 +218,20 @@ def itemset_histogram(spark, d):
     return mining.length_histogram(_Found(spark, d).itemsets)
 
 
-def _supply(spark: SparkSession, d: str) -> DataFrame:
+def _supply(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """Baskets of nations and regions, and a tenth of their number."""
     baskets = materialize(cells.baskets(tables.supply_items(spark, d)), "baskets")
-    return mining.frequent_itemsets(baskets, -(-baskets.count() // 10))
+    return baskets, -(-baskets.count() // 10)
 
 
 @query
 def closed_itemsets(spark, d):
-    return mining.closed_itemsets(_supply(spark, d)).select(_text().alias("items"), "support")
+    return patterns.closed_itemsets(*_supply(spark, d)).select(_text().alias("items"), "support")
 
 
 @query
 def maximal_itemsets(spark, d):
-    return mining.maximal_itemsets(_supply(spark, d)).select(_text().alias("items"), "support")
+    return patterns.maximal_itemsets(*_supply(spark, d)).select(_text().alias("items"), "support")
 
 
 # cliques and edges

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmesh.model import Level
-from driftmesh.operators import cells, cliques, grouping, mining
+from driftmesh.operators import cells, cliques, grouping, mining, patterns
 from driftmesh.storage import materialize
 
-KINDS = {"all": lambda s: s, "closed": mining.closed_itemsets, "maximal": mining.maximal_itemsets}
+KINDS = {"all": mining.frequent_itemsets, "closed": patterns.closed_itemsets, "maximal": patterns.maximal_itemsets}
 
 
 class Discovery:
@@ -35,8 +35,7 @@ class Discovery:
 
     def itemsets(self, level: Level, min_support: int, kind: str = "closed") -> DataFrame:
         def make() -> DataFrame:
-            found = mining.frequent_itemsets(cells.baskets(self.enumerated(level)), min_support)
-            return mining.numbered(KINDS[kind](found))
+            return mining.numbered(KINDS[kind](cells.baskets(self.enumerated(level)), min_support))
 
         return self._stage(("itemsets", level, min_support, kind), make)
 
