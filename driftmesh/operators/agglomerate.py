@@ -1,14 +1,19 @@
-"""Order-dependent merging of groups, for one parameter set in one task.
+"""Order-dependent merging of groups that may come together.
 
-Which two groups merge next depends on all merges before, so this part has no
-parallel form; parameter sets run beside each other instead. Only pairs that may
-merge are held: those with a common member, or with an edge between them. They are
-kept as columns, so that a merge costs one pass over them, and memory grows with
-such pairs, not with the square of the groups.
+Which two groups merge next depends on the merges before, so groups that can reach each
+other by merging have no parallel form; others do not see each other, and are merged
+beside each other. Only pairs that may merge are held: those with a common member, or
+with an edge between them. The strongest is the top of a heap, from which pairs of
+groups that are gone are dropped when they come up, so a merge costs its own pairs and
+memory grows with pairs, not with the square of the groups.
+
+A merged group keeps the name of the first of the two, so every group is named by the
+place in the list of the group that it grew from.
 """
 
 from __future__ import annotations
 
+import heapq
 from bisect import bisect_left
 from math import fsum
 
@@ -23,6 +28,8 @@ class Merger:
 
     def __init__(self, members: list[list[int]]):
         self.members = {name: sorted(set(m)) for name, m in enumerate(members)}
+        #: the place of the group that each one grew from
+        self.first = {name: name for name in self.members}
         self.holders: dict[int, set[int]] = {}
         for name, group in self.members.items():
             for m in group:
@@ -46,31 +53,29 @@ class Merger:
         made = [(min(name, o), max(name, o)) for o in sorted(others)]
         return [(a, b, s) for a, b in made if (s := self.strength(a, b)) is not None]
 
-    def run(self) -> list[list[int]]:
-        found = [p for name in self.members for p in self._pairs(name, {o for o in self.near(name) if o > name})]
-        first, second = (np.array([p[k] for p in found], np.int64) for k in (0, 1))
-        strength = np.array([p[2] for p in found], float)
-        while len(first):
-            best = strength.max()
-            if best <= 0:
-                break
-            at = np.flatnonzero(strength == best)  # of equal strengths the first in list order
-            at = at[np.lexsort((second[at], first[at]))[0]]
-            a, b, name = int(first[at]), int(second[at]), max(self.members) + 1
+    def run(self) -> list[tuple[int, list[int]]]:
+        """The place a group grew from and its members, for each group that is left, in list order."""
+        heap = [(-s, a, b) for name in self.members for a, b, s in self._pairs(name, {o for o in self.near(name) if o > name}) if s > 0]
+        heapq.heapify(heap)
+        last = len(self.members) - 1
+        while heap:
+            best, a, b = heapq.heappop(heap)  # of equal strengths the first in list order
+            if a not in self.members or b not in self.members:
+                continue
+            last = name = last + 1
             self.members[name] = sorted({*self.members[a], *self.members[b]})
+            self.first[name] = self.first[a]
             self.merged(a, b, name)
             for old in (a, b):
                 for m in self.members.pop(old):
                     self.holders[m].discard(old)
             for m in self.members[name]:
                 self.holders[m].add(name)
-            stay = (first != a) & (first != b) & (second != a) & (second != b)
-            new = self._pairs(name, self.near(name) - {name})
-            first = np.append(first[stay], np.array([p[0] for p in new], np.int64))
-            second = np.append(second[stay], np.array([p[1] for p in new], np.int64))
-            strength = np.append(strength[stay], [p[2] for p in new])
-            self.settled(name, float(best))
-        return [self.members[name] for name in sorted(self.members)]
+            for pair in self._pairs(name, self.near(name) - {name}):
+                if pair[2] > 0:
+                    heapq.heappush(heap, (-pair[2], pair[0], pair[1]))
+            self.settled(name, -best)
+        return [(self.first[name], self.members[name]) for name in sorted(self.members)]
 
 
 class Linkage(Merger):
@@ -162,41 +167,81 @@ class Attachment(Merger):
         self.values[self.slot[name]] = best
 
 
+def _members(groups: list[tuple[int, list[int]]]) -> list[list[int]]:
+    return [members for _, members in groups]
+
+
 def merge_by_connections(cliques: list[list[int]], connected: set[tuple[int, int]], threshold: float) -> list[list[int]]:
-    return Linkage(cliques, {pair: 1.0 for pair in connected}, threshold).run()
+    return _members(Linkage(cliques, {pair: 1.0 for pair in connected}, threshold).run())
 
 
 def merge_by_weight(cliques: list[list[int]], weights: dict[tuple[int, int], float], threshold: float) -> list[list[int]]:
-    return Linkage(cliques, weights, threshold).run()
+    return _members(Linkage(cliques, weights, threshold).run())
 
 
 def merge_by_attachment(cliques: list[list[int]], lengths: list[float], threshold: float, index: str = "position") -> list[list[int]]:
-    return Attachment(cliques, lengths, threshold, index).run()
+    return _members(Attachment(cliques, lengths, threshold, index).run())
 
 
-def directed_components(nodes: list[int], edges: set[tuple[int, int]]) -> list[list[int]]:
-    """Groups of two or more, merged along edges read from the earlier group to the later.
+class DirectedMerger:
+    """Nodes merged along edges read from the earlier group to the later.
 
-    The first group, in list order, with an edge from a member to one of a later
-    group merges with the first such group, and the union moves to the end.
+    The first group, in list order, with an edge from a member to one of a later group
+    merges with the first such group, and the union moves to the end. Besides single
+    edges there are groups whose members have edges to all larger ones of theirs. A
+    group without a way on is looked at again when one that it has an edge to has moved.
     """
-    out: dict[int, set[int]] = {}
-    for a, b in edges:
-        if a != b:
-            out.setdefault(a, set()).add(b)
-    groups = [[n] for n in sorted(nodes)]
-    while True:
-        place = {m: k for k, group in enumerate(groups) for m in group}
-        pair = None
-        for k, group in enumerate(groups):
-            for member in group:
-                later = [place[o] for o in out.get(member, ()) if place.get(o, -1) > k]
-                if later:
-                    pair = (k, min(later))
-                    break
-            if pair:
-                break
-        if pair is None:
-            return [g for g in groups if len(g) > 1]
-        merged = sorted(groups[pair[0]] + groups[pair[1]])
-        groups = [g for k, g in enumerate(groups) if k not in pair] + [merged]
+
+    def __init__(self, nodes: list[int], edges: set[tuple[int, int]], attached: list[list[int]] = ()):
+        self.members = {name: [node] for name, node in enumerate(sorted(nodes))}
+        self.first = {name: m[0] for name, m in self.members.items()}
+        self.group = {m[0]: name for name, m in self.members.items()}
+        self.out: dict[int, list[list[int]]] = {}
+        self.into: dict[int, list[list[int]]] = {}
+        for a, b in edges:
+            if a != b and a in self.group and b in self.group:
+                self.out.setdefault(a, [[]])[0].append(b)
+                self.into.setdefault(b, [[]])[0].append(a)
+        self.attached = [sorted(m) for m in attached]
+        self.held: dict[int, list[int]] = {}
+        for k, own in enumerate(self.attached):
+            for m in own:
+                self.held.setdefault(m, []).append(k)
+
+    def _targets(self, node: int) -> set[int]:
+        """The groups that a node has edges to."""
+        more = (m for k in self.held.get(node, ()) for m in self.attached[k][bisect_left(self.attached[k], node) + 1 :])
+        return {self.group[m] for part in (*self.out.get(node, ()), more) for m in part}
+
+    def _sources(self, node: int) -> set[int]:
+        more = (m for k in self.held.get(node, ()) for m in self.attached[k][: bisect_left(self.attached[k], node)])
+        return {self.group[m] for part in (*self.into.get(node, ()), more) for m in part}
+
+    def _partner(self, name: int) -> int | None:
+        for member in self.members[name]:
+            later = [g for g in self._targets(member) if g > name]
+            if later:
+                return min(later)
+        return None
+
+    def run(self) -> list[tuple[int, list[int]]]:
+        """The node a group grew from and its members, for each group of two or more."""
+        waiting = list(self.members)
+        last = len(waiting) - 1
+        while waiting:
+            name = heapq.heappop(waiting)
+            other = self._partner(name) if name in self.members else None
+            if other is None:
+                continue
+            last += 1
+            self.first[last] = self.first[name]
+            self.members[last] = sorted(self.members.pop(name) + self.members.pop(other))
+            for m in self.members[last]:
+                self.group[m] = last
+            for source in {g for m in self.members[last] for g in self._sources(m)} - {last}:
+                heapq.heappush(waiting, source)
+        return [(self.first[name], m) for name, m in sorted(self.members.items()) if len(m) > 1]
+
+
+def directed_components(nodes: list[int], edges: set[tuple[int, int]]) -> list[list[int]]:
+    return _members(DirectedMerger(nodes, edges).run())

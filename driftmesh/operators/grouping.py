@@ -1,8 +1,13 @@
 """Groups of trajectories from cliques: six strategies and the largest groups.
 
 Strategies that only need connectivity run as distributed components. The others
-depend on the order of merges and run in one grouped task for each parameter set
-(see ``agglomerate``); several thresholds are worked off in parallel.
+depend on the order of merges (see ``agglomerate``), but only within a component: cliques
+that share no member, directly or over others, never merge, whatever the threshold. Each
+component is merged in a task of its own, for each threshold. Only values looked up by
+position need the whole list, as a place in it moves with every merge anywhere.
+
+A merged group is named by the first of the two, so group_id is the itemset_id of the
+clique that it grew from.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from driftmesh.operators import agglomerate
 from driftmesh.operators.cliques import connections, weight_last, weight_max
 from driftmesh.operators.components import connected_components
 from driftmesh.operators.ranking import rank_keys
+from driftmesh.storage import materialize
 
 GROUPS = "group_id long, trajectory_idx long"
 
@@ -46,31 +52,42 @@ def group_overlap(edges: DataFrame) -> DataFrame:
     return connected_components(strong).select(F.col("component").alias("group_id"), F.col("node").alias("trajectory_idx"))
 
 
-def _merged(rows: DataFrame, thresholds: list[float], merge: Callable[[pd.DataFrame, float], list[list[int]]]) -> DataFrame:
-    """threshold, group_id, trajectory_idx: ``merge`` run once for each threshold."""
+def _components(cliques: DataFrame, whole: bool = False) -> DataFrame:
+    """trajectory_idx, component of all members; a single component if the whole list is needed."""
+    if whole:
+        return cliques.select("trajectory_idx").distinct().withColumn("component", F.lit(0).cast("long"))
+    return materialize(group_cc(cliques).select("trajectory_idx", F.col("group_id").alias("component")), "clique-components")
+
+
+def _merged(rows: DataFrame, thresholds: list[float], merge: Callable[[pd.DataFrame, float], list[tuple[int, list[int]]]]) -> DataFrame:
+    """threshold, group_id, trajectory_idx: ``merge`` run for each threshold and component."""
     sets = rows.select(F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"), "*")  # every parameter set needs all rows
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         threshold = float(pdf["threshold"].iloc[0])
-        made = [(threshold, k, m) for k, group in enumerate(merge(pdf, threshold)) for m in group]
+        made = [(threshold, name, m) for name, group in merge(pdf, threshold) for m in group]
         return pd.DataFrame(made, columns=["threshold", "group_id", "trajectory_idx"])
 
-    return sets.groupBy("threshold").applyInPandas(run, f"threshold double, {GROUPS}")
+    return sets.groupBy("threshold", "component").applyInPandas(run, f"threshold double, {GROUPS}")
 
 
-def _facts(cliques: DataFrame, edges: DataFrame | None, itemsets: DataFrame | None) -> DataFrame:
-    """Cliques, edges and itemset lengths as rows of one table: kind, a, b, w."""
-    rows = cliques.select(F.lit("clique").alias("kind"), F.col("itemset_id").alias("a"), F.col("trajectory_idx").alias("b"), F.lit(0.0).alias("w"))
-    if edges is not None:
-        w = F.col("w") if "w" in edges.columns else F.lit(1.0)
-        rows = rows.unionAll(edges.select(F.lit("edge"), "t1", "t2", w))
+def _facts(components: DataFrame, cliques: DataFrame, edges: DataFrame | None = None, itemsets: DataFrame | None = None, attached: DataFrame | None = None) -> DataFrame:
+    """Cliques (w: length), edges and attached groups as rows of one table: component, kind, a, b, w."""
     if itemsets is not None:
-        rows = rows.unionAll(itemsets.select(F.lit("length"), "itemset_id", F.lit(0).cast("long"), F.size("items").cast("double")))
+        cliques = cliques.join(itemsets.select("itemset_id", F.size("items").cast("double").alias("w")), "itemset_id")
+    w = F.col("w") if itemsets is not None else F.lit(0.0)
+    rows = cliques.join(components, "trajectory_idx").select("component", F.lit("clique").alias("kind"), F.col("itemset_id").alias("a"), F.col("trajectory_idx").alias("b"), w.alias("w"))
+    if edges is not None:
+        weight = F.col("w") if "w" in edges.columns else F.lit(1.0)
+        placed = edges.join(components.withColumnRenamed("trajectory_idx", "t1"), "t1")
+        rows = rows.unionAll(placed.select("component", F.lit("edge"), "t1", "t2", weight))
+    if attached is not None:
+        rows = rows.unionAll(attached.join(components, "trajectory_idx").select("component", F.lit("attached"), "group_id", "trajectory_idx", F.lit(0.0)))
     return rows
 
 
-def _cliques(pdf: pd.DataFrame) -> tuple[list[int], list[list[int]]]:
-    own = pdf[pdf["kind"] == "clique"]
+def _lists(pdf: pd.DataFrame, kind: str) -> tuple[list[int], list[list[int]]]:
+    own = pdf[pdf["kind"] == kind]
     by_id = own.groupby("a")["b"].agg(sorted)
     return [int(i) for i in by_id.index], [[int(m) for m in c] for c in by_id]
 
@@ -80,62 +97,72 @@ def _edges(pdf: pd.DataFrame) -> dict[tuple[int, int], float]:
     return {(int(a), int(b)): float(w) for a, b, w in zip(own["a"], own["b"], own["w"], strict=True)}
 
 
-def _lengths(pdf: pd.DataFrame, ids: list[int]) -> list[float]:
-    own = pdf[pdf["kind"] == "length"]
-    by_id = dict(zip(own["a"], own["w"], strict=True))
-    return [float(by_id[i]) for i in ids]
+def _lengths(pdf: pd.DataFrame) -> list[float]:
+    own = pdf[pdf["kind"] == "clique"]
+    return [float(w) for w in own.groupby("a")["w"].first()]
+
+
+def _renamed(ids: list[int], groups: list[tuple[int, list[int]]]) -> list[tuple[int, list[int]]]:
+    return [(ids[first], members) for first, members in groups]
 
 
 def group_nc(cliques: DataFrame, thresholds: list[float]) -> DataFrame:
     """Cliques merged while all members connect to a share of the other side."""
 
-    def merge(pdf: pd.DataFrame, threshold: float) -> list[list[int]]:
-        return agglomerate.merge_by_connections(_cliques(pdf)[1], set(_edges(pdf)), threshold)
+    def merge(pdf: pd.DataFrame, threshold: float) -> list[tuple[int, list[int]]]:
+        ids, members = _lists(pdf, "clique")
+        return _renamed(ids, agglomerate.Linkage(members, dict.fromkeys(_edges(pdf), 1.0), threshold).run())
 
-    return _merged(_facts(cliques, connections(cliques), None), thresholds, merge)
+    return _merged(_facts(_components(cliques), cliques, connections(cliques)), thresholds, merge)
 
 
 def group_wc(cliques: DataFrame, itemsets: DataFrame, enumerated: DataFrame, thresholds: list[float]) -> DataFrame:
     """Cliques merged while all members' mean weight to the other side is enough."""
 
-    def merge(pdf: pd.DataFrame, threshold: float) -> list[list[int]]:
-        return agglomerate.merge_by_weight(_cliques(pdf)[1], _edges(pdf), threshold)
+    def merge(pdf: pd.DataFrame, threshold: float) -> list[tuple[int, list[int]]]:
+        ids, members = _lists(pdf, "clique")
+        return _renamed(ids, agglomerate.Linkage(members, _edges(pdf), threshold).run())
 
-    return _merged(_facts(cliques, weight_last(cliques, itemsets, enumerated), None), thresholds, merge)
+    return _merged(_facts(_components(cliques), cliques, weight_last(cliques, itemsets, enumerated)), thresholds, merge)
 
 
 def group_attachment(cliques: DataFrame, itemsets: DataFrame, thresholds: list[float], index: str = "position") -> DataFrame:
-    """Cliques merged while each side shares enough members with the other."""
+    """Cliques merged while each side shares enough members with the other.
+
+    With ``index="id"`` each component is merged on its own. ``position`` needs the whole
+    list in one task, and so does a threshold of 0, at which all groups may merge.
+    """
 
-    def merge(pdf: pd.DataFrame, threshold: float) -> list[list[int]]:
-        ids, members = _cliques(pdf)
-        return agglomerate.merge_by_attachment(members, _lengths(pdf, ids), threshold, index)
+    def merge(pdf: pd.DataFrame, threshold: float) -> list[tuple[int, list[int]]]:
+        ids, members = _lists(pdf, "clique")
+        return _renamed(ids, agglomerate.Attachment(members, _lengths(pdf), threshold, index).run())
 
-    return _merged(_facts(cliques, None, itemsets), thresholds, merge)
+    whole = index == "position" or min(thresholds) <= 0
+    return _merged(_facts(_components(cliques, whole), cliques, itemsets=itemsets), thresholds, merge)
 
 
 def group_both(cliques: DataFrame, itemsets: DataFrame, enumerated: DataFrame, overlap: float, attach: float, edge_mode: str = "directed", index: str = "position") -> DataFrame:
     """group_id, trajectory_idx: overlap edges and attachment groups together.
 
     ``directed`` reads an attachment group's edges only from its smaller to its
-    larger members, and merges in list order; ``symmetric`` takes components.
+    larger members, and merges in list order, component by component; a group is named by
+    the member that it grew from. ``symmetric`` takes components.
     """
     edges = weight_max(cliques, itemsets, enumerated, overlap)
+    attached = group_attachment(cliques, itemsets, [attach], index)
     if edge_mode == "symmetric":
-        attached = group_attachment(cliques, itemsets, [attach], index)
         hubs = attached.groupBy("group_id").agg(F.min("trajectory_idx").alias("t2"))
         stars = attached.join(hubs, "group_id").select(F.col("trajectory_idx").alias("t1"), "t2", F.lit(1.0).alias("w"))
         return group_overlap(edges.unionAll(stars))
     if edge_mode != "directed":
         raise ValueError("edge_mode is directed or symmetric")
 
-    def merge(pdf: pd.DataFrame, threshold: float) -> list[list[int]]:
-        ids, members = _cliques(pdf)
-        groups = agglomerate.merge_by_attachment(members, _lengths(pdf, ids), threshold, index)
-        pairs = {(a, b) for g in groups for k, a in enumerate(g) for b in g[k + 1 :]} | set(_edges(pdf))
-        return agglomerate.directed_components(sorted({m for c in members for m in c}), pairs)
+    def merge(pdf: pd.DataFrame, threshold: float) -> list[tuple[int, list[int]]]:
+        nodes = sorted({int(m) for m in pdf.loc[pdf["kind"] == "clique", "b"]})
+        return agglomerate.DirectedMerger(nodes, set(_edges(pdf)), _lists(pdf, "attached")[1]).run()
 
-    return _merged(_facts(cliques, edges, itemsets), [attach], merge).drop("threshold")
+    facts = _facts(_components(cliques, attach <= 0), cliques, edges, attached=attached)
+    return _merged(facts, [attach], merge).drop("threshold")
 
 
 def topk_groups(groups: DataFrame, k: int = 5) -> DataFrame:

@@ -105,27 +105,28 @@ _LIST = "cq AS (SELECT itemset_id, any_value(n_items)::DOUBLE AS len, list(traje
 
 
 def _linked(edges: str, weights: str, thresholds: list[float]) -> str:
-    """Groups merged step by step, the pair of most weight first, for each threshold."""
+    """Groups merged step by step over the whole list, the pair of most weight first, for each threshold; the union keeps the first's id."""
     parts = []
     for k, threshold in enumerate(thresholds):
-        parts.append(f"""z{k}(step, gs) AS (
-  SELECT 0, list(m ORDER BY itemset_id) FROM cq
+        parts.append(f"""z{k}(step, gs, ids) AS (
+  SELECT 0, list(m ORDER BY itemset_id), list(itemset_id ORDER BY itemset_id) FROM cq
   UNION ALL
   (WITH cur AS (SELECT * FROM z{k}), mem AS (SELECT i, gs[i] AS g, unnest(gs[i]) AS a FROM (SELECT gs, unnest(range(1, len(gs) + 1)) AS i FROM cur)),
    tot AS (SELECT x.i, y.i AS j, x.a, any_value(len(x.g)) AS nx, any_value(len(y.g)) AS ny, sum(edge.w) AS s
            FROM mem x JOIN edge ON edge.t1 = x.a JOIN mem y ON y.a = edge.t2 AND y.i <> x.i GROUP BY x.i, y.i, x.a),
    fit AS (SELECT i, j, sum(s) AS part FROM tot WHERE s / ny >= {threshold} GROUP BY i, j HAVING count(*) = any_value(nx)),
    best AS (SELECT p.i, p.j, round(p.part + q.part, 9) AS strength FROM fit p JOIN fit q ON p.i = q.j AND p.j = q.i WHERE p.i < p.j AND p.part + q.part > 0 ORDER BY strength DESC, p.i, p.j LIMIT 1)
-   SELECT step + 1, list_concat([gs[k] for k in range(1, len(gs) + 1) if k <> i AND k <> j], [list_sort(list_distinct(list_concat(gs[i], gs[j])))]) FROM cur, best))""")
-    last = " UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, gs FROM (SELECT gs FROM z{k} ORDER BY step DESC LIMIT 1)" for k, t in enumerate(thresholds))
-    rows = f"SELECT threshold, (i - 1)::BIGINT AS group_id, unnest(gs[i]) AS trajectory_idx FROM (SELECT threshold, gs, unnest(range(1, len(gs) + 1)) AS i FROM ({last}))"
+   SELECT step + 1, list_concat([gs[k] for k in range(1, len(gs) + 1) if k <> i AND k <> j], [list_sort(list_distinct(list_concat(gs[i], gs[j])))]),
+          list_concat([ids[k] for k in range(1, len(gs) + 1) if k <> i AND k <> j], [ids[i]]) FROM cur, best))""")
+    last = " UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, gs, ids FROM (SELECT gs, ids FROM z{k} ORDER BY step DESC LIMIT 1)" for k, t in enumerate(thresholds))
+    rows = f"SELECT threshold, ids[i] AS group_id, unnest(gs[i]) AS trajectory_idx FROM (SELECT threshold, gs, ids, unnest(range(1, len(gs) + 1)) AS i FROM ({last}))"
     return f"WITH RECURSIVE {weights}, {_LIST}, edge AS ({edges}), {', '.join(parts)} {rows}"
 
 
 def _attached(name: str, threshold: float, by_id: bool = False) -> str:
     """CTE ``name`` (step, gs, ...) of groups merged while each shares enough with the other.
 
-    A group is (n, m, slot): its name, members, and where its value stands. A pair's
+    A group is (n, m, slot, id): its name, members, where its value stands, and the itemset it grew from. A pair's
     strength is that of the step it was made in.
     """
     value = "vals[{g}.slot]" if by_id else "vals[{k}]"
@@ -133,7 +134,7 @@ def _attached(name: str, threshold: float, by_id: bool = False) -> str:
     shared = lambda g, h: f"len(list_intersect({g}.m, {h}.m))::DOUBLE"
     near = lambda g, h: f"{shared(g, h)} / len({g}.m) >= {threshold} AND {shared(g, h)} / len({h}.m) >= {threshold}"
     return f"""{name}0 AS (
-  SELECT list(struct_pack(n := k, m := m, slot := k) ORDER BY k) AS gs, list(len ORDER BY k) AS vals FROM (SELECT row_number() OVER (ORDER BY itemset_id) AS k, m, len FROM cq)
+  SELECT list(struct_pack(n := k, m := m, slot := k, id := itemset_id) ORDER BY k) AS gs, list(len ORDER BY k) AS vals FROM (SELECT row_number() OVER (ORDER BY itemset_id) AS k, m, len, itemset_id FROM cq)
 ), {name}(step, gs, vals, pairs) AS (
   SELECT 0, gs, vals, (SELECT coalesce(list(struct_pack(a := i, b := j, s := {pair('gs[i]', 'i', 'gs[j]', 'j')})), []) FROM (SELECT gs, vals, i, unnest(range(i + 1, len(gs) + 1)) AS j FROM (SELECT gs, vals, unnest(range(1, len(gs) + 1)) AS i FROM {name}0)) WHERE {near('gs[i]', 'gs[j]')})
   FROM {name}0
@@ -141,7 +142,7 @@ def _attached(name: str, threshold: float, by_id: bool = False) -> str:
   (WITH cur AS (SELECT * FROM {name}), best AS (SELECT p.a, p.b, p.s FROM (SELECT unnest(pairs) AS p FROM cur) WHERE p.s > 0 ORDER BY p.s DESC, p.a, p.b LIMIT 1),
    joined AS (SELECT step, vals, a, b, s, [p for p in pairs if p.a <> a AND p.b <> b AND p.a <> b AND p.b <> a] AS old, [g for g in gs if g.n <> a AND g.n <> b] AS rest,
                      [g for g in gs if g.n = a][1] AS ga, [g for g in gs if g.n = b][1] AS gb, [g.n for g in gs][len(gs)] + 1 AS name FROM cur, best),
-   made AS (SELECT *, struct_pack(n := name, m := list_sort(list_distinct(list_concat(ga.m, gb.m))), slot := ga.slot) AS g FROM joined),
+   made AS (SELECT *, struct_pack(n := name, m := list_sort(list_distinct(list_concat(ga.m, gb.m))), slot := ga.slot, id := ga.id) AS g FROM joined),
    new AS (SELECT list(struct_pack(a := h.n, b := name, s := {pair('h', 'k', 'g', 'len(rest) + 1')})) AS fresh FROM (SELECT made.*, rest[k] AS h, k FROM made, (SELECT unnest(range(1, len(rest) + 1)) AS k FROM made)) WHERE {near('h', 'g')})
    SELECT step + 1, list_concat(rest, [g]), [CASE WHEN k = ga.slot THEN s ELSE vals[k] END for k in range(1, len(vals) + 1)], list_concat(old, coalesce(fresh, [])) FROM made, new))"""
 
@@ -149,7 +150,7 @@ def _attached(name: str, threshold: float, by_id: bool = False) -> str:
 def _attachment(thresholds: list[float], by_id: bool = False) -> str:
     ctes = ", ".join(_attached(f"z{k}", t, by_id) for k, t in enumerate(thresholds))
     last = " UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, gs FROM (SELECT gs FROM z{k} ORDER BY step DESC LIMIT 1)" for k, t in enumerate(thresholds))
-    rows = f"SELECT threshold, (i - 1)::BIGINT AS group_id, unnest(gs[i].m) AS trajectory_idx FROM (SELECT threshold, gs, unnest(range(1, len(gs) + 1)) AS i FROM ({last}))"
+    rows = f"SELECT threshold, gs[i].id AS group_id, unnest(gs[i].m) AS trajectory_idx FROM (SELECT threshold, gs, unnest(range(1, len(gs) + 1)) AS i FROM ({last}))"
     return f"WITH RECURSIVE {_cliques(2, _FINE)}, {_LIST}, {ctes} {rows}"
 
 
@@ -160,14 +161,15 @@ def _directed(above: float, attach: float) -> str:
 ), edge AS (
   SELECT t1, t2 FROM al WHERE w > {above} AND t1 <> t2
   UNION SELECT a, b FROM (SELECT m, unnest(m) AS a FROM held), LATERAL (SELECT unnest(m) AS b) WHERE a < b
-), y(step, gs) AS (
-  SELECT 0, list([node] ORDER BY node) FROM ({_MEMBERS})
+), y(step, gs, ids) AS (
+  SELECT 0, list([node] ORDER BY node), list(node ORDER BY node) FROM ({_MEMBERS})
   UNION ALL
   (WITH cur AS (SELECT * FROM y), mem AS (SELECT i, unnest(gs[i]) AS a FROM (SELECT gs, unnest(range(1, len(gs) + 1)) AS i FROM cur)),
    best AS (SELECT x.i, w.i AS j FROM mem x JOIN edge ON edge.t1 = x.a JOIN mem w ON w.a = edge.t2 AND w.i > x.i ORDER BY x.i, x.a, w.i LIMIT 1)
-   SELECT step + 1, list_concat([gs[k] for k in range(1, len(gs) + 1) if k <> i AND k <> j], [list_sort(list_concat(gs[i], gs[j]))]) FROM cur, best)
-), done AS (SELECT [g for g in gs if len(g) > 1] AS gs FROM (SELECT gs FROM y ORDER BY step DESC LIMIT 1))
-SELECT (i - 1)::BIGINT AS group_id, unnest(gs[i]) AS trajectory_idx FROM (SELECT gs, unnest(range(1, len(gs) + 1)) AS i FROM done)"""
+   SELECT step + 1, list_concat([gs[k] for k in range(1, len(gs) + 1) if k <> i AND k <> j], [list_sort(list_concat(gs[i], gs[j]))]),
+          list_concat([ids[k] for k in range(1, len(gs) + 1) if k <> i AND k <> j], [ids[i]]) FROM cur, best)
+), done AS (SELECT gs, ids FROM y ORDER BY step DESC LIMIT 1)
+SELECT ids[i] AS group_id, unnest(gs[i]) AS trajectory_idx FROM (SELECT gs, ids, unnest(range(1, len(gs) + 1)) AS i FROM done) WHERE len(gs[i]) > 1"""
 
 
 def _gaps(source: str) -> str:
