@@ -6,11 +6,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def match_cliques(itemsets: DataFrame, enumerated: DataFrame) -> DataFrame:
-    """itemset_id, trajectory_idx: trajectories that visit all cells of an itemset."""
-    wanted = itemsets.select("itemset_id", F.size("items").alias("__n"), F.explode("items").alias("item_id"))
-    found = wanted.join(enumerated, "item_id").groupBy("itemset_id", "__n", "trajectory_idx").agg(F.count("*").alias("__found"))
-    return found.filter(F.col("__found") == F.col("__n")).select("itemset_id", "trajectory_idx")
+#: Parts that the visitors of an item are dealt to, so that a hot item is not one key.
+SALTS = 8
+#: Classes of trajectory sizes in each doubling.
+CLASSES = 4
+
+
+def match_cliques(itemsets: DataFrame, enumerated: DataFrame, salts: int = SALTS) -> DataFrame:
+    """itemset_id, trajectory_idx: trajectories that visit all cells of an itemset.
+
+    An itemset is looked for only among the visitors of its rarest cell, so what is made
+    is no more than the visits of rarest cells. Visitors of a cell are dealt to ``salts`` parts,
+    and the itemsets that it is the rarest of go to each.
+    """
+    support = enumerated.groupBy("item_id").agg(F.count("*").alias("__support"))
+    spread = itemsets.select("itemset_id", "items", F.explode("items").alias("item_id")).join(support, "item_id")
+    rarest = spread.groupBy("itemset_id").agg(F.min_by("item_id", F.struct("__support", "item_id")).alias("item_id"))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__part")
+    wanted = itemsets.select("itemset_id", "items").join(rarest, "itemset_id").select("itemset_id", "items", "item_id", parts)
+    part = F.pmod(F.xxhash64("trajectory_idx"), F.lit(salts)).cast("int").alias("__part")
+    met = wanted.join(enumerated.select("item_id", "trajectory_idx", part), ["item_id", "__part"])
+    held = enumerated.groupBy("trajectory_idx").agg(F.collect_list("item_id").alias("__held"))
+    # the cells of a trajectory come once to all itemsets that may be its own, not with each of its visits
+    found = met.join(held, "trajectory_idx").filter((F.size("items") == 1) | (F.size(F.array_except("items", "__held")) == 0))
+    return found.select("itemset_id", "trajectory_idx")
+
+
+def distinct_cliques(cliques: DataFrame, order: DataFrame) -> DataFrame:
+    """Of cliques with the same members the one whose ``order`` (itemset_id, rank) is the greatest.
+
+    Members are told apart by their number and 128 bits of a hash of them all, which
+    combines before the shuffle, so that no clique is gathered anywhere.
+    """
+    bits = [F.bit_xor(h).alias(f"__h{k}") for k, h in enumerate((F.xxhash64("trajectory_idx"), F.xxhash64(F.lit("second half"), "trajectory_idx")))]
+    named = cliques.groupBy("itemset_id").agg(F.count("*").alias("__n"), *bits).join(order, "itemset_id")
+    chosen = named.groupBy("__n", "__h0", "__h1").agg(F.max_by("itemset_id", F.struct("rank", "itemset_id")).alias("itemset_id"))
+    return cliques.join(chosen.select("itemset_id"), "itemset_id", "left_semi")
 
 
 def _members(cliques: DataFrame, *more: str) -> DataFrame:
@@ -42,24 +73,29 @@ def _mirrored(pairs: DataFrame) -> DataFrame:
 
 def connections(cliques: DataFrame) -> DataFrame:
     """t1, t2 of trajectories that share a clique."""
-    return _mirrored(_half(cliques).select("t1", "t2").distinct())
+    any_order = cliques.select("itemset_id").distinct().withColumn("rank", F.lit(0))
+    return _mirrored(_half(distinct_cliques(cliques, any_order)).select("t1", "t2").distinct())
 
 
 def _share(n_items: Column) -> Column:
     return (n_items * 2).cast("double") / (F.col("n1") + F.col("n2")).cast("double")
 
 
+def _sizes(enumerated: DataFrame) -> DataFrame:
+    return enumerated.groupBy("trajectory_idx").agg(F.count("*").alias("n"))
+
+
 def _sized(pairs: DataFrame, enumerated: DataFrame) -> DataFrame:
-    sizes = enumerated.groupBy("trajectory_idx").agg(F.count("*").alias("n"))
+    sizes = _sizes(enumerated)
     return pairs.join(sizes.toDF("t1", "n1"), "t1").join(sizes.toDF("t2", "n2"), "t2")
 
 
-def _with_length(cliques: DataFrame, itemsets: DataFrame) -> DataFrame:
-    return cliques.join(itemsets.select("itemset_id", F.size("items").alias("n_items")), "itemset_id")
+def _lengths(itemsets: DataFrame) -> DataFrame:
+    return itemsets.select("itemset_id", F.size("items").alias("n_items"))
 
 
 def _half_with_length(cliques: DataFrame, itemsets: DataFrame) -> DataFrame:
-    left = _members(_with_length(cliques, itemsets), "n_items")
+    left = _members(cliques.join(_lengths(itemsets), "itemset_id"), "n_items")
     right = cliques.select("itemset_id", F.col("trajectory_idx").alias("t2"))
     return left.join(right, "itemset_id").filter("t1 <= t2")
 
@@ -70,20 +106,51 @@ def weight_last(cliques: DataFrame, itemsets: DataFrame, enumerated: DataFrame)
     A pair's weight depends on its cliques through the length of one itemset only,
     so pairs are aggregated, in one order, before they meet the trajectories' sizes.
     """
-    last = _half_with_length(cliques, itemsets).groupBy("t1", "t2").agg(F.max_by("n_items", "itemset_id").alias("n_items"))
-    return _mirrored(_sized(last, enumerated).select("t1", "t2", _share(F.col("n_items")).alias("w")))
+    last = distinct_cliques(cliques, cliques.select("itemset_id", F.col("itemset_id").alias("rank")).distinct())
+    pairs = _half_with_length(last, itemsets).groupBy("t1", "t2").agg(F.max_by("n_items", "itemset_id").alias("n_items"))
+    return _mirrored(_sized(pairs, enumerated).select("t1", "t2", _share(F.col("n_items")).alias("w")))
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double")) * CLASSES).cast("int")
+
+
+def close_pairs(cliques: DataFrame, itemsets: DataFrame, enumerated: DataFrame, above: float) -> DataFrame:
+    """n_items and both sizes of the pairs in a clique that may weigh more than ``above`` (> 0).
+
+    A pair does if its sizes add up to less than twice the clique's length over
+    ``above``. So a member stays only if it has room for the clique's smallest one, and
+    meets only those of the classes of sizes that are left to it, and no larger than its
+    own: classes are a part of the join's key, and pairs beyond them are never made.
+    """
+    longest = distinct_cliques(cliques, _lengths(itemsets).withColumnRenamed("n_items", "rank"))
+    room = (F.col("n_items") * 2 / F.lit(float(above)) + 1).cast("long")  # one more than needed, as w is compared at the end
+    members = longest.join(_lengths(itemsets), "itemset_id").join(_sizes(enumerated), "trajectory_idx").withColumn("room", room)
+    smallest = members.groupBy("itemset_id").agg(F.min("n").alias("least"))
+    fitting = members.join(smallest, "itemset_id").filter(F.col("n") + F.col("least") <= F.col("room"))
+    left_over = F.least(F.col("n"), F.col("room") - F.col("n"))
+    larger = fitting.select("itemset_id", "n_items", "room", F.col("trajectory_idx").alias("a"), F.col("n").alias("na"), F.explode(F.sequence(_size_class(F.col("least")), _size_class(left_over))).alias("class"))
+    smaller = fitting.select("itemset_id", F.col("trajectory_idx").alias("b"), F.col("n").alias("nb"), _size_class(F.col("n")).alias("class"))
+    ordered = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") <= F.col("a")))
+    made = larger.join(smaller, ["itemset_id", "class"]).filter(ordered & (F.col("na") + F.col("nb") <= F.col("room")))
+    return made.select(F.least("a", "b").alias("t1"), F.greatest("a", "b").alias("t2"), "n_items", F.col("na").alias("n1"), F.col("nb").alias("n2"))
 
 
 def weight_max(cliques: DataFrame, itemsets: DataFrame, enumerated: DataFrame, above: float = 0.0) -> DataFrame:
     """t1, t2, w: the largest share of common cells, if greater than ``above``."""
-    longest = _half_with_length(cliques, itemsets).groupBy("t1", "t2").agg(F.max("n_items").alias("n_items"))
-    return _mirrored(_sized(longest, enumerated).select("t1", "t2", _share(F.col("n_items")).alias("w")).filter(F.col("w") > above))
+    if above > 0:
+        pairs = close_pairs(cliques, itemsets, enumerated, above)
+        heaviest = pairs.groupBy("t1", "t2").agg(F.max(_share(F.col("n_items"))).alias("w"))
+        return _mirrored(heaviest.filter(F.col("w") > above))
+    longest = distinct_cliques(cliques, _lengths(itemsets).withColumnRenamed("n_items", "rank"))
+    pairs = _half_with_length(longest, itemsets).groupBy("t1", "t2").agg(F.max("n_items").alias("n_items"))
+    return _mirrored(_sized(pairs, enumerated).select("t1", "t2", _share(F.col("n_items")).alias("w")).filter(F.col("w") > above))
 
 
 def weighted(cliques: DataFrame, weight: Column, itemsets: DataFrame, enumerated: DataFrame) -> DataFrame:
-    """t1, t2, w by any aggregate over the pairs' columns itemset_id and w."""
-    pairs = _sized(_with_length(co_members(cliques), itemsets), enumerated)
-    return pairs.withColumn("w", _share(F.col("n_items"))).groupBy("t1", "t2").agg(weight.alias("w"))
+    """t1, t2, w by any aggregate over the pairs' columns itemset_id and w, which are the same in both orders."""
+    pairs = _sized(_half_with_length(cliques, itemsets), enumerated)
+    return _mirrored(pairs.withColumn("w", _share(F.col("n_items"))).groupBy("t1", "t2").agg(weight.alias("w")))
 
 
 def edge_matrix(edges: DataFrame, columns: list[int]) -> DataFrame:
