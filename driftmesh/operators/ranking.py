@@ -23,3 +23,19 @@ def rank_keys(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     at = F.row_number().over(Window.partitionBy("__range").orderBy(*keys)) - 1
     numbered = ranged.withColumn("__at", at).join(F.broadcast(shifts), "__range")
     return numbered.select(*keys, (F.col("__before") + F.col("__at")).cast("long").alias(name))
+
+
+def ranked_rows(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The rows of ``df`` with their position from 0 in order of ``keys``, equal ones in any order.
+
+    As ``rank_keys``, with whole rows written in order instead of keys to be joined.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the number grows within a range by one a row; its upper bits are the range
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
+    ranged = materialize(ranged, "ranked").withColumns({"__range": F.shiftright("__at", 33), "__at": F.col("__at").bitwiseAND((1 << 33) - 1)})
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__size"))
+    before = F.sum("__size").over(Window.orderBy("__range")) - F.col("__size")
+    shifts = sizes.select("__range", before.alias("__before"))
+    placed = ranged.join(F.broadcast(shifts), "__range").withColumn(name, F.col("__before") + F.col("__at"))
+    return placed.drop("__range", "__at", "__before")

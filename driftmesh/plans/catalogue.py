@@ -433,6 +433,46 @@ def stage_stats(spark, d):
     return found.search.stage_stats(LEVEL, found.support, 3, "all")
 
 
+@query
+def stage_metrics(spark, d):
+    """Rows of each stage, as observed while it was written."""
+    found = _Found(spark, d, min_length=3)
+    found.cliques  # noqa: B018
+    return found.search.stage_metrics().select("line", "stage", "rows")
+
+
+def _level_sets(samples: DataFrame) -> DataFrame:
+    """set_id, lt, support: the sets of a sweep over two time levels, from the ticks of the samples."""
+    bits = cells.level_bits(samples).select(F.posexplode(F.array(F.col("lt") - 7, F.col("lt") - 5)).alias("k", "lt"))
+    sets = bits.select("k", "lt", F.posexplode(F.array(F.lit(2), F.lit(3))).alias("j", "support"))
+    return sets.select((F.col("k") * 2 + F.col("j")).cast("long").alias("set_id"), "lt", "support")
+
+
+def _swept_levels(spark: SparkSession, d: str, stop_after: int | None = None) -> tuple[DataFrame, list[tuple[int, int]]]:
+    samples, status = materialize(_samples(spark, d), "samples"), sweep.SweepStatus(spark, fresh_path(spark, "sweep-status"))
+    search, ran = Discovery(samples), []
+
+    def run(values: dict, batch: int) -> int:
+        if stop_after is not None and len(ran) >= stop_after:
+            raise KeyboardInterrupt
+        ran.append((values["set_id"], batch))
+        return search.groups(Level(2, 3, values["lt"]), values["support"], 2, "closed").select("group_id").distinct().count()
+
+    sets = _level_sets(samples)
+    try:
+        made = sweep.run_batches(sets, status, 2, run, slots=1)
+    except KeyboardInterrupt:  # killed: what is done is kept, and the sweep goes on from there
+        stop_after = None
+        made = sweep.run_batches(sets, status, 2, run, slots=1)
+    return made, ran
+
+
+@query
+def sweep_resumed(spark, d):
+    """Groups at every set of a sweep that is killed in its second range and called again."""
+    return _swept_levels(spark, d, stop_after=3)[0].select("set_id", "batch", "status", "n_groups")
+
+
 # formats
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from driftmesh.model import Level
@@ -22,14 +22,24 @@ class Discovery:
         self.samples = samples
         self._made: dict[tuple, DataFrame] = {}
         self.seconds: dict[tuple, float] = {}
+        #: rows of each stage and the characters of their values, counted as they were written
+        self.metrics: dict[tuple, dict[str, int]] = {}
 
     def _stage(self, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
         if key not in self._made:
-            begin = time.perf_counter()
-            self._made[key] = materialize(make(), str(key[0]))
+            begin, made, seen = time.perf_counter(), make(), Observation()
+            width = sum((F.length(F.col(c).cast("string")) for c in made.columns), F.lit(0))
+            observed = made.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("chars"))
+            self._made[key] = materialize(observed, str(key[0]))
+            self.metrics[key] = seen.get
             self.seconds[key] = time.perf_counter() - begin
         return self._made[key]
 
+    def stage_metrics(self) -> DataFrame:
+        """stage, rows, chars of the stages made so far, in their order; counted by their own writing, not by another run."""
+        rows = [(k, str(key[0]), m["rows"], m["chars"]) for k, (key, m) in enumerate(self.metrics.items())]
+        return self.samples.sparkSession.createDataFrame(rows, "line long, stage string, rows long, chars long")
+
     def enumerated(self, level: Level) -> DataFrame:
         return self._stage(("enumerated", level), lambda: cells.enumerate_cells(cells.rollup_samples(self.samples, level)))
 

@@ -208,7 +208,29 @@ _MORTON = " + ".join(f"((x >> {b}) & 1) * {1 << (2 * b)} + ((y >> {b}) & 1) * {1
 
 _TOP = "SELECT component AS group_id, count(*) AS n_members FROM comp GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT"
 
+_STAR = """SELECT cl.trajectory_idx AS src, c.hub AS dst FROM cl JOIN (SELECT itemset_id, min(trajectory_idx) AS hub FROM cl GROUP BY 1) c USING (itemset_id)
+  UNION SELECT c.hub, cl.trajectory_idx FROM cl JOIN (SELECT itemset_id, min(trajectory_idx) AS hub FROM cl GROUP BY 1) c USING (itemset_id)"""
+_TENTH = "greatest(4, ceil(count(DISTINCT trajectory_idx) / 10.0))::BIGINT"
+
+
+def _counted(columns: str, level: tuple[int, int, int], least: str, length: int, counts: str) -> str:
+    """One row: ``columns``, and ``counts`` over the components of the cliques at a level."""
+    return f"""SELECT {columns}, c.* FROM (WITH RECURSIVE {_cliques(length, f"{_visits(*level)}, {_itemsets(least)}")}, {_components(_STAR, _MEMBERS)} SELECT {counts} FROM comp) c"""
+
+
+_GROUPS = "count(DISTINCT component)::BIGINT AS n_groups"
+
 ORACLES: dict[str, str] = {
+    "all_levels": " UNION ALL ".join(_counted(f"{n}::BIGINT AS n", (3 - n, 3 - n, 5), _TENTH, 1, f"{_GROUPS}, count(*)::BIGINT AS n_members") for n in range(3)),
+    "swept_groups": " UNION ALL ".join(
+        _counted(f"{k}::BIGINT AS set_id, 'completed' AS status", (space, space, time), _TENTH, 1, _GROUPS) for k, (space, time) in enumerate(((4, 4), (4, 5), (5, 4), (5, 5)))
+    ),
+    "sweep_resumed": " UNION ALL ".join(
+        _counted(f"{k}::BIGINT AS set_id, {k // 2}::BIGINT AS batch, 'completed' AS status", (2, 3, lt), f"any_value({support}::BIGINT)", 2, _GROUPS)
+        for k, (lt, support) in enumerate(((3, 2), (3, 3), (5, 2), (5, 3)))
+    ),
+    "stage_metrics": f"""WITH {_cliques(3)} SELECT 0::BIGINT AS line, 'enumerated' AS stage, count(*) AS rows FROM n
+UNION ALL SELECT 1, 'itemsets', count(*) FROM s UNION ALL SELECT 2, 'cliques', count(*) FROM cl""",
     "flagship": f"WITH RECURSIVE {_overlap(0.06, _closed(_weights(3)))} {_TOP} 5",
     "load_samples": f"WITH {_E} SELECT trajectory_idx, trajectory_id, seq, x, y, t FROM e",
     "dataset_stats": f"WITH {_E} SELECT {_BOUNDS}, count(*) AS n_samples, count(DISTINCT trajectory_idx) AS n_trajectories FROM e",
