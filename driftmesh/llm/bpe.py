@@ -17,6 +17,7 @@ import sys
 import unicodedata
 from array import array
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
 
@@ -25,8 +26,10 @@ import ahocorasick
 #: How byte-level vocabularies cut texts into words, and the characters of White_Space.
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Words remembered with their counts, and token pairs with their verdict, per worker.
-MEMORY = 400_000
+WHITE = re.sub("(.)-(.)", lambda m: "".join(map(chr, range(ord(m[1]), ord(m[2]) + 1))), BLANKS, flags=re.DOTALL)
+CONTRACTIONS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}
+#: Words remembered with their counts, and token pairs with their verdict, per worker; and characters of a word that is remembered.
+MEMORY, SHORT = 400_000, 1_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -105,6 +108,8 @@ class PrefixCounter:
 
     def word(self, word: str) -> bytes | array:
         """Counts at the prefixes of 0, 1, 2 ... bytes of one word."""
+        if len(word) > SHORT:
+            return self._count(word.encode())
         found = self.words.get(word)
         if found is None:
             if len(self.words) >= MEMORY:
@@ -157,6 +162,8 @@ class PrefixCounter:
     def unit(self, unit: str) -> int:
         """Tokens of one part of ``units``."""
         count = self.known.get(unit)
+        if count is None and len(unit) > SHORT:
+            return sum(self.word(w)[-1] for w in self.pattern.findall(unit))
         if count is None:
             if len(self.known) >= MEMORY:
                 self.known.clear()
@@ -200,6 +207,9 @@ class PrefixIndex:
         self.starts = [0, *accumulate(map(len, self.words))]
         self.before = [0, *accumulate(self._size(w) for w in self.words)]
         self.total = self.before[-1]
+        #: the last run of blanks looked at, and its counts
+        self.run: tuple[int, int] | None = None
+        self.run_counts: bytes | array = b""
 
     def _is_blank(self, at: int) -> bool:
         return re.match(f"[{BLANKS}]", self.text[at]) is not None
@@ -227,12 +237,43 @@ class PrefixIndex:
         return self.before[back] + sum(map(self._size, tail))
 
     def longest(self, budget: int) -> int:
-        """Characters of the longest prefix of at most ``budget`` tokens."""
+        """Characters of the longest prefix of at most ``budget`` tokens; linear in the words about the border."""
         if self.total <= budget:
             return len(self.text)
         # a further word adds a token at least, regrouped blanks take back one at most
-        stop = bisect_left(self.before, budget + 3)
-        for chars in range(self.starts[min(stop, len(self.words))], -1, -1):
-            if self.count(chars) <= budget:
-                return chars
+        stop = min(bisect_left(self.before, budget + 3), len(self.words))
+        for at in range(stop - 1, -1, -1):
+            for chars, count in self._within(at):
+                if count <= budget:
+                    return chars
         return 0
+
+    def _within(self, at: int) -> Iterator[tuple[int, int]]:
+        """Prefixes that end in a word, the longest first, and their counts.
+
+        A word cut short is a word by itself, whose count the word's own counts hold, but
+        for three kinds: blanks at the end of a text are one word with those before, and a
+        contraction or special string that is cut is cut into words anew; those are short.
+        """
+        word, start = self.words[at], self.starts[at]
+        end = start + len(word)
+        if self.counter.is_special(word) or word in CONTRACTIONS:
+            yield from ((chars, self.count(chars)) for chars in range(end, start, -1))
+            return
+        blanks = len(word) if not word.strip(WHITE) else int(word[0] in WHITE)
+        if blanks < len(word):
+            counts, size = self.counter.word(word), len(word.encode())
+            for k in range(len(word), blanks, -1):
+                yield start + k, self.before[at] + counts[size]
+                size -= len(word[k - 1].encode())
+        if blanks:
+            first = at
+            while first and not self.words[first - 1].strip(WHITE):
+                first -= 1
+            run = self.text[self.starts[first] : start + blanks]
+            if (first, len(run)) != self.run:
+                self.run, self.run_counts = (first, len(run)), self.counter.word(run)
+            size = len(run.encode())
+            for k in range(blanks, 0, -1):
+                yield start + k, self.before[first] + self.run_counts[size]
+                size -= len(word[k - 1].encode())
