@@ -39,3 +39,19 @@ def ranked_rows(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     shifts = sizes.select("__range", before.alias("__before"))
     placed = ranged.join(F.broadcast(shifts), "__range").withColumn(name, F.col("__before") + F.col("__at"))
     return placed.drop("__range", "__at", "__before")
+
+
+#: Parts of a group that are cut to the first rows by themselves.
+SALTS = 32
+
+
+def first_of(df: DataFrame, by: list[str], order: list, k: int, salt: str, rank: str, salts: int = SALTS) -> DataFrame:
+    """The first ``k`` rows of each group in ``order``, with their place from 1 in column ``rank``.
+
+    Parts of a group, dealt by a hash of ``salt``, are cut to their first ``k`` rows; only
+    those, at most ``k`` for each part, meet in the group's own task.
+    """
+    part = F.pmod(F.xxhash64(salt), F.lit(salts))
+    own = df.withColumn("__part", part).withColumn(rank, F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order)))
+    left = own.filter(F.col(rank) <= k).drop(rank, "__part")
+    return left.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)

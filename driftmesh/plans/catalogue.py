@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import builtins
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from driftmesh.functions import geometry
 from driftmesh.functions.grid import floor_log2, interleave
 from driftmesh.model import Box, GeneratorConfig, Level, Viewport
-from driftmesh.operators import cells, cliques, generate, grouping, mining, patterns, prepare, slices, viewport
+from driftmesh.operators import cells, cliques, generate, grouping, mining, patterns, prepare, raster, slices, viewport
 from driftmesh.plans import discovery, sweep
 from driftmesh.plans.discovery import Discovery
 from driftmesh.sources import binary, lines, printing, tables
@@ -398,6 +399,32 @@ def canvas_points(spark, d):
     return made.select("trajectory_idx", "seq", "cx", "cy")
 
 
+def _results(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Samples, and the groups of three results as one table: by number, by components, one for each clique."""
+    found = _fine(spark, d)
+    made = [_groups_of_five(found.samples), grouping.group_cc(found.cliques), grouping.clique_groups(found.cliques)]
+    named = [g.select(F.lit(k).cast("long").alias("set_id"), F.col("group_id").cast("long").alias("group_id"), "trajectory_idx") for k, g in builtins.enumerate(made)]
+    return found.samples, materialize(reduce(DataFrame.unionAll, named), "results")
+
+
+@query
+def top_group_tiles(spark, d):
+    """The largest groups of every result, an image for each: what they cover of its tiles."""
+    samples, results = _results(spark, d)
+    layers = raster.layers(results, raster.top_of_each(results, 15))
+    painted = raster.paint(raster.strokes(samples, F.lit(1024), 300, 300), layers, split=True)
+    return raster.tiles(painted, ["set_id", "rank", "group_id"], 30)
+
+
+@query
+def top_overlay_tiles(spark, d):
+    """The largest groups of every result on one image each, and the layer of all trajectories below."""
+    samples, results = _results(spark, d)
+    drawn = materialize(raster.strokes(samples, F.lit(1024), 300, 300), "strokes")
+    painted = raster.paint(drawn, raster.layers(results, raster.top_of_each(results, 15)), split=False)
+    return raster.tiles(painted.select("set_id", "px", "py", "colour").unionAll(raster.ground(drawn)), ["set_id"], 30)
+
+
 # sweeps
 
 

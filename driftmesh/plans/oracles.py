@@ -220,7 +220,31 @@ def _counted(columns: str, level: tuple[int, int, int], least: str, length: int,
 
 _GROUPS = "count(DISTINCT component)::BIGINT AS n_groups"
 
+_DRAWN = f"""WITH RECURSIVE {_CC}, pt AS (
+  SELECT trajectory_idx, seq, floor(x * (300.0::DOUBLE / 1024))::BIGINT AS ux, floor(300.0::DOUBLE - y * (300.0::DOUBLE / 1024))::BIGINT AS uy FROM e
+), ln AS (
+  SELECT *, coalesce(lag(ux) OVER o, ux) AS ax, coalesce(lag(uy) OVER o, uy) AS ay FROM pt WINDOW o AS (PARTITION BY trajectory_idx ORDER BY seq)
+), sp AS (
+  SELECT *, greatest(abs(ux - ax), abs(uy - ay)) AS n, unnest(range(0, greatest(abs(ux - ax), abs(uy - ay)) + 1)) AS k FROM ln
+), st AS (
+  SELECT DISTINCT trajectory_idx, (ax + floor((2 * k * (ux - ax) + n) / (2.0::DOUBLE * greatest(n, 1))))::BIGINT AS px, (ay + floor((2 * k * (uy - ay) + n) / (2.0::DOUBLE * greatest(n, 1))))::BIGINT AS py FROM sp
+), res AS (
+  SELECT DISTINCT 0::BIGINT AS set_id, trajectory_idx % 5 AS group_id, trajectory_idx FROM e
+  UNION ALL SELECT 1, component, node FROM comp
+  UNION ALL SELECT 2, (dense_rank() OVER (ORDER BY itemset_id) - 1)::BIGINT, trajectory_idx FROM cl
+), rk AS (
+  SELECT set_id, group_id, n, row_number() OVER (PARTITION BY set_id ORDER BY n DESC, group_id) AS rank FROM (SELECT set_id, group_id, count(*) AS n FROM res GROUP BY ALL)
+), ly AS (
+  SELECT res.*, rank, CASE WHEN n = 1 THEN -2 ELSE (rank - 1) % 16 END::BIGINT AS colour FROM res JOIN rk USING (set_id, group_id) WHERE rank <= 15
+)"""
+_TILE = "((px // 30) || ',' || (py // 30)) AS tile"
+
 ORACLES: dict[str, str] = {
+    "top_group_tiles": f"""{_DRAWN} SELECT set_id, rank::BIGINT AS rank, group_id, {_TILE}, colour, count(DISTINCT (px, py)) AS n_pixels
+FROM ly JOIN st USING (trajectory_idx) GROUP BY ALL""",
+    "top_overlay_tiles": f"""{_DRAWN}, im AS (
+  SELECT set_id, px, py, arg_max(colour, rank) AS colour FROM ly JOIN st USING (trajectory_idx) GROUP BY 1, 2, 3 UNION ALL SELECT DISTINCT -1, px, py, -1 FROM st
+) SELECT set_id, {_TILE}, colour, count(*) AS n_pixels FROM im GROUP BY ALL""",
     "all_levels": " UNION ALL ".join(_counted(f"{n}::BIGINT AS n", (3 - n, 3 - n, 5), _TENTH, 1, f"{_GROUPS}, count(*)::BIGINT AS n_members") for n in range(3)),
     "swept_groups": " UNION ALL ".join(
         _counted(f"{k}::BIGINT AS set_id, 'completed' AS status", (space, space, time), _TENTH, 1, _GROUPS) for k, (space, time) in enumerate(((4, 4), (4, 5), (5, 4), (5, 5)))
