@@ -55,6 +55,7 @@ class Viewport:
 class GeneratorConfig:
     """Settings of the synthetic data generator."""
 
+    # The defaults that configurations count on.
     movement: str = "random"
     grid_size: int = 64
     n_groups: int = 3

@@ -270,6 +270,22 @@ def test_generator(spark, movement):
     assert GeneratorConfig.load(config.dump()) == config
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_arcs_are_parabolas(turned):
+    """Equal steps along an arc have equal second differences, and arcs get flatter and stay in the frame."""
+    config = GeneratorConfig(movement="parabola", n_groups=6, steps=21)
+    for nested in (False, True):
+        walk, bends = generate._arc(nested, turned), []
+        for k in range(6):
+            path = [complex(*p) for p in walk(config, random.Random(1), (10, 10, 500, 500), k, 21)]
+            second = [a - 2 * b + c for a, b, c in zip(path, path[1:], path[2:])]
+            assert max(abs(s - second[0]) for s in second) < 1e-9
+            assert all(10 <= p.real <= 500 and 10 <= p.imag <= 500 for p in path)
+            bends.append(abs(second[0]))
+        arcs = bends if nested else bends[::2]
+        assert arcs == sorted(arcs, reverse=True) and (nested or max(bends[1::2]) < 1e-9)
+
+
 def test_noise_of_one_is_refused():
     with pytest.raises(ValueError):
         GeneratorConfig(noise=1.0).n_singletons()
