@@ -23,6 +23,7 @@ QUERIES: dict[str, Query] = {}
 
 LEVEL = Level(5, 5, 5)
 FINE = Level(2, 3, 2)
+FINER = Level(2, 2, 2)
 BOX = Box(2, 10, 200, 90)
 VIEW = Viewport(width=400, height=300, top_x=0, top_y=10, bottom_x=150, bottom_y=90, resolution=4, mask=0b10111)
 LISTS = {"space": ["3", "5", "9"], "time": ["2", "10"], "support": ["4", "15"]}
@@ -375,6 +376,25 @@ def all_levels(spark, d):
     return reduce(DataFrame.unionAll, counts)
 
 
+@query
+def fine_levels(spark, d):
+    """Groups of objects that meet at least twice, at every spatial level of small cells, in slices of 4 hours."""
+    search = Discovery(materialize(_samples(spark, d), "samples"))
+    found = search.all_levels(3, 2, min_support=2, min_length=2, kind="closed", strategy="cc")
+    counts = [
+        g.groupBy("group_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_members"), F.max("n").alias("largest")).select(F.lit(n).cast("long").alias("n"), "*")
+        for n, g in found.items()
+    ]
+    return reduce(DataFrame.unionAll, counts)
+
+
+@query
+def largest_fine_groups(spark, d):
+    """The whole search on small cells: closed sets, overlap of members' cells, components, the largest fifteen."""
+    search = Discovery(materialize(_samples(spark, d), "samples"))
+    return grouping.topk_groups(search.groups(FINER, 2, 2, "closed", "overlap", overlap=0.02), 15)
+
+
 # views
 
 

@@ -57,6 +57,7 @@ def _itemsets(least: str) -> str:
 
 
 _S = f"{_N}, {_itemsets('greatest(4, ceil(count(DISTINCT trajectory_idx) / 10.0))::BIGINT')}"
+_FINER = f"{_visits(2, 2, 2)}, {_itemsets('any_value(2::BIGINT)')}"
 _FINE = f"{_visits(2, 3, 2)}, {_itemsets('any_value(2::BIGINT)')}"
 _B = f"""n AS (
   SELECT DISTINCT l_orderkey AS trajectory_idx, unnest([n_nationkey::BIGINT, n_regionkey::BIGINT + 100]) AS item_id
@@ -213,11 +214,12 @@ _STAR = """SELECT cl.trajectory_idx AS src, c.hub AS dst FROM cl JOIN (SELECT it
 _TENTH = "greatest(4, ceil(count(DISTINCT trajectory_idx) / 10.0))::BIGINT"
 
 
-def _counted(columns: str, level: tuple[int, int, int], least: str, length: int, counts: str) -> str:
-    """One row: ``columns``, and ``counts`` over the components of the cliques at a level."""
-    return f"""SELECT {columns}, c.* FROM (WITH RECURSIVE {_cliques(length, f"{_visits(*level)}, {_itemsets(least)}")}, {_components(_STAR, _MEMBERS)} SELECT {counts} FROM comp) c"""
+def _counted(columns: str, level: tuple[int, int, int], least: str, length: int, counts: str, of: str = "comp") -> str:
+    """One row: ``columns``, and ``counts`` over the components of the cliques at a level, or ``of`` what is made of them."""
+    return f"""SELECT {columns}, c.* FROM (WITH RECURSIVE {_cliques(length, f"{_visits(*level)}, {_itemsets(least)}")}, {_components(_STAR, _MEMBERS)} SELECT {counts} FROM {of}) c"""
 
 
+_SIZES = "(SELECT component, count(*) AS m FROM comp GROUP BY component)"
 _GROUPS = "count(DISTINCT component)::BIGINT AS n_groups"
 
 _DRAWN = f"""WITH RECURSIVE {_CC}, pt AS (
@@ -245,6 +247,10 @@ FROM ly JOIN st USING (trajectory_idx) GROUP BY ALL""",
     "top_overlay_tiles": f"""{_DRAWN}, im AS (
   SELECT set_id, px, py, arg_max(colour, rank) AS colour FROM ly JOIN st USING (trajectory_idx) GROUP BY 1, 2, 3 UNION ALL SELECT DISTINCT -1, px, py, -1 FROM st
 ) SELECT set_id, {_TILE}, colour, count(*) AS n_pixels FROM im GROUP BY ALL""",
+    "fine_levels": " UNION ALL ".join(
+        _counted(f"{n}::BIGINT AS n", (3 - n, 3 - n, 2), "any_value(2::BIGINT)", 2, "count(*) AS n_groups, sum(m)::BIGINT AS n_members, max(m) AS largest", _SIZES) for n in range(3)
+    ),
+    "largest_fine_groups": f"WITH RECURSIVE {_overlap(0.02, _weights(2, _FINER))} {_TOP} 15",
     "all_levels": " UNION ALL ".join(_counted(f"{n}::BIGINT AS n", (3 - n, 3 - n, 5), _TENTH, 1, f"{_GROUPS}, count(*)::BIGINT AS n_members") for n in range(3)),
     "swept_groups": " UNION ALL ".join(
         _counted(f"{k}::BIGINT AS set_id, 'completed' AS status", (space, space, time), _TENTH, 1, _GROUPS) for k, (space, time) in enumerate(((4, 4), (4, 5), (5, 4), (5, 5)))

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from typing import TypeVar
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,7 @@ def batches(params: DataFrame, size: int) -> DataFrame:
     return params.withColumn("batch", F.floor(F.col("set_id") / F.lit(size)).cast("long"))
 
 
+T = TypeVar("T")
 STATUS = "set_id long, batch long, status string, n_groups long, seconds double, note string"
 
 
@@ -97,20 +99,25 @@ class _Deadline:
         self.context.removeJobTag(self.tag)
 
 
+def limited(run: Callable[[], T], seconds: float | None) -> tuple[str, T | None, str]:
+    """Status, result and error of ``run`` (a miner, a strategy), whose jobs are cancelled once its time is up."""
+    with _Deadline(SparkContext.getOrCreate(), seconds) as deadline:
+        try:
+            return "completed", run(), ""
+        except Exception as error:
+            return ("timed out" if deadline.passed else "failed"), None, str(error)[:200]
+
+
 def run_sweep(params: list[dict], run: Callable[[dict], int], slots: int = 4, limit: float | None = None) -> list[dict]:
     """``run`` for every set, several at once; a set that raises is marked failed, one beyond ``limit`` seconds timed out.
 
     The jobs of a set that is out of time are cancelled, and the sweep goes on.
     """
-    context = SparkContext.getOrCreate()
 
     def one(values: dict) -> dict:
         begin = time.perf_counter()
-        with _Deadline(context, limit) as deadline:
-            try:
-                made = {"status": "completed", "rows": run(values)}
-            except Exception as error:  # a sweep goes on after a failed set
-                made = {"status": "timed out" if deadline.passed else "failed", "rows": 0, "error": str(error)[:200]}
+        status, rows, error = limited(lambda: run(values), limit)  # a sweep goes on after a failed set
+        made = {"status": status, "rows": rows or 0} | ({"error": error} if error else {})
         return {**values, **made, "seconds": time.perf_counter() - begin}
 
     with ThreadPoolExecutor(slots) as pool:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftmesh.model import Level
+from driftmesh.operators import mining, patterns
 from driftmesh.plans import sweep
 from driftmesh.plans.discovery import Discovery
 from driftmesh.sources.tables import event_samples
@@ -29,6 +30,15 @@ def test_a_set_that_would_run_on_ends_at_its_limit(spark):
     assert spark.range(7).count() == 7  # later jobs are not cancelled
 
 
+def test_miners_end_at_their_limit(spark):
+    """All sets of 26 items would be 67 million; the closed ones are two."""
+    baskets = spark.createDataFrame([(list(range(26)),)] * 30 + [([1],)], "items array<long>")
+    status, found, _ = sweep.limited(lambda: mining.frequent_itemsets(baskets, 2).count(), 4.0)
+    assert (status, found) == ("timed out", None)
+    assert sweep.limited(lambda: patterns.closed_itemsets(baskets, 2).count(), None) == ("completed", 2, "")
+    assert sweep.limited(lambda: patterns.maximal_itemsets(baskets, 2).count(), 120.0) == ("completed", 1, "")
+
+
 def test_a_run_of_many_jobs_ends_too(spark):
     def run(values):
         while True:
