@@ -15,7 +15,8 @@ splits where one template has most of the pages.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,55 +53,93 @@ def path_shape(path: Column) -> Column:
     return F.transform(parts, odd)
 
 
+def _steps(tree: DataFrame, *counts: str) -> DataFrame:
+    """A row per segment of ``way``: id, host, node, pos, child and the counts.
+
+    node stands for all segments before: sums of hashes of the segments with their
+    places, which one pass over a way gives, however long it is. Only segments from
+    ``begin`` on are returned.
+    """
+    steps = tree.select("id", "host", "begin", *counts, F.posexplode("way").alias("pos", "child"))
+    before = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    # 40 bits each, so that the sums of eight million segments fit
+    hashes = [F.sum(F.shiftrightunsigned(F.xxhash64(F.lit(seed), "pos", "child"), 24)).over(before) for seed in (1, 2)]
+    node = F.struct(*[F.coalesce(h, F.lit(0)).alias(f"h{k}") for k, h in enumerate(hashes)])
+    return steps.withColumn("node", node).filter(F.col("pos") >= F.col("begin")).drop("begin")
+
+
+def _renamed(tree: DataFrame, choose: Callable[[DataFrame], tuple[DataFrame, DataFrame]], counts: Sequence[str], name: str) -> DataFrame:
+    """``tree`` (id, host, way and others) after segments of its ways were renamed from the root on.
+
+    ``choose`` gets the children of all nodes (host, pos, node, child and sums of the
+    counts), and returns the nodes that rename children and the new names, of children
+    that get one. A renaming joins what is below, so the first such node of each way
+    is worked off, all in one round, and then the next. What is above it never changes
+    again, so this is the same as going down level by level, but levels without such a
+    node take no round, and a way without one is done.
+    """
+    key = ["host", "pos", "node"]
+    made, done = tree.withColumn("begin", F.lit(0)), []
+    while True:
+        steps = _steps(made, *counts)
+        children = steps.groupBy(*key, "child").agg(*[F.sum(c).alias(c) for c in counts])
+        nodes, names = choose(children)
+        met = steps.join(nodes.select(*key), key).groupBy("id").agg(F.min_by(F.struct(*key, "child"), "pos").alias("met"))
+        named = met.select("id", "met.*").join(names.select(*key, "child", "new"), [*key, "child"], "left").select("id", "pos", "new")
+        joined = made.join(named, "id", "left")
+        way = F.transform("way", lambda s, i: F.when((i == F.col("pos")) & F.col("new").isNotNull(), F.col("new")).otherwise(s))
+        joined = joined.withColumn("way", way).withColumn("begin", F.col("pos") + 1).drop("pos", "new")
+        joined = materialize(joined, name)
+        done.append(joined.filter("begin is null").drop("begin"))
+        made = joined.filter("begin < size(way)")
+        # nothing follows the last segment
+        done.append(joined.filter("begin >= size(way)").drop("begin"))
+        if made.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+
+
 def generalise(leaves: DataFrame, max_children: int, min_share: float) -> DataFrame:
     """``leaves`` (host, shape, counts) with column template: rare children become ``*``.
 
-    Level by level, a child of a node with more than ``max_children`` children
+    From the root on, a child of a node with more than ``max_children`` children
     stays itself only if it has ``min_share`` of the node's pages.
     """
-    made = leaves.withColumn("template", F.slice("shape", 1, 0))
-    deepest = leaves.agg(F.max(F.size("shape"))).first()[0] or 0
-    for level in range(deepest):
-        child = F.get("shape", F.lit(level))
-        weights = made.filter(F.size("shape") > level).groupBy("host", "template", child.alias("child")).agg(F.sum("n").alias("weight"))
+
+    def rare(children: DataFrame) -> tuple[DataFrame, DataFrame]:
         # summed before they meet, so that a node with very many children is no single task's
-        totals = weights.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("weight").alias("total")).filter(F.col("children") > max_children)
-        fan = weights.join(totals, ["host", "template"])
-        rare = fan.filter(F.col("weight") < min_share * F.col("total")).select("host", "template", "child", F.lit(True).alias("rare"))
-        joined = made.withColumn("child", child).join(rare, ["host", "template", "child"], "left")
-        step = F.when(F.col("rare"), F.lit("*")).otherwise(F.col("child"))
-        grown = F.when(F.col("child").isNull(), F.col("template")).otherwise(F.concat("template", F.array(step)))
-        made = joined.withColumn("template", grown).drop("child", "rare")
-        made = materialize(made, "templates") if level % 3 == 2 else made
-    return made
+        nodes = children.groupBy("host", "pos", "node").agg(F.count("*").alias("children"), F.sum("n").alias("total")).filter(F.col("children") > max_children)
+        fan = children.join(nodes, ["host", "pos", "node"]).filter(F.col("n") < min_share * F.col("total"))
+        return nodes, fan.withColumn("new", F.lit("*"))
+
+    tree = materialize(leaves.withColumn("way", F.col("shape")).withColumn("id", F.monotonically_increasing_id()), "template-leaves")
+    return _renamed(tree, rare, ["n"], "templates").drop("id").withColumnRenamed("way", "template")
 
 
 def merged_branches(templates: DataFrame, z: float) -> DataFrame:
-    """``templates`` with branch: the numbers of the merged branches on their path.
+    """``templates`` with branch: what stands for the merged branches on their path.
 
-    Level by level, the children of a node are ordered by their share of blocked
-    pages; a child joins the one before if the two shares differ by fewer than ``z``
-    standard errors, and what is below both is treated as one from there on. Children
-    without a labelled page form a branch of their own.
+    The children of a node are ordered by their share of blocked pages; a child joins
+    the one before if the two shares differ by fewer than ``z`` standard errors, and
+    what is below both is treated as one from there on. Children without a labelled page
+    form a branch of their own. Nodes with one child, and those without any labelled
+    page below, whose templates get their host's share in any case, stay as they are.
     """
-    made = templates.withColumn("branch", F.array().cast("array<long>"))
-    deepest = templates.agg(F.max(F.size("template"))).first()[0] or 0
-    for level in range(deepest):
-        child = F.get("template", F.lit(level))
-        below = made.filter(F.size("template") > level).groupBy("host", "branch", child.alias("child")).agg(F.sum("blocked").alias("b"), F.sum(F.col("blocked") + F.col("allowed")).alias("l"))
-        node = Window.partitionBy("host", "branch").orderBy((F.col("b") / F.nullif("l", F.lit(0))).asc_nulls_last(), "child")
-        b0, l0 = F.lag("b").over(node), F.lag("l").over(node)
+
+    def alike(children: DataFrame) -> tuple[DataFrame, DataFrame]:
+        children = children.withColumn("l", F.col("blocked") + F.col("allowed"))
+        nodes = children.groupBy("host", "pos", "node").agg(F.count("*").alias("children"), F.sum("l").alias("below")).filter("children > 1 and below > 0")
+        fan = children.join(nodes.select("host", "pos", "node"), ["host", "pos", "node"]).withColumnRenamed("blocked", "b")
+        order = Window.partitionBy("host", "pos", "node").orderBy((F.col("b") / F.nullif("l", F.lit(0))).asc_nulls_last(), "child")
+        b0, l0 = F.lag("b").over(order), F.lag("l").over(order)
         pooled = (F.col("b") + b0 + 1) / (F.col("l") + l0 + 2)
         both = (F.col("l") > 0) & (l0 > 0)
         error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), "l") + F.try_divide(F.lit(1), l0)))
-        alike = F.when(both, F.try_divide("b", "l") - F.try_divide(b0, l0) < F.lit(z) * error).otherwise((F.col("l") == 0) & (l0 == 0))
-        new = below.withColumn("new", F.when(F.coalesce(alike, F.lit(False)), 0).otherwise(1))
-        numbered = new.withColumn("number", F.sum("new").over(node)).select("host", "branch", "child", "number")
-        joined = made.withColumn("child", child).join(numbered, ["host", "branch", "child"], "left")
-        grown = F.when(F.col("number").isNull(), F.col("branch")).otherwise(F.concat("branch", F.array(F.col("number"))))
-        made = joined.withColumn("branch", grown).drop("child", "number")
-        made = materialize(made, "branches") if level % 2 else made
-    return made
+        same = F.when(both, F.try_divide("b", "l") - F.try_divide(b0, l0) < F.lit(z) * error).otherwise((F.col("l") == 0) & (l0 == 0))
+        marked = fan.withColumn("first", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
+        return nodes, marked.withColumn("new", F.sum("first").over(order).cast("string"))
+
+    tree = materialize(templates.withColumn("way", F.col("template")).withColumn("id", F.monotonically_increasing_id()), "branch-templates")
+    return _renamed(tree, alike, ["blocked", "allowed"], "branches").drop("id").withColumnRenamed("way", "branch")
 
 
 def template_verdicts(leaves: DataFrame, max_children: int = 16, min_share: float = 0.05, z: float = 1.64, prior: float = 4.0, threshold: float = 0.6) -> DataFrame:
@@ -126,7 +165,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_c
     Null URLs and those without ``://`` have an empty host and path; they form a
     host like any other. rule is null where none fits; of the rules that fit, the
     longest decides. Null ids and repeated rows stay, and each row counts. Paths are read
-    whole, with a round of the tree for each level of the longest one. Of siblings with
+    whole; rounds follow the nodes on a way at which segments are generalised or branches
+    are compared, one below another, and not the levels between. Of siblings with
     equal shares of blocked pages the one first by name comes first; such siblings are
     always alike, so the order does not change what is merged.
     """
