@@ -2,11 +2,11 @@
 
 Pages are sorted by host and URL path, and neighbours of a host are paired. The
 blocks of both are aligned by a longest common subsequence, and what they share is
-page furniture and goes. Two guards keep the result right. Zones read from the
-markup: blocks of named furniture go though no other page has them (an advert that
-is new on every page), and inside an article only label-like lines go (a sentence
-that two articles share is part of both). And pages that share much of their text
-are copies, of which the shared lines say nothing.
+page furniture and goes. Zones read from the markup guard the result: blocks of named
+furniture go though no other page has them (an advert that is new on every page),
+and an article stays whole (a heading or a sentence that two articles share is part
+of both). Where there is no article, two pages that share everything are copies, of
+which the shared lines say nothing.
 
 The order is found on host, path, id and size alone. Split points, one for each
 chunk, are taken at even ranks within a host, so every pair falls into one chunk;
@@ -36,8 +36,6 @@ MAX_POINTS = 1_000_000
 KEY_BYTES, TASK_BYTES = 32 << 20, 16 << 20
 #: Tasks that pages are dealt to at most; beyond (3 TB) a task gets more chunks, one at a time.
 MAX_TASKS = 200_000
-#: Words of a line that may be a label, such as "Read more".
-LABEL_WORDS = 8
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
@@ -80,31 +78,21 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return shared
 
 
-def is_label(line: str) -> bool:
-    """A few words that are no sentence."""
-    return line[-1:] not in ".!?:;,\u2026\u3002\"'\u201d" and len(line.split(None, LABEL_WORDS)) <= LABEL_WORDS
-
-
 def main_text(blocks: list[str], zones: list[int], other: list[str]) -> str:
     """The main text of a page, given the blocks of its nearest page.
 
-    Furniture always goes. What stands neither in furniture nor in an article goes
-    if it is shared; if there is an article and nothing to compare it with (no other
-    page, or a copy), it goes as well. In an article, shared labels go.
+    An article stays whole: a heading or a sentence that two articles share belongs to
+    both. Furniture always goes. What stands in neither goes if it is shared; if there is
+    an article and no page to compare it with, it goes as well.
     """
     shared = common_lines(blocks, other) if other else set()
-    size = [len(b) for b in blocks]
-    article = [i for i, z in enumerate(zones) if z == MAIN]
-    plain = [i for i, z in enumerate(zones) if z == OTHER]
-    own = [i for i in plain if i not in shared]
+    article = {i for i, z in enumerate(zones) if z == MAIN}
+    plain = {i for i, z in enumerate(zones) if z == OTHER}
+    own = plain - shared
     if not article:
         # two copies of a page share everything, which says nothing about furniture
-        return "\n".join(blocks[i] for i in own or plain)
-    compared = bool(other) and 4 * sum(size[i] for i in article if i in shared) < sum(size[i] for i in article)
-    if not compared:
-        return "\n".join(blocks[i] for i in article)
-    stay = sorted([i for i in article if i not in shared or not is_label(blocks[i])] + own)
-    return "\n".join(blocks[i] for i in stay)
+        return "\n".join(blocks[i] for i in sorted(own or plain))
+    return "\n".join(blocks[i] for i in sorted(article | own if other else article))
 
 
 def _split_points(pages: DataFrame, chunk_bytes: int) -> list[tuple[str, str, int]]:

@@ -29,13 +29,29 @@ _NAMES = {
     "search",
 }
 _TOP_NAMES = {"header", "masthead", "banner", "topbar", "logo"}
+_LAYOUT = {
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "group", "icon", "icons", "inner", "item", "items", "label", "left", "link",
+    "links", "list", "main", "outer", "panel", "primary", "right", "row", "secondary", "section", "slot", "text", "thread", "title", "top", "unit", "wrap", "wrapper", "zone",
+}
+
 
+def _names(attributes: str) -> tuple[set[str], set[str]]:
+    """The words of class, id and role, and those of them that may name furniture.
 
-def _names(attributes: str) -> set[str]:
-    found: set[str] = set()
+    A word names what an element is if it is the last part of a name, but for words of
+    layout and numbers: ``ad``, ``top-ad`` and ``ad-box-2``, but not ``ad-story``.
+    """
+    words: set[str] = set()
+    telling: set[str] = set()
     for mark in _MARKS.finditer(attributes):
-        found.update(re.split(r"[^a-z0-9]+", (mark[1] or mark[2] or mark[3] or "").lower()))
-    return found
+        for name in (mark[1] or mark[2] or mark[3] or "").lower().split():
+            parts = [p for p in re.split(r"[^a-z0-9]+", name) if p]
+            words.update(parts)
+            for part in reversed(parts):
+                telling.add(part)
+                if part not in _LAYOUT and not part.isdigit():
+                    break
+    return words, telling
 
 
 class _Page:
@@ -55,13 +71,14 @@ class _Page:
         self.text.clear()
 
     def enter(self, tag: str, attributes: str) -> None:
-        zone, names = self.zone, _names(attributes) if attributes else set()
+        zone, (names, telling) = self.zone, _names(attributes) if attributes else (set(), set())
+        named = bool(telling & _NAMES)
         if tag in _ARTICLE or ("main" in names and not names & _TOP_NAMES):
             # an unclosed menu does not swallow the article, a list of comments does
-            closed = zone == CHROME and self.open and self.open[-1][0] not in {"aside", "section", "div"} and not names & _NAMES
+            closed = zone == CHROME and self.open and self.open[-1][0] not in {"aside", "section", "div"} and not named
             zone = MAIN if zone != CHROME or closed else CHROME
-            zone = CHROME if names & _NAMES else zone
-        elif tag in _FURNITURE or names & _NAMES or (zone != MAIN and (tag == "header" or names & _TOP_NAMES)):
+            zone = CHROME if named else zone
+        elif tag in _FURNITURE or named or (zone != MAIN and (tag == "header" or telling & _TOP_NAMES)):
             zone = CHROME
         if zone != self.zone and tag in _INLINE:
             self.end_block()
@@ -87,28 +104,32 @@ class _Scanner:
     def __init__(self, html: str):
         self.html = html
         self.last = html.rfind(">")
-        #: until a tag's quotes turn out not to end, ``>`` in quotes does not end a tag
-        self.quoted = True
+        #: where quotes open from which on no tag ends
+        self.dead: set[int] = set()
 
     def _past(self, mark: str, at: int) -> int:
         end = self.html.find(mark, at)
         return len(self.html) if end < 0 else end + len(mark)
 
     def _tag_end(self, at: int) -> int:
-        """Where the ``>`` of a tag stands; there is one after ``at``."""
-        here = at
-        while self.quoted:
+        """Where the ``>`` of a tag stands; there is one after ``at``.
+
+        A ``>`` in quotes does not end a tag, unless its quotes are never closed or no other
+        ends it. The places that such a tag went through are kept, so none is tried twice.
+        """
+        here, passed = at, []
+        while here <= self.last:
             stop = _STOP.search(self.html, here)
-            if stop is None:
-                self.quoted = False
+            if stop.start() in self.dead:
                 break
             if not stop[1]:
                 return stop.start()
+            passed.append(stop.start())
             end = self.html.find(stop[1], stop.end())
             if end < 0:
-                self.quoted = False
                 break
             here = end + 1
+        self.dead.update(passed)
         return self.html.find(">", at)
 
     def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
