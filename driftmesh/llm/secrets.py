@@ -2,7 +2,8 @@
 
 Candidates are runs of at least 16 characters of keys and hashes that are no plain
 lower-case word, and whatever is assigned to a telling name (``password = ...``) from
-six characters on. Each is described by its length, its character transitions, how
+six characters on. Each is described by its length, its character transitions (how
+unlikely its letters follow each other in words of the dictionary, and changes of kind), how
 much of its letters a dictionary covers, whether it stands in a path, and its
 neighbouring words. The forest learns from labelled findings which of them are
 secrets: made ones of common shapes, and those of the documents that rules label
@@ -13,6 +14,7 @@ by their hash, so that a report does not spread what it found.
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -33,7 +35,7 @@ HARMLESS = "commit|sha|md5|digest|version|release|build|file|image|example|sampl
 ASSIGNED = rf"(?i)^[\"'(]*[a-z0-9_.\-]*({TELLING})[a-z0-9_.\-]*[\"']?[:=]+[\"']?[^\s\"':=]{{6}}"
 NAME = rf"(?i)({TELLING})[a-z0-9_.\-]*[\"']?"
 FEATURES = [
-    "length", "digits", "uppers", "hexes", "variety", "class_changes", "vowel_changes", "repeats", "covered", "in_path", "told", "harmless", "assigns", "others", "quoted", "next_length",
+    "length", "digits", "uppers", "hexes", "variety", "class_changes", "vowel_changes", "surprise", "repeats", "covered", "in_path", "told", "harmless", "assigns", "others", "quoted", "next_length",
 ]
 
 
@@ -76,11 +78,35 @@ def _share(candidate: Column, pattern: str) -> Column:
     return F.regexp_count(candidate, F.lit(pattern)) / F.char_length(candidate)
 
 
+def transition_costs(dictionary: DataFrame) -> list[float]:
+    """Minus the log probability of letter b after letter a in the dictionary's words, at 26 a + b.
+
+    Counts start at one. The table has 676 numbers, whatever the dictionary.
+    """
+    letters = F.split("entry", "")
+    codes = lambda begin: F.transform(F.slice(letters, begin, F.greatest(F.size(letters) - 1, F.lit(0))), lambda c: F.ascii(c) - 97)
+    pairs = dictionary.filter(F.col("entry").rlike("^[a-z]+$")).select(F.explode(F.zip_with(codes(1), codes(2), lambda a, b: a * 26 + b)).alias("at"))
+    seen = {r["at"]: r["count"] for r in pairs.groupBy("at").count().collect()}
+    after = [26 + sum(seen.get(26 * a + b, 0) for b in range(26)) for a in range(26)]
+    return [math.log(after[at // 26] / (seen.get(at, 0) + 1)) for at in range(676)]
+
+
+def _surprise(low: Column, costs: list[float]) -> Column:
+    """The mean cost of the steps from letter to letter; that of random letters where there is none."""
+    chars, table = F.split(low, ""), F.lit(costs)
+    letter = lambda c: c.between("a", "z")
+    rest = F.greatest(F.size(chars) - 1, F.lit(0))
+    step = lambda a, b: F.when(letter(a) & letter(b), F.get(table, (F.ascii(a) - 97) * 26 + F.ascii(b) - 97))
+    steps = F.filter(F.zip_with(F.slice(chars, 1, rest), F.slice(chars, 2, rest), step), lambda v: v.isNotNull())
+    return F.coalesce(F.try_divide(F.aggregate(steps, F.lit(0.0), lambda total, v: total + v), F.size(steps)), F.lit(sum(costs) / len(costs)))
+
+
 def describe(found: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``found`` with the feature columns; ``dictionary`` has one column, entry.
 
     The dictionary is bounded by the vocabulary it is from and is broadcast.
     """
+    costs = transition_costs(dictionary)
     c, low = F.col("candidate"), ascii_lower(F.col("candidate"))
     near = ascii_lower(F.concat_ws(" ", "before2", "before"))
     row = F.struct(*[F.col(n) for n in found.columns])
@@ -95,6 +121,7 @@ def describe(found: DataFrame, dictionary: DataFrame) -> DataFrame:
         "variety": F.size(F.array_distinct(F.split(c, ""))) / F.least(F.char_length(c), F.lit(64)),
         "class_changes": _share(c, "(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(?=[A-Z])"),
         "vowel_changes": _share(low, "(?<=[aeiou])(?=[a-z&&[^aeiou]])|(?<=[a-z&&[^aeiou]])(?=[aeiou])"),
+        "surprise": _surprise(low, costs),
         "repeats": _share(c, r"(.)(?=\1)"),
         "covered": F.col("letters") / F.char_length(c),
         "in_path": (F.instr("word", "://") > 0) | F.col("word").rlike(r"^[^\"']*/[^\"']*/") | F.col("word").rlike(r"\.[a-z]{2,4}$"),

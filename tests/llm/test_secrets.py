@@ -1,6 +1,7 @@
 """Candidates against a plain loop, the forest against findings it was not fitted on, and the documents' own secrets."""
 
 import hashlib
+import math
 import re
 
 import public_tokenizers
@@ -69,6 +70,22 @@ def test_forest_on_held_out_findings(spark, dictionary):
     assert good >= 0.95 * n
 
 
+def test_surprise_by_plain_loops(spark, dictionary):
+    words = [r["entry"] for r in dictionary.collect()]
+    seen = {}
+    for a, b in (pair for w in words for pair in zip(w, w[1:], strict=False)):
+        seen[a, b] = seen.get((a, b), 0) + 1
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    cost = {(a, b): math.log((26 + sum(seen.get((a, c), 0) for c in abc)) / (seen.get((a, b), 0) + 1)) for a in abc for b in abc}
+    texts = ["Readable-words_in_it", KEY, CARD, "QwXzJk", "é" * 3 + "ab", "x", "q1w2e3", "no" * 200_000]
+    found = spark.createDataFrame([(1, k, 0, t, t, None, None, None, False) for k, t in enumerate(texts)], "id long, pos int, nth int, word string, candidate string, before2 string, before string, after string, assigned boolean")
+    got = {r["pos"]: r["surprise"] for r in secrets.describe(found, dictionary).collect()}
+    for k, text in enumerate(texts):
+        steps = [cost[p] for p in zip(text.lower(), text.lower()[1:], strict=False) if p in cost]
+        assert got[k] == pytest.approx(sum(steps) / len(steps) if steps else sum(cost.values()) / 676)
+    assert got[0] < 3 < got[3]
+
+
 def test_documents(spark):
     """The tables hold 40-digit tokens; what else is found in them is no secret."""
     folder = "/root/testdata/sf0.01"
