@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 SALTS = 8
 #: Classes of trajectory sizes in each doubling.
 CLASSES = 4
+#: Cliques of a member that meet the others in one task.
+PART_CLIQUES = 1024
 
 
 def match_cliques(itemsets: DataFrame, enumerated: DataFrame, salts: int = SALTS) -> DataFrame:
@@ -158,10 +160,30 @@ def edge_matrix(edges: DataFrame, columns: list[int]) -> DataFrame:
     return edges.groupBy("t1").pivot("t2", columns).agg(F.first("w"))
 
 
-def clique_overlap(cliques: DataFrame) -> DataFrame:
-    """g1 < g2, n_shared, n_union of cliques with a common member."""
-    left, right = cliques.toDF("g1", "m"), cliques.toDF("g2", "m")
-    shared = left.join(right, "m").filter("g1 < g2").groupBy("g1", "g2").agg(F.count("*").alias("n_shared"))
+def _member_classes(cliques: DataFrame) -> DataFrame:
+    """itemset_id, m, n_alike, n_cliques: one member for all that are in the same cliques.
+
+    Classes are told apart by the number of their cliques and 128 bits of a hash of them
+    all, which combines before the shuffle.
+    """
+    bits = [F.bit_xor(h).alias(f"__h{k}") for k, h in enumerate((F.xxhash64("itemset_id"), F.xxhash64(F.lit("second half"), "itemset_id")))]
+    seen = cliques.groupBy("trajectory_idx").agg(F.count("*").alias("n_cliques"), *bits)
+    classes = seen.groupBy("n_cliques", "__h0", "__h1").agg(F.min("trajectory_idx").alias("trajectory_idx"), F.count("*").alias("n_alike"))
+    return cliques.join(classes, "trajectory_idx").select("itemset_id", F.col("trajectory_idx").alias("m"), "n_alike", "n_cliques")
+
+
+def clique_overlap(cliques: DataFrame, part_cliques: int = PART_CLIQUES) -> DataFrame:
+    """g1 < g2, n_shared, n_union of cliques with a common member; rows of ``cliques`` are distinct.
+
+    Members that are in the same cliques meet once, as one of their number. The cliques
+    of a hot member are dealt to parts of about ``part_cliques``, and each part meets all
+    of them, so that no task makes all the pairs under a member.
+    """
+    members = _member_classes(cliques).filter("n_cliques > 1")
+    parts = F.ceil(F.col("n_cliques") / F.lit(part_cliques)).cast("int")
+    left = members.select(F.col("itemset_id").alias("g1"), "m", "n_alike", F.pmod(F.xxhash64("itemset_id"), parts).cast("int").alias("part"))
+    right = members.select(F.col("itemset_id").alias("g2"), "m", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    shared = left.join(right, ["m", "part"]).filter("g1 < g2").groupBy("g1", "g2").agg(F.sum("n_alike").alias("n_shared"))
     sizes = cliques.groupBy("itemset_id").agg(F.count("*").alias("n"))
     sized = shared.join(sizes.toDF("g1", "n1"), "g1").join(sizes.toDF("g2", "n2"), "g2")
     return sized.select("g1", "g2", "n_shared", (F.col("n1") + F.col("n2") - F.col("n_shared")).alias("n_union"))

@@ -78,3 +78,25 @@ def test_pairs_below_the_bound_are_not_made(spark):
     every = cliques._half_with_length(held, found.itemsets).count()
     made = cliques.close_pairs(held, found.itemsets, found.enumerated, 0.045).count()
     assert 0 < made * 4 < every
+
+
+@pytest.mark.parametrize("part_cliques", [3, 1024])
+def test_overlap_of_cliques(visits, part_cliques):
+    held, sets, enumerated, itemsets = visits
+    found = materialize(cliques.match_cliques(itemsets, enumerated), "cliques")
+    own = [{t for t in held if set(s) <= set(held[t])} for s in sets]
+    expected = {(a, b, len(own[a] & own[b]), len(own[a] | own[b])) for a in range(len(sets)) for b in range(a + 1, len(sets)) if own[a] & own[b]}
+    got = [tuple(r) for r in cliques.clique_overlap(found, part_cliques).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    assert cliques.clique_overlap(found.limit(0)).count() == 0
+
+
+def test_alike_members_meet_once(spark):
+    """1,000 members of the same 40 cliques make the pairs of one; a member of few makes its own."""
+    rows = [(k, t) for k in range(40) for t in range(1000)] + [(0, 5000), (7, 5000)]
+    found = spark.createDataFrame(rows, "itemset_id long, trajectory_idx long")
+    classes = cliques._member_classes(found)
+    assert classes.count() == 42
+    assert classes.agg(F.sum("n_alike")).first()[0] == 40_000 + 2
+    got = {(r["g1"], r["g2"]): r["n_shared"] for r in cliques.clique_overlap(found, 16).collect()}
+    assert len(got) == 780 and got.pop((0, 7)) == 1001 and set(got.values()) == {1000}
