@@ -8,41 +8,33 @@ its rarest shingle. Each such place gives one start for the window; starts that
 leave the document on either side fail the positional and length bounds, and the
 rest are verified word by word.
 
-The index covers a block of the benchmark of about ``BLOCK_BYTES`` of text and at
-most ``BLOCK_WORDS`` words, and is broadcast; long items are cut into pieces that
-overlap by all but one word of a window. A larger benchmark is worked off in several
-blocks against all documents, and the blocks' spans are united per document.
+The index of a benchmark of up to ``BLOCK_BYTES`` of text and ``BLOCK_WORDS`` words is
+broadcast; long items are cut into pieces that overlap by all but one word of a window. A
+larger benchmark is a table that the documents are joined with (``windowjoin``). Both ways
+give the same rows, and read the documents twice.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmesh.llm.arrow import chunks, map_batches
 from driftmesh.llm.columns import ascii_lower
+from driftmesh.llm.windowjoin import SHINGLE, binary_texts, item_words, window_hits
 from driftmesh.storage import materialize
 
-#: Benchmark text that one broadcast index covers, about, and words, at most: three word numbers fit in 63 bits.
+#: Benchmark text and words that a broadcast index covers at most: three word numbers fit in 63 bits.
 BLOCK_BYTES = 4 << 20
 BLOCK_WORDS = 1 << 20
 #: Window starts in a piece of a long item.
 PIECE_WORDS = 1 << 15
-SHINGLE = 3
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Word bytes are digits, letters (A-Z made small) and all bytes from 0x80.
-_WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-
-
-def item_words(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(_WORD_BYTES).split()
-
 
 class WindowIndex:
     """The distinct windows of some items and, once ranked, their rarest shingles."""
@@ -144,10 +136,6 @@ def _runs(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start[new].tolist(), end[last].tolist(), strict=True))
 
 
-def _binary(batch: pa.RecordBatch) -> list[bytes | None]:
-    return batch.column("text").cast(pa.binary()).to_pylist()
-
-
 def _shingle_counts(docs: DataFrame, index) -> DataFrame:
     """size, at, n: how often each shingle of the index occurs, by task."""
     schema = pa.schema([("size", pa.int32()), ("at", pa.int64()), ("n", pa.int64())])
@@ -155,7 +143,7 @@ def _shingle_counts(docs: DataFrame, index) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, total = index.value, None
         for batch in chunks(batches):
-            counts = table.count(table.number(_binary(batch))[0])
+            counts = table.count(table.number(binary_texts(batch))[0])
             total = counts if total is None else {s: total[s] + counts[s] for s in counts}
         for size, n in (total or {}).items():
             at = np.flatnonzero(n)
@@ -165,13 +153,13 @@ def _shingle_counts(docs: DataFrame, index) -> DataFrame:
 
 
 def _scan(docs: DataFrame, items: list[tuple[str, bytes | None]], window: int) -> DataFrame:
-    """id, version, n_words, spans, items for one block of the benchmark."""
+    """id, version, n_words, spans, items, with the index of ``items`` broadcast."""
     context = docs.sparkSession.sparkContext
     index = WindowIndex(items, window)
     counts = {s: np.zeros(len(k), np.int64) for s, k in index.keys.items()}
     if index.windows:
         per_task = _shingle_counts(docs.select("text"), context.broadcast(index))
-        # at most one row per shingle of the block
+        # at most one row per shingle of the index
         for row in per_task.groupBy("size", "at").agg(F.sum("n").alias("n")).collect():
             counts[row["size"]][row["at"]] = row["n"]
     index.rank(counts)
@@ -179,7 +167,7 @@ def _scan(docs: DataFrame, items: list[tuple[str, bytes | None]], window: int) -
 
     def mark(batch: pa.RecordBatch) -> dict:
         table = shared.value
-        ids, first = table.number(_binary(batch))
+        ids, first = table.number(binary_texts(batch))
         start, number = table.matches(ids)
         order = np.argsort(start, kind="stable")
         start, number = start[order], number[order]
@@ -197,19 +185,6 @@ def _scan(docs: DataFrame, items: list[tuple[str, bytes | None]], window: int) -
     return map_batches(docs, mark, f"id {kind}, version long, n_words long, spans array<struct<start: long, end: long>>, items array<string>")
 
 
-def _united(spans: Column) -> Column:
-    """Disjoint spans in order from any spans."""
-    empty = F.array().cast("array<struct<start: long, end: long>>")
-
-    def add(done: Column, span: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
-        before = F.slice(done, F.lit(1), F.size(done) - 1)
-        return F.when(F.size(done) == 0, F.array(span)).when(span["start"] <= last["end"], F.concat(before, F.array(joined))).otherwise(F.concat(done, F.array(span)))
-
-    return F.aggregate(F.array_sort(spans), empty, add)
-
-
 def _pieces(benchmark: DataFrame, window: int, item_id_col: str, item_text_col: str) -> DataFrame:
     """item, piece, text: items as pieces of bounded length, of at least a window unless the item is shorter."""
     words = F.regexp_extract_all(ascii_lower(F.col(item_text_col)), F.lit(WORD), F.lit(0))
@@ -219,41 +194,16 @@ def _pieces(benchmark: DataFrame, window: int, item_id_col: str, item_text_col:
     return named.select("item", F.posexplode(parts).alias("piece", "text"))
 
 
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int, item_id_col: str, item_text_col: str) -> Iterator[list[tuple[str, bytes]]]:
-    """The pieces, dealt evenly; one block after the other is on the driver."""
-    known = _pieces(benchmark, window, item_id_col, item_text_col)
-    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, math.ceil(size / block_bytes))
-    block = F.pmod(F.xxhash64("item", "piece", "text"), F.lit(n_blocks))
-    for k in range(n_blocks):
-        held, n_words = [], 0
-        for r in known.filter(block == k).toLocalIterator():
-            text = r["text"].encode()
-            n = text.count(b" ") + 1
-            if held and n_words + n > BLOCK_WORDS:
-                yield held
-                held, n_words = [], 0
-            held.append((r["item"], text))
-            n_words += n
-        if held:
-            yield held
-
-
 def _hits(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str, item_id_col: str, item_text_col: str, block_bytes: int) -> DataFrame:
     """id, version (of the text), n_words, spans, items of every row."""
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("version"))
-    scans = [_scan(plain, items, window) for items in _blocks(benchmark, window, block_bytes, item_id_col, item_text_col)] or [_scan(plain, [], window)]
-    if len(scans) == 1:
-        return scans[0]
-    hits = scans[0]
-    for scan in scans[1:]:
-        hits = hits.unionAll(scan)
-    hits = hits.filter(F.size("items") > 0).groupBy("id", "version").agg(_united(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    base, hits = scans[0].select("id", "version", "n_words").alias("a"), hits.alias("b")
-    same = F.col("a.id").eqNullSafe(F.col("b.id")) & F.col("a.version").eqNullSafe(F.col("b.version"))
-    none = F.array().cast("array<string>")
-    spans = F.coalesce("spans", F.array().cast("array<struct<start: long, end: long>>")).alias("spans")
-    return base.join(hits, same, "left").select("a.id", "a.version", "n_words", spans, F.coalesce("items", none).alias("items"))
+    pieces = _pieces(benchmark, window, item_id_col, item_text_col)
+    n_words = F.sum(F.size(F.split("text", " ")))
+    size, n_words = pieces.agg(F.sum(F.octet_length("text")), n_words).first()
+    if (size or 0) > block_bytes or (n_words or 0) > BLOCK_WORDS:
+        return window_hits(plain, pieces.select("item", "text"), window)
+    held = [(r["item"], r["text"].encode()) for r in pieces.collect()]  # block_bytes at most
+    return _scan(plain, held, window)
 
 
 def find_contamination(
