@@ -15,7 +15,7 @@ similar shingle by shingle.
 The sets under one shingle are first compared with one of them, a central one of
 which few shingles are rare, and what that links is joined. That is repeated with
 other centres while it pays; then all pairs still in different components are
-compared. A large group of copies thus costs a few rows per copy, not one per pair.
+compared, by classes of sizes, and in parts under a hot shingle. A large group of copies thus costs a few rows per copy, not one per pair.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ KNOWN = 100_000
 #: and rows per set up to which all pairs are compared at once.
 STARS = 3
 ROWS = 4
+#: Shingles and classes of sizes with more than one in so many of all rows are dealt to parts.
+HOT_SHARE = 256
 #: Classes of a set's profile at least; they are a power of two, so that those of a larger set can be folded.
 PROFILE = 32
 
@@ -174,6 +176,31 @@ def _open(shared: DataFrame, links: DataFrame | None, turn: int) -> DataFrame:
 ROW = ["shingle", "node", "n", "pos", "centrality"]
 
 
+def _meeting(rows: DataFrame, similarity: float, share: int = HOT_SHARE) -> DataFrame:
+    """The pairs under each shingle whose sizes allow the similarity, the smaller set first.
+
+    Sizes are in classes a factor of 1 / ``similarity`` wide, so a set meets its own class
+    and the next one only. The smaller sets of a shingle and class that hold more than one
+    in ``share`` of all rows are dealt to parts, each of which meets the larger sets.
+    """
+    wide = 1.000001 * math.log(1 / similarity) + 1e-9
+    own = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(wide))
+    held = rows.withColumn("class", own)
+    sizes = materialize(held.groupBy("shingle", "class").agg(F.count("*").alias("held")), "shingle-sizes")
+    total = sizes.agg(F.sum("held")).first()[0] or 0
+    hot = sizes.filter(F.col("held") * share > total).select("shingle", "class", F.ceil(F.col("held") * share / F.lit(max(total, 1))).cast("int").alias("parts"))
+    hot = F.broadcast(hot)  # fewer than ``share`` rows, as they add up to the total at most
+    parts = F.coalesce("parts", F.lit(1))
+    smaller = held.join(hot, ["shingle", "class"], "left").withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    # the parts of a class are those of its own rows, whichever class they meet
+    smaller = smaller.withColumn("met", F.explode(F.array(F.col("class"), F.col("class") + 1))).select("shingle", "met", F.col("class").alias("from"), "part", "node", "n", "pos", "label")
+    larger = held.toDF("shingle", "node2", "n2", "pos2", "label2", "met").withColumn("class", F.explode(F.array(F.col("met") - 1, F.col("met"))))
+    larger = larger.join(hot, ["shingle", "class"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumnRenamed("class", "from").drop("parts")
+    allowed = F.col("n") >= F.lit(similarity) * F.col("n2") - F.lit(1e-9)
+    ordered = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("node") < F.col("node2")))
+    return smaller.join(larger, ["shingle", "met", "from", "part"]).filter(allowed & ordered)
+
+
 def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
     """Pairs of different components that may share enough.
 
@@ -243,8 +270,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, radi
         last = turn == STARS or not pays or all_pairs <= ROWS * n_nodes
         rows = left
         if last:
-            mine = left.select("shingle", "node", "n", "pos", "label")
-            rows = mine.join(mine.toDF("shingle", "node2", "n2", "pos2", "label2"), "shingle").filter("node < node2")
+            rows = _meeting(left.select("shingle", "node", "n", "pos", "label"), similarity)
         pairs = _pairs(rows, similarity)
         n_pairs = pairs.count()
         found = _similar(pairs, plain, nodes, similarity, size)

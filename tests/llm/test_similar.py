@@ -67,3 +67,24 @@ def test_near_copies_stage_by_similarity(spark):
     kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, made, "").collect())
     assert kept == sorted({c for _, c in brute_similar(table)})
     assert len(kept) < neardup.keep_one(made).count()
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 1.0])
+def test_sets_under_a_hot_shingle_meet_in_parts_by_size(spark, similarity):
+    """One shingle is in all 300 sets, another in a third; every pair of allowed sizes is made once."""
+    rng = random.Random(2)
+    sizes = [rng.choice([0, 1, 4, 5, 100, rng.randint(1, 400)]) for _ in range(300)]
+    table = [(s, k, sizes[k], 0, k) for s, step in ((7, 1), (9, 3)) for k in range(0, 300, step)]
+    made = spark.createDataFrame(table, "shingle long, node long, n long, pos int, label long")
+    met = shingles._meeting(made, similarity)
+    got = [(r["shingle"], r["node"], r["node2"]) for r in met.select("shingle", "node", "node2").collect()]
+    expected = set()
+    for s, step in ((7, 1), (9, 3)):
+        for a in range(0, 300, step):
+            for b in range(0, 300, step):
+                if (sizes[a], a) < (sizes[b], b) and sizes[a] >= similarity * sizes[b] - 1e-9:
+                    expected.add((s, a, b))
+    assert len(got) == len(set(got)) and set(got) == expected
+    parts = met.groupBy("shingle", "from", "part").count().collect()
+    assert len({r["part"] for r in parts if r["shingle"] == 7}) > 8
+    assert shingles._meeting(made.limit(0), similarity).count() == 0
