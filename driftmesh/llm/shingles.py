@@ -192,13 +192,13 @@ def _meeting(rows: DataFrame, similarity: float, share: int = HOT_SHARE) -> Data
     hot = F.broadcast(hot)  # fewer than ``share`` rows, as they add up to the total at most
     parts = F.coalesce("parts", F.lit(1))
     smaller = held.join(hot, ["shingle", "class"], "left").withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
-    # the parts of a class are those of its own rows, whichever class they meet
-    smaller = smaller.withColumn("met", F.explode(F.array(F.col("class"), F.col("class") + 1))).select("shingle", "met", F.col("class").alias("from"), "part", "node", "n", "pos", "label")
-    larger = held.toDF("shingle", "node2", "n2", "pos2", "label2", "met").withColumn("class", F.explode(F.array(F.col("met") - 1, F.col("met"))))
-    larger = larger.join(hot, ["shingle", "class"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumnRenamed("class", "from").drop("parts")
+    smaller = smaller.select("shingle", "class", "part", "node", "n", "pos", "label")
+    # a larger set meets the smaller ones of its own class and the one before, in all their parts
+    larger = held.toDF("shingle", "node2", "n2", "pos2", "label2", "own").withColumn("class", F.explode(F.array(F.col("own") - 1, F.col("own"))))
+    larger = larger.join(hot, ["shingle", "class"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts", "own")
     allowed = F.col("n") >= F.lit(similarity) * F.col("n2") - F.lit(1e-9)
     ordered = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("node") < F.col("node2")))
-    return smaller.join(larger, ["shingle", "met", "from", "part"]).filter(allowed & ordered)
+    return smaller.join(larger, ["shingle", "class", "part"]).filter(allowed & ordered)
 
 
 def _pairs(rows: DataFrame, similarity: float) -> DataFrame:

@@ -85,6 +85,6 @@ def test_sets_under_a_hot_shingle_meet_in_parts_by_size(spark, similarity):
                 if (sizes[a], a) < (sizes[b], b) and sizes[a] >= similarity * sizes[b] - 1e-9:
                     expected.add((s, a, b))
     assert len(got) == len(set(got)) and set(got) == expected
-    parts = met.groupBy("shingle", "from", "part").count().collect()
+    parts = met.groupBy("shingle", "class", "part").count().collect()
     assert len({r["part"] for r in parts if r["shingle"] == 7}) > 8
     assert shingles._meeting(made.limit(0), similarity).count() == 0
