@@ -32,12 +32,12 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = CH
             yield batch.slice(start)
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
-    """``function`` gets record batches of bounded size and returns columns by name."""
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], dict | None], schema: str, size: int = CHUNK_BYTES) -> DataFrame:
+    """``function`` gets record batches of about ``size`` bytes of text and returns columns by name."""
     arrow = to_arrow_schema(_struct(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, size=size):
             made = function(batch)
             if made is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
