@@ -61,12 +61,15 @@ def interpolate_gaps(samples: DataFrame) -> DataFrame:
     """A row for every tick between two samples, on the line between them.
 
     The first filled tick repeats the sample before the gap. Samples of one tick
-    are all kept.
+    are all kept. Rows are numbered from the gaps before them, so only samples are
+    sorted, not the many more rows that are made of them.
     """
     before = {d: F.lag(d).over(path_window()) for d in DIMS}
     with_gap = samples.select("*", *[before[d].alias(f"__{d}") for d in DIMS]).withColumn("__gap", F.col("t") - F.col("__t"))
-    at = F.sequence(F.lit(0).cast("long"), F.greatest(F.coalesce("__gap", F.lit(1)), F.lit(1)) - 1)
-    rows = with_gap.withColumn("__i", F.explode(at))
+    with_gap = with_gap.withColumn("__made", F.greatest(F.coalesce("__gap", F.lit(1)), F.lit(1)))
+    so_far = F.sum("__made").over(path_window().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    at = F.sequence(F.lit(0).cast("long"), F.col("__made") - 1)
+    rows = with_gap.withColumn("__before", so_far - F.col("__made")).withColumn("__i", F.explode(at))
     is_end = F.coalesce(F.col("__gap"), F.lit(1)) - 1 <= F.col("__i")
 
     def on_line(d: str) -> Column:
@@ -74,8 +77,8 @@ def interpolate_gaps(samples: DataFrame) -> DataFrame:
         return F.when(is_end, F.col(d)).otherwise(F.col(f"__{d}") + (F.col("__i") * rate).cast("long"))
 
     t = F.when(is_end, F.col("t")).otherwise(F.col("__t") + F.col("__i") + 1)
-    filled = rows.select("trajectory_idx", "trajectory_id", F.col("seq"), on_line("x").alias("x"), on_line("y").alias("y"), t.alias("t"))
-    return _renumbered(filled)
+    seq = (F.col("__before") + F.col("__i")).cast("long")
+    return rows.select("trajectory_idx", "trajectory_id", seq.alias("seq"), on_line("x").alias("x"), on_line("y").alias("y"), t.alias("t"))
 
 
 def pad_paths(samples: DataFrame) -> DataFrame:

@@ -53,6 +53,15 @@ def test_interpolate(spark):
     assert points(df) == [(0, 0, 0, 0, 0), (0, 1, 0, 0, 1), (0, 2, 1, 2, 2), (0, 3, 3, 6, 3), (1, 0, 0, 0, 0), (1, 1, 5, 5, 0)]
 
 
+def test_interpolated_rows_are_numbered_without_being_sorted(spark):
+    paths = [[(0, 0, 0), (3, 6, 3), (4, 6, 3), (9, 9, 9)], [(1, 1, 5)]]
+    df = prepare.interpolate_gaps(samples(spark, paths))
+    assert [p[:2] for p in points(df)] == [(0, k) for k in range(11)] + [(1, 0)]
+    assert [(t, x) for k, _, x, _, t in points(df) if k == 0][3:6] == [(3, 3), (3, 4), (4, 4)]
+    made = df._jdf.queryExecution().executedPlan().toString()
+    assert "Sort " not in made[: made.index("Generate explode")]
+
+
 def test_padding(spark):
     df = prepare.pad_paths(samples(spark, [[(1, 1, 2)], [(0, 0, 0), (4, 4, 4)]]))
     assert [(t, x) for i, _, x, _, t in points(df) if i == 0] == [(t, 1) for t in range(5)]
