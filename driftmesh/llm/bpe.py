@@ -28,8 +28,8 @@ PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE = re.sub("(.)-(.)", lambda m: "".join(map(chr, range(ord(m[1]), ord(m[2]) + 1))), BLANKS, flags=re.DOTALL)
 CONTRACTIONS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}
-#: Words remembered with their counts, and token pairs with their verdict, per worker; and characters of a word that is remembered.
-MEMORY, SHORT = 400_000, 1_000
+#: Words remembered with their counts, parts of texts with their number, and characters of a word that is remembered, per worker.
+MEMORY, PARTS, SHORT = 400_000, 1_000_000, 1_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -85,8 +85,8 @@ class PrefixCounter:
         self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.words: dict[str, bytes | array] = {}
         self.known: dict[str, int] = {}
-        #: whether no token has a space after another character
-        self.spaces_begin = all(b" " not in token.lstrip(b" ") for token in self.token)
+        #: a blank with a space after it: only such a space may be within a word
+        self.blanks_meet = re.compile(f"[{BLANKS}] ")
         self.stable: dict[int, bool] = {}
 
     def _stable(self, left: int, right: int) -> bool:
@@ -109,23 +109,23 @@ class PrefixCounter:
     def word(self, word: str) -> bytes | array:
         """Counts at the prefixes of 0, 1, 2 ... bytes of one word."""
         if len(word) > SHORT:
-            return self._count(word.encode())
+            return self._count(word)
         found = self.words.get(word)
         if found is None:
             if len(self.words) >= MEMORY:
                 self.words.clear()
-            found = self.words[word] = self._count(word.encode())
+            found = self.words[word] = self._count(word)
         return found
 
-    def _count(self, data: bytes) -> bytes | array:
-        stable, base = self.stable, len(self.parts)
-        size = len(data)
-        counts, last = array("I", bytes(4 * (size + 1))), [-1] * (size + 1)
-        for at, (token, length) in self.tokens.iter(data.decode("latin-1")):
-            end = at + 1
-            if last[end] >= 0:
+    def _count(self, word: str) -> bytes | array:
+        # a character for each byte, as the automaton holds the tokens
+        data = word if word.isascii() else word.encode().decode("latin-1")
+        stable, base, size = self.stable, len(self.parts), len(data)
+        counts, last, at = [0] * (size + 1), [-1] * (size + 1), -1
+        for end, (token, length) in self.tokens.iter(data):
+            if end == at:
                 continue  # only one token can be the last
-            start = end - length
+            start = end - length + 1
             if start:
                 pair = last[start] * base + token
                 fits = stable.get(pair)
@@ -135,8 +135,9 @@ class PrefixCounter:
                     fits = stable[pair] = self._stable(last[start], token)
                 if not fits:
                     continue
-            last[end], counts[end] = token, counts[start] + 1
-        return bytes(counts.tolist()) if max(counts) < 256 else counts
+            at = end
+            last[end + 1], counts[end + 1] = token, counts[start] + 1
+        return bytes(counts) if max(counts) < 256 else array("I", counts)
 
     def cut(self, text: str) -> list[str]:
         """The words of a text; a special token's string is a word of its own."""
@@ -151,10 +152,11 @@ class PrefixCounter:
     def units(self, text: str) -> list[str] | None:
         """The text cut before every space, if each part can be counted on its own.
 
-        A word never reaches over a space into what comes before, unless two blanks
-        stand side by side and the vocabulary joins them.
+        The pattern lets a space be the first character of a word only, but in a run of
+        blanks. So a text without a space that follows a blank has no word across a cut,
+        and none of its parts but the last ends in a blank, whose word depends on what follows.
         """
-        if not self.spaces_begin or "  " in text or (self.special is not None and self.special.search(text)):
+        if self.blanks_meet.search(text) or (self.special is not None and self.special.search(text)):
             return None
         first, *rest = text.split(" ")
         return [first, *[" " + unit for unit in rest]]
@@ -165,7 +167,7 @@ class PrefixCounter:
         if count is None and len(unit) > SHORT:
             return sum(self.word(w)[-1] for w in self.pattern.findall(unit))
         if count is None:
-            if len(self.known) >= MEMORY:
+            if len(self.known) >= PARTS:
                 self.known.clear()
             count = self.known[unit] = sum(self.word(w)[-1] for w in self.pattern.findall(unit))
         return count

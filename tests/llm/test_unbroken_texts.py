@@ -45,3 +45,13 @@ def test_budgets_by_trying_all_prefixes(counter, seed):
     for budget in range(max(counts) + 2):
         assert index.longest(budget) == max(k for k, n in enumerate(counts) if n <= budget)
         assert counter.measure(text, budget) == (counts[-1], index.longest(budget))
+
+
+def test_texts_are_counted_by_parts_unless_a_space_follows_a_blank(counter):
+    dice = random.Random(11)
+    encoder = Tokenizer.from_file(PATH)
+    assert counter.units("Ab, cd\nef\xa0g h") == ["Ab,", " cd\nef\xa0g", " h"]
+    assert all(counter.units(f"a{blank} b") is None for blank in WHITE)
+    for _ in range(400):
+        text = "".join(dice.choice(["a", "the", "Zqx", "9", "'s", ".", "é", " ", " ", *WHITE]) for _ in range(dice.randint(1, 14)))
+        assert counter.total(text) == len(encoder.encode(text, add_special_tokens=False).ids), text
