@@ -100,3 +100,20 @@ def test_alike_members_meet_once(spark):
     assert classes.agg(F.sum("n_alike")).first()[0] == 40_000 + 2
     got = {(r["g1"], r["g2"]): r["n_shared"] for r in cliques.clique_overlap(found, 16).collect()}
     assert len(got) == 780 and got.pop((0, 7)) == 1001 and set(got.values()) == {1000}
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_pairs_by_blocks(spark, visits, block, monkeypatch):
+    """Each pair once, whatever the number of its cliques and blocks, with the longest itemset."""
+    held, sets, enumerated, _ = visits
+    sets = sorted(sets, key=len)
+    itemsets = materialize(spark.createDataFrame(list(enumerate(sets)), "itemset_id long, items array<long>"), "sets")
+    found = materialize(cliques.match_cliques(itemsets, enumerated), "cliques")
+    expected = {p: w for p, w in slow_weights(held, sets, 0, True).items()}
+    made = cliques.longest_shared(found, itemsets, enumerated, block).collect()
+    got = {(r["t1"], r["t2"]): 2 * r["n_items"] / (r["n1"] + r["n2"]) for r in made}
+    assert len(made) == len(got) and got == pytest.approx(expected)
+    monkeypatch.setattr(cliques, "REPEATS", 0)
+    weights = cliques.weight_last(found, itemsets, enumerated)
+    assert "FlatMapGroupsInArrow" in weights._jdf.queryExecution().executedPlan().toString()
+    assert {(r["t1"], r["t2"]): r["w"] for r in weights.collect()} == pytest.approx(expected)
