@@ -41,3 +41,11 @@ def test_groups_of_long_common_paths_need_no_long_sets(spark, kind):
     status, found, _ = sweep.limited(lambda: search.groups(Level(0, 0, 0), 2, 2, kind).collect(), 100.0)
     assert status == "completed"
     assert sorted((r["group_id"], r["trajectory_idx"]) for r in found) == [(0, 0), (0, 1), (3, 3), (3, 4)]
+
+
+def test_the_last_round_lists_no_siblings(spark, monkeypatch):
+    names, write = [], mining.materialize
+    monkeypatch.setattr(mining, "materialize", lambda df, name: names.append(name) or write(df, name))
+    rows = spark.createDataFrame([(k, [1, 2, 3]) for k in range(3)], "trajectory_idx long, items array<long>")
+    assert mining.frequent_sets(rows, 2, key="trajectory_idx", max_length=2).sets.count() == 6
+    assert "holders" in names and "siblings" not in names
