@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftmesh.model import Level
-from driftmesh.operators import agglomerate, cliques, grouping, raster
+from driftmesh.operators import agglomerate, cliques, grouping, mining, raster
 from driftmesh.plans.discovery import Discovery
 from driftmesh.storage import materialize
 
@@ -104,3 +104,27 @@ def test_lines_are_painted_as_strokes(spark, samples):
     for whole in (True, False):
         assert {tuple(r) for r in raster.paint(lines, layers, whole).collect()} == {tuple(r) for r in raster.paint(strokes, layers, whole).collect()}
     assert sorted(map(tuple, raster.ground(lines).collect())) == sorted(map(tuple, raster.ground(strokes).collect()))
+
+
+def test_offers_are_made_by_many_tasks(spark):
+    """A table of a few rows is one task to read, but each basket makes thousands of offers."""
+    baskets = spark.range(40).coalesce(1).select(F.col("id").alias("key"), F.sequence(F.lit(0).cast("long"), F.lit(20).cast("long")).alias("items"), F.col("id").alias("own"))
+    baskets = baskets.withColumn("items", F.array_append("items", F.floor(F.col("own") / 2) + 100))
+    status, group = spark.sparkContext.statusTracker(), "offers"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        found = mining.frequent_sets(baskets, 2, key="key", max_length=2)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found.sets.count() == 41 + 41 * 40 // 2 - 20 * 19 // 2
+    stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds]
+    assert sum(s is not None and s.numCompletedTasks >= 4 for s in stages) >= 2
+
+
+def test_known_longer_sets_serve_shorter_ones(samples):
+    search, level = Discovery(samples), Level(3, 3, 2)
+    alone = split(search.linked(level, 2, 2, "all"))
+    other = Discovery(samples)
+    other.largest_cliques(level, 2, 2, 15)
+    assert split(other.linked(level, 2, 2, "all")) == alone
+    assert len(other._frequent) == 1
