@@ -32,11 +32,15 @@ from driftmesh.llm.runindex import RunIndex
 #: Bytes of text that a chunk holds about, and those that a bucket's keys are from.
 CHUNK_BYTES = 6 << 20
 BUCKET_BYTES = 8 << 20
-#: Bytes of text cut into segments at a time.
-PIECE_BYTES = 2 << 20
+#: Bytes of text cut into segments at a time, few enough for a core's cache.
+PIECE_BYTES = 128 << 10
 #: Segments are shorter than twice the length of the strings looked for, and have 16-bit sizes.
 MAX_LENGTH = 30_000
 _LOW = np.uint64((1 << 48) - 1)
+#: An odd multiplier and its inverse modulo 2^64, and a number for each byte.
+SPREAD = 0x9E3779B97F4A7C15
+UNSPREAD = pow(SPREAD, -1, 1 << 64)
+BYTE_VALUES = np.array([(k + 1) * 0xBF58476D1CE4E5B9 % (1 << 64) for k in range(256)], np.uint64) ** np.uint64(3)
 
 
 class Chunk:
@@ -192,21 +196,31 @@ def _unseal(sealed: bytes) -> tuple[np.ndarray, ...]:
 def _may_share(mixed: np.ndarray, texts: list[bytes], grain: np.ndarray, length: int) -> np.ndarray:
     """Those of the segments ``mixed`` that may share a window with another one.
 
-    A window holds the grain, and at least half of its other bytes stand on one side
-    of it: segments that share neither half with another cannot share a window.
+    A window holds the grain, and its other bytes stand before or after it. Rounded
+    down to steps, what two segments that share a window have in common on both sides
+    makes ``n_steps`` at least: a segment stays if for some split of that number it has
+    a neighbourhood of the grain with another one. Neighbourhoods are told apart by
+    hashes, so a segment may stay that need not, but none goes that has to stay.
     """
-    half = (length - GRAIN + 1) // 2
-    sides: list[tuple[int, bytes]] = []
-    seen: dict[bytes, int] = {}
-    for i in mixed.tolist():
-        text, at = texts[i], int(grain[i])
-        own = {text[at : at + GRAIN + half]} if at + GRAIN + half <= len(text) else set()
-        if at >= half:
-            own.add(b"<" + text[at - half : at + GRAIN])
-        for side in own:
-            seen[side] = seen.get(side, 0) + 1
-            sides.append((i, side))
-    return np.unique(np.array([i for i, side in sides if seen[side] > 1], np.int64))
+    rest = length - GRAIN
+    step = max(1, rest // 8)
+    n_steps = -(-(rest - 2 * (step - 1)) // step)
+    data = np.frombuffer(b"".join([texts[i] for i in mixed.tolist()]), np.uint8)
+    size = np.array([len(texts[i]) for i in mixed.tolist()], np.int64)
+    end = np.cumsum(size)
+    at = end - size + grain[mixed]
+    # the sum of a byte's value times a power that grows with its place; shifted back to place 0, it is the same for equal bytes
+    power, back = (np.cumprod(np.append(np.uint64(1), np.full(len(data), p, np.uint64))) for p in (SPREAD, UNSPREAD))
+    sums = np.append(np.uint64(0), np.cumsum(BYTE_VALUES[data] * power[:-1], dtype=np.uint64))
+    stay = np.zeros(len(mixed), bool)
+    for steps in range(n_steps + 1):
+        low, high = at - steps * step, at + GRAIN + (n_steps - steps) * step
+        room = np.flatnonzero((low >= end - size) & (high <= end))
+        hashed = (sums[high[room]] - sums[low[room]]) * back[low[room]]
+        ordered = np.sort(hashed)
+        often = ordered[1:][ordered[1:] == ordered[:-1]]
+        stay[room[np.isin(hashed, often)]] = True
+    return mixed[stay]
 
 
 def covered_spans(table: pa.Table, length: int) -> pa.Table:
@@ -227,9 +241,10 @@ def covered_spans(table: pa.Table, length: int) -> pa.Table:
     later = ids > least[number]
     spans.append((chunk[later], ids[later], starts[later], starts[later] + sizes[later]))
     # of keys with different segments, those segments go into an index
-    pairs = np.unique(np.stack([short, number]), axis=1) if len(short) else np.zeros((2, 0), np.int64)
-    _, at, count = np.unique(pairs[0], return_inverse=True, return_counts=True)
-    mixed = np.unique(pairs[1][count[at] > 1])
+    pairs = np.unique(short.astype(np.uint64) << np.uint64(32) | number.astype(np.uint64))
+    key, of_key = pairs >> np.uint64(32), (pairs & np.uint64((1 << 32) - 1)).astype(np.int64)
+    alike = key[1:] == key[:-1]
+    mixed = np.unique(of_key[np.append(False, alike) | np.append(alike, False)]) if len(key) else of_key
     grain = np.zeros(len(numbers), np.int64)
     grain[number] = grains
     mixed = _may_share(mixed, list(numbers), grain, length)
