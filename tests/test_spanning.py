@@ -87,6 +87,8 @@ def _held(monkeypatch, run):
     return rows[0]
 
 
-def test_a_large_group_makes_few_sets(tables, monkeypatch):
-    all_sets = _held(monkeypatch, lambda: mining.frequent_sets(cells.baskets(Discovery(tables["crowd"]).enumerated(LEVEL)), 2, key="trajectory_idx", max_length=2))
-    assert _held(monkeypatch, lambda: Discovery(tables["crowd"]).linked(LEVEL, 2, 2, "all")) < all_sets / 2
+def test_a_large_group_makes_few_sets(spark, monkeypatch):
+    rng = random.Random(5)
+    samples = _samples(spark, [rng.sample(range(60), 24) for _ in range(40)])
+    all_sets = _held(monkeypatch, lambda: mining.frequent_sets(cells.baskets(Discovery(samples).enumerated(LEVEL)), 2, key="trajectory_idx", max_length=2))
+    assert _held(monkeypatch, lambda: Discovery(samples).linked(LEVEL, 2, 2, "all")) < all_sets / 2
